@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from accord.llm.near_duplicates import op3_near_duplicates
+from accord.llm.packed_ids import op6_packed_ids
+from accord.llm.piecewise import op4_piecewise_hashes
+from accord.llm.pieces_bpe import op7_piece_encoding
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates,)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_piecewise_hashes, op6_packed_ids, op7_piece_encoding)}
 
 ORACLE_SQL: dict[str, str] = {}
