@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from accord.llm import warc
+from accord.llm.mixing import op10_mixture
 from accord.llm.near_duplicates import op3_near_duplicates
 from accord.llm.packed_ids import op6_packed_ids
 from accord.llm.piecewise import op4_piecewise_hashes
 from accord.llm.pieces_bpe import op7_piece_encoding
+from accord.llm.toxicity import op9_toxicity
+from accord.llm.warc import op8_warc_revisits
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_piecewise_hashes, op6_packed_ids, op7_piece_encoding)}
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op4_piecewise_hashes, op6_packed_ids, op7_piece_encoding, op8_warc_revisits, op9_toxicity, op10_mixture)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_warc_revisits": warc.ORACLE}
