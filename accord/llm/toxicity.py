@@ -219,6 +219,21 @@ def scored(documents: DataFrame, model: dict, with_segments: bool = False) -> Da
     return mapped(with_texts(documents), run, schema)
 
 
+def without_toxic(documents: DataFrame, model: dict) -> DataFrame:
+    """The documents that scored() doesn't predict toxic, with all their columns, in one pass."""
+    rate, size, (a, b), forms_ = model["rate"], max(model["size"], 1e-12), model["curve"], model["forms"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scorer, keep = Scorer(forms_), []
+        for text in batch.column("text").to_pylist():
+            s = scorer.word_scores(text or "")
+            x = evidence([f[2] for f in maximal_segments(s)], len(s), rate, size)
+            keep.append(a + b * min(x, 15.0) < 0)
+        return batch.filter(pa.array(keep))
+
+    return mapped(documents, run, documents.schema)
+
+
 def remainder(column: str = "doc_id", by: int = 5):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
 
