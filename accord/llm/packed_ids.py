@@ -9,6 +9,7 @@ the blocks that cover it, each unpacked by a few dozen numpy operations.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -17,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,17 +134,47 @@ class PackedReader:
             k = to
 
 
+#: The pre-tokenizer's rule for text up to U+024F, whose white space is written out.
+_BLANK = r"\t-\r \x85\xa0"
+_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it shows, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class WordIds:
-    """Ids of a tokenizers model, word by word: a text may be cut before every blank that a character other than white space follows, as its pre-tokenizer always begins a new token there; what lies between two cuts is encoded by the library and cached."""
+    """Ids of a tokenizers model, word by word.
+
+    A text may be cut before every blank that a character other than white space follows, as the pre-tokenizer always begins
+    a new token there. What lies between two cuts is looked up in a cache; what isn't there is cut into tokens as the
+    pre-tokenizer does and given to the library's model, or to the whole library if it has characters beyond U+024F or the
+    file's pre-tokenizer isn't the byte-level one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = width_of(self.model.get_vocab_size())
-        self.words = WordCache(lambda word: np.array(self.model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes(), 250_000)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.width = width_of(self.library.get_vocab_size())
+        rules = json.loads(self.library.to_str())
+        self.plain = (rules["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not rules["pre_tokenizer"]["add_prefix_space"] and rules["normalizer"] is None
+        self.tokenize, self.shown = self.library.model.tokenize, byte_characters()
+        self.tokens = WordCache(self._token, 150_000)
+        self.words = WordCache(self._word, 350_000)
+
+    def _token(self, token: str) -> bytes:
+        return np.array([x.id for x in self.tokenize(token.encode().decode("latin-1").translate(self.shown))], dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.plain and (word.isascii() or max(word) < "\u0250"):
+            return b"".join(map(self.tokens.__getitem__, _TOKEN.findall(word)))
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit little-endian; equal to encoding the whole text at once."""
