@@ -1,4 +1,6 @@
 """Every registered query of the engine and its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from accord.plans import joins, metrics, scans  # noqa: F401
+from accord.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
