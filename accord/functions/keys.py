@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that mean "no identifier", "control" (two families), DMSO, and DMSO's compound id.
 BLANK_WORDS = ["", "nan", "none", "<na>"]
@@ -48,13 +49,13 @@ def finite_or_null(c: Column) -> Column:
     return F.when(finite(c), c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def significant(x: pd.Series, digits: pd.Series) -> pd.Series:
     """`%.<digits>g` of a number, as C prints it; null for null and non-finite numbers."""
     return pd.Series([None if v is None or not math.isfinite(v) else format(v, f".{int(d)}g") for v, d in zip(x, digits)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def near_integer_key(x: pd.Series) -> pd.Series:
     """The integer that a number is close to (relative 1e-5, absolute 1e-8), else 12 significant digits."""
 

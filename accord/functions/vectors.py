@@ -13,6 +13,13 @@ GUARD = 1e-12
 P_LOW, P_HIGH = 1e-300, 1 - 1e-16
 
 
+def let(f, *values: Column) -> Column:
+    """f of values that are computed once, however often f names them."""
+    names = [f"v{i}" for i in range(len(values))]
+    bound = F.struct(*[v.alias(n) for n, v in zip(names, values)])
+    return F.get(F.transform(F.array(bound), lambda b: f(*[b[n] for n in names])), F.lit(0))
+
+
 def doubles(c: Column) -> Column:
     return c.cast("array<double>")
 
@@ -27,7 +34,7 @@ def total(x: Column) -> Column:
 
 
 def mean(x: Column) -> Column:
-    return F.when(F.size(x) > 0, total(x) / F.size(x))
+    return let(lambda v: F.when(F.size(v) > 0, total(v) / F.size(v)), x)
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -35,7 +42,7 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def norm(x: Column) -> Column:
-    return F.sqrt(dot(x, x))
+    return let(lambda v: F.sqrt(dot(v, v)), x)
 
 
 def all_finite(x: Column) -> Column:
@@ -43,13 +50,12 @@ def all_finite(x: Column) -> Column:
 
 
 def cosine(x: Column, y: Column) -> Column:
-    product = norm(x) * norm(y)
-    return F.when((norm(x) > GUARD) & (product > GUARD), dot(x, y) / product)
+    guarded = lambda a, b, n, m: F.when((n > GUARD) & (n * m > GUARD), dot(a, b) / (n * m))
+    return let(lambda a, b: let(guarded, a, b, norm(a), norm(b)), x, y)
 
 
 def centered(x: Column) -> Column:
-    m = mean(x)
-    return F.transform(x, lambda v: v - m)
+    return let(lambda a, m: F.transform(a, lambda v: v - m), x, mean(x))
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -58,12 +64,12 @@ def pearson(x: Column, y: Column) -> Column:
 
 def ranks(x: Column) -> Column:
     """Average ranks from 1."""
-    return F.transform(x, lambda v: F.size(F.filter(x, lambda w: w < v)) + (F.size(F.filter(x, lambda w: w == v)) + 1) / 2)
+    return let(lambda a: F.transform(a, lambda v: F.size(F.filter(a, lambda w: w < v)) + (F.size(F.filter(a, lambda w: w == v)) + 1) / 2), x)
 
 
 def spearman(x: Column, y: Column) -> Column:
     """Pearson of average ranks; null for fewer than two components or constant ones."""
-    return F.when(F.size(x) >= 2, pearson(ranks(x), ranks(y)))
+    return let(lambda a, b: F.when(F.size(a) >= 2, pearson(ranks(a), ranks(b))), x, y)
 
 
 def rmse(x: Column, y: Column) -> Column:
@@ -122,8 +128,12 @@ def order_by_value(x: Column, falling: bool) -> Column:
 def overlap_fraction(a: Column, b: Column, n: int | Column) -> Column:
     """Share of the first n that two lists have in common; null unless n > 0 and both are so long."""
     n = F.lit(n) if isinstance(n, int) else n
-    both = F.size(F.array_intersect(F.slice(a, 1, F.greatest(n, F.lit(1))), F.slice(b, 1, F.greatest(n, F.lit(1)))))
-    return F.when((n > 0) & (F.size(a) >= n) & (F.size(b) >= n), both / n)
+
+    def share(a, b, n):
+        both = F.size(F.array_intersect(F.slice(a, 1, F.greatest(n, F.lit(1))), F.slice(b, 1, F.greatest(n, F.lit(1)))))
+        return F.when((n > 0) & (F.size(a) >= n) & (F.size(b) >= n), both / n)
+
+    return let(share, a, b, n)
 
 
 def signed_overlap(x: Column, y: Column, k: int, halved: bool) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 CONDITION = ("dataset", "cell_type", "cid", "time_h", "dose_um")
 
@@ -21,7 +22,7 @@ def ring_pairs(rows: DataFrame, condition: tuple[str, ...] = CONDITION, order: s
     return kept.select(*keys, F.col(order).alias("left_row"), "right_row", "n_replicates")
 
 
-@udtf(returnType="left: int, right: int")
+@udtf(returnType=StructType([StructField("left", IntegerType()), StructField("right", IntegerType())]))
 class RingPairs:
     """SELECT * FROM ring_pairs(n): the sampled index pairs of n replicates."""
 
