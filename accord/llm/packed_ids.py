@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -166,14 +168,22 @@ class WordIds:
         self.plain = (rules["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not rules["pre_tokenizer"]["add_prefix_space"] and rules["normalizer"] is None
         self.tokenize, self.shown = self.library.model.tokenize, byte_characters()
         self.tokens = WordCache(self._token, 150_000)
-        self.words = WordCache(self._word, 350_000)
+        self.words = WordCache(self._word, 500_000)
 
     def _token(self, token: str) -> bytes:
-        return np.array([x.id for x in self.tokenize(token.encode().decode("latin-1").translate(self.shown))], dtype="<u4").tobytes()
+        if token.isascii() and token.isprintable() and not token.isspace():
+            shown = "\u0120" + token[1:] if token[0] == " " else token
+        else:
+            shown = token.encode().decode("latin-1").translate(self.shown)
+        ids = array("I", [x.id for x in self.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def _word(self, word: str) -> bytes:
         if self.plain and (word.isascii() or max(word) < "\u0250"):
-            return b"".join(map(self.tokens.__getitem__, _TOKEN.findall(word)))
+            parts = _TOKEN.findall(word)
+            return self._token(word) if len(parts) == 1 else b"".join(map(self.tokens.__getitem__, parts))
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
