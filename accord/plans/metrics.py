@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from accord.functions import blocks
 from accord.functions import vectors as V
-from accord.operators import baseline, bootstrap, matching, pairs, replicate, retrieval, summaries
+from accord.operators import baseline, matching, pairs
 from accord.plans import fragments as S
-from accord.plans.fragments import WITH_EVENTS, WITH_SIGNATURES, edges_sql, truth_sql
-from accord.plans.joins import EDGES, edges
+from accord.plans.fragments import WITH_SIGNATURES, edges_sql
 from accord.plans.registry import query, r, rounded
-from accord.sources.views import event_samples, read, signatures
+from accord.sources.views import signatures
 
 PAIRS_SQL = f"""{WITH_SIGNATURES}, samples AS (SELECT * EXCLUDE (lfc, t, p) FROM signatures), {edges_sql('samples')},
 v AS (SELECT e.*, a.lfc AS x, b.lfc AS y, a.t AS xt, b.t AS yt, a.p AS xp, b.p AS yp FROM edges e JOIN signatures a ON a.row_pos = a_row_pos JOIN signatures b ON b.row_pos = b_row_pos)"""
