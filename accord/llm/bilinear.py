@@ -13,6 +13,7 @@ task gives back has a fixed size.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -28,6 +29,8 @@ from accord.llm.wordcache import WordCache
 SHORT, CLASSES, HEAD = 256, 256, 200_000
 SYMBOLS, END = SHORT + CLASSES, 0
 WIDTH, NOISE, SHARED, STEP, ROUNDS, RATE = 24, 10, 64, 1024, 2, 0.15
+#: Words that a worker remembers, in each of two generations.
+CACHED = 500_000
 #: Tasks that sum what the training tasks give back.
 SUMS = 16
 _PUNCTUATION = b".,;:!?\"'()[]{}<>|*-$%&/#"
@@ -39,9 +42,9 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def class_of(word: bytes) -> int:
-    """One of CLASSES, by the last three bytes of the word's inner part and by whether punctuation stands after it."""
-    inner = word.strip(_PUNCTUATION)
-    return zlib.crc32(inner[-3:] + (b"." if not word.endswith(inner) else b"")) % CLASSES
+    """One of CLASSES, by the last three bytes of the word before any punctuation and by whether there is some."""
+    inner = word.rstrip(_PUNCTUATION)
+    return zlib.crc32(inner[-3:], len(inner) < len(word)) % CLASSES
 
 
 # ------------------------------------------------------------------ counts
@@ -56,16 +59,15 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             some = words[k : k + 50_000]
             yield pa.record_batch({"word": pa.array(some, pa.binary()).cast(pa.string()), "class": pa.array([class_of(w) for w in some], pa.int32()), "c": pa.array([held[w] for w in some], pa.int64())})
 
-    held: dict[bytes, int] = {}
+    held: Counter[bytes] = Counter()
     for batch in batches:
         for piece in pieces(batch):
             for text in texts(piece.column("text")):
-                for w in tokens(text):
-                    held[w] = held.get(w, 0) + 1
-                held[b""] = held.get(b"", 0) + 1
+                held.update(tokens(text))
+                held[b""] += 1
             if len(held) > 1_000_000:
                 yield from out(held)
-                held = {}
+                held = Counter()
     yield from out(held)
 
 
@@ -147,7 +149,7 @@ class Model:
 
 def _grouped(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of rows by index: distinct indices and their sums."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index.astype(np.uint16), kind="stable")  # 16 bits sort by radix
     index = index[order]
     starts = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
     return index[starts], np.add.reduceat(rows[order], starts, axis=0)
@@ -172,10 +174,12 @@ class Trainer:
         noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(SHARED)), SYMBOLS - 1)
         rf, rn, qw, qn = m.r[far], m.r[near], m.q[word], m.q[noise]
         context = rf @ m.c2.T + rn @ m.c1.T
-        true = 1 / (1 + np.exp(np.einsum("ij,ij->i", context, qw) + m.b[word] - self.log_noise[word]))
-        false = 1 / (1 + np.exp(-(context @ qn.T + m.b[noise] - self.log_noise[noise])))
-        true = (true * weight).astype(np.float32)
-        false = (false * (weight[:, None] * (NOISE / SHARED))).astype(np.float32)
+        true = weight / (1 + np.exp(np.einsum("ij,ij->i", context, qw) + (m.b[word] - self.log_noise[word])))
+        false = context @ -qn.T
+        false -= m.b[noise] - self.log_noise[noise]
+        np.exp(false, out=false)
+        false += 1
+        np.divide((weight * np.float32(NOISE / SHARED))[:, None], false, out=false)
         by_context = true[:, None] * qw - false @ qn
         self._apply("c1", slice(None), by_context.T @ rn)
         self._apply("c2", slice(None), by_context.T @ rf)
@@ -185,13 +189,12 @@ class Trainer:
         index, g = _grouped(at, np.concatenate([true, -false.sum(0)])[:, None])
         self._apply("b", index, g[:, 0])
 
-    def learn(self, symbols: list[np.ndarray]) -> None:
-        """One pass over texts of symbols (each ending in END): equal trigrams are one, weighted by their count."""
-        codes = []
-        for s in symbols:
-            x = np.concatenate([[END, END], s]).astype(np.int64)
-            codes.append((x[:-2] * SYMBOLS + x[1:-1]) * SYMBOLS + x[2:])
-        distinct, times = np.unique(np.concatenate(codes), return_counts=True)
+    def learn(self, symbols: np.ndarray) -> None:
+        """One pass over a run of texts, each with one END after it: equal trigrams are one, weighted by their count. A text begins as if after two ENDs."""
+        s = symbols.astype(np.int64)
+        near = np.concatenate([[END], s[:-1]])
+        far = np.where(near == END, END, np.concatenate([[END, END], s[:-2]])[: len(s)])
+        distinct, times = np.unique((far * SYMBOLS + near) * SYMBOLS + s, return_counts=True)
         order = self.random.permutation(len(distinct))
         distinct, times = distinct[order], times[order].astype(np.float32) / STEP
         for k in range(0, len(distinct), STEP):
@@ -203,19 +206,28 @@ def trained(training: DataFrame, vocabulary: Vocabulary) -> Model:
     model = Model(vocabulary.frequency)
     if not vocabulary.n:
         return model
+
+    def symbolise(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        cache = WordCache(vocabulary.symbol, CACHED)
+        for batch in batches:
+            for piece in pieces(batch):
+                symbols = [np.fromiter([*map(cache.__getitem__, tokens(t)), END], dtype="<u2") for t in texts(piece.column("text"))]
+                yield pa.record_batch({"symbols": pa.array([np.concatenate(symbols).tobytes()], pa.binary())})
+
+    # Two bytes a token, read in every round.
+    runs = written(training.select("text").mapInArrow(symbolise, "symbols binary"), "symbols")
     for round_ in range(ROUNDS):
         start = model.flat()
 
         def run(batches: Iterable[pa.RecordBatch], start=start, round_=round_) -> Iterable[pa.RecordBatch]:
             own = Model(vocabulary.frequency)
             own.set(start)
-            trainer = Trainer(own, vocabulary.frequency, 1000 * round_ + TaskContext.get().partitionId())
-            cache, n = WordCache(vocabulary.symbol), 0
+            trainer, n = Trainer(own, vocabulary.frequency, 1000 * round_ + TaskContext.get().partitionId()), 0
             for batch in batches:
-                for piece in pieces(batch):
-                    symbols = [np.fromiter([*map(cache.__getitem__, tokens(t)), END], dtype=np.int32) for t in texts(piece.column("text"))]
+                for x in batch.column("symbols").to_pylist():
+                    symbols = np.frombuffer(x, dtype="<u2")
                     trainer.learn(symbols)
-                    n += sum(map(len, symbols))
+                    n += len(symbols)
             if n:
                 yield pa.record_batch({"n": pa.array([n], pa.int64()), "flat": pa.array([own.flat().astype("<f4").tobytes()], pa.binary())})
 
@@ -229,17 +241,17 @@ def trained(training: DataFrame, vocabulary: Vocabulary) -> Model:
                 yield pa.record_batch({"n": pa.array([n], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
 
         # A task gives back some 100 KB; they are summed in parallel, so the driver gets SUMS rows at most.
-        tasks = written(training.select("text").mapInArrow(run, "n long, flat binary"), "parameters")
+        tasks = written(runs.mapInArrow(run, "n long, flat binary"), "parameters")
         rows = tasks.repartition(SUMS).mapInArrow(summed, "n long, total binary").collect()
         model.set(sum(np.frombuffer(r["total"]) for r in rows) / sum(r["n"] for r in rows))
         dropped(training.sparkSession, tasks)
+    dropped(training.sparkSession, runs)
     return model
 
 
 # ------------------------------------------------------------------ scores
 
 _PARTS = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word: string, n: long>>"
-_RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
 
 def _parts(documents: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
@@ -249,11 +261,11 @@ def _parts(documents: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFr
     end_log = np.log10(vocabulary.end_count + 1)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        cache = WordCache(lambda w: (vocabulary.symbol(w) << 32) + head.get(w, len(head)))
+        cache = WordCache(lambda w: (vocabulary.symbol(w) << 32) + head.get(w, len(head)), CACHED)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces(batch):
-                out = []
+                out, names_of, counts_of, ends = [], [], [], [0]
                 for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts(piece.column("text"))):
                     words = tokens(text)
                     codes = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
@@ -268,11 +280,15 @@ def _parts(documents: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFr
                         rare[words[k]] = rare.get(words[k], 0) + 1
                     known = len(words) - sum(rare.values()) + bool(vocabulary.end_count)
                     base = own + end_log - (len(words) + 1) * denominator
-                    out.append((row, doc_id, len(words) + 1, known, base, score, [{"word": w.decode(), "n": c} for w, c in rare.items()]))
+                    out.append((row, doc_id, len(words) + 1, known, base, score))
+                    names_of += rare
+                    counts_of += rare.values()
+                    ends.append(len(names_of))
                     row += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), _RARE]
-                names = ["row", "doc_id", "n_tokens", "known", "base", "score", "rare"]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                struct = pa.StructArray.from_arrays([pa.array(names_of, pa.binary()).cast(pa.string()), pa.array(counts_of, pa.int64())], names=["word", "n"])
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)]
+                yield pa.record_batch(columns, names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
 
     return written(documents.mapInArrow(run, _PARTS), "scores")
 
