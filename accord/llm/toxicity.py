@@ -44,11 +44,12 @@ def forms(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in STEMS if len(word) > k)]
 
 
-def log_odds(toxic: int, clean: int, of_toxic: int, of_clean: int) -> tuple[float, float]:
-    """Log-odds ratio with a Dirichlet prior proportional to the joint frequency, and its standard deviation."""
-    prior = PRIOR * (toxic + clean) / max(1, of_toxic + of_clean)
+def log_odds(toxic: int, clean: int, of_toxic: int, of_clean: int, documents: int) -> tuple[float, float]:
+    """Log-odds ratio of a form's share of all words, with a Dirichlet prior of PRIOR documents at the joint frequency, and its standard deviation."""
+    share = PRIOR / documents
+    prior, whole = share * (toxic + clean), share * (of_toxic + of_clean)
     a, b = toxic + prior, clean + prior
-    ratio = math.log(a / (of_toxic + PRIOR - a)) - math.log(b / (of_clean + PRIOR - b))
+    ratio = math.log(a / (of_toxic + whole - a)) - math.log(b / (of_clean + whole - b))
     return ratio, math.sqrt(1 / a + 1 / b)
 
 
@@ -119,6 +120,7 @@ def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         into = toxic if label else clean
         for form in seen:
             into[form] = into.get(form, 0) + 1
+        into[""] = into.get("", 0) + len(distinct)  # all words
     names = list(toxic.keys() | clean.keys())
     return pa.record_batch({"form": pa.array(names, pa.string()), "t": pa.array([toxic.get(x, 0) for x in names], pa.int64()), "c": pa.array([clean.get(x, 0) for x in names], pa.int64())})
 
@@ -138,13 +140,18 @@ def fitted(labelled: DataFrame) -> dict:
     model = {"forms": {}, "rate": 1.0, "size": 1.0, "curve": (math.log(prior / (1 - prior)), 0.0)}
     if not (of_toxic and of_clean):
         return model
+    documents = of_toxic + of_clean
     counted = mapped(rows.filter("not held").select("text", "toxic"), _counts, "form string, t long, c long").groupBy("form").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter(F.col("t") + F.col("c") >= SUPPORT)
-    a = F.col("t") + PRIOR * (F.col("t") + F.col("c")) / (of_toxic + of_clean)
-    b = F.col("c") + PRIOR * (F.col("t") + F.col("c")) / (of_toxic + of_clean)
-    z = (F.log(a / (of_toxic + PRIOR - a)) - F.log(b / (of_clean + PRIOR - b))) / F.sqrt(1 / a + 1 / b)
-    telling = counted.withColumn("z", z).filter(F.abs("z") > CAUTION).orderBy(F.abs("z").desc(), "form").limit(MODEL_FORMS).collect()
+    counted = written(counted, "forms")
+    words_of = counted.filter("form = ''").first()
+    if words_of is None:
+        return model
+    share, whole = PRIOR / documents, PRIOR / documents * (words_of["t"] + words_of["c"])
+    a, b = F.col("t") + share * (F.col("t") + F.col("c")), F.col("c") + share * (F.col("t") + F.col("c"))
+    z = (F.log(a / (words_of["t"] + whole - a)) - F.log(b / (words_of["c"] + whole - b))) / F.sqrt(1 / a + 1 / b)
+    telling = counted.filter("form <> ''").withColumn("z", z).filter(F.abs("z") > CAUTION).orderBy(F.abs("z").desc(), "form").limit(MODEL_FORMS).collect()
     for r in telling:
-        ratio, deviation = log_odds(r["t"], r["c"], of_toxic, of_clean)
+        ratio, deviation = log_odds(r["t"], r["c"], words_of["t"], words_of["c"], documents)
         model["forms"][r["form"]] = (cautious(ratio, deviation), r["z"])
 
     forms_ = model["forms"]
