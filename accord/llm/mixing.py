@@ -28,6 +28,8 @@ SHARD_BLOCKS, MOST_SHARDS = 4096, 4096
 MOST_TIMES = 3
 #: One row a source goes through the driver, for the order by code point and the targets; more sources than this are an error.
 MOST_SOURCES = 1_000_000
+#: Put before the names of carried columns, so that they clash with none of the mix's own.
+CARRIED = "carried__"
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -93,7 +95,7 @@ def _quotas(shards: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 
 def mixed(documents: DataFrame, carried: tuple[str, ...] = (), seed: int = 20, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, size, source_size, target, taken, full, ranges and the carried columns of every document.
+    """doc_id, size, source_size, target, taken, full, ranges of every document, and the carried columns, their names behind CARRIED.
 
     size: words of the whole text (null: 0). Sources in order of code points, null last, weigh `weights` in turn. taken: words
     that the mix takes, counting repeats: `full` times the whole document, and once more the word ranges [from, to) in `ranges`.
@@ -101,7 +103,7 @@ def mixed(documents: DataFrame, carried: tuple[str, ...] = (), seed: int = 20, w
     about SHARD_BLOCKS blocks, so a source of a third of all rows is dealt over many tasks.
     """
     spark = documents.sparkSession
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *[F.col(c).alias(f"_{c}") for c in carried])
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *[F.col(c).alias(f"{CARRIED}{c}") for c in carried])
     totals = base.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -121,7 +123,7 @@ def mixed(documents: DataFrame, carried: tuple[str, ...] = (), seed: int = 20, w
     held = placed(base.select("doc_id", "source", "size")).groupBy("place", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats")).filter("words > 0")
     kind = "place int, shard int, blocks long, full long, rest long, step long, shift long"
     quotas = written(held.groupBy("place").applyInPandas(lambda x: _quotas(x, seed), kind), "quotas")
-    run = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size", *[f"_{c}" for c in carried]).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size", *[f"{CARRIED}{c}" for c in carried]).rowsBetween(Window.unboundedPreceding, 0)
     rows = placed(base).withColumn("end", F.sum("size").over(run)).withColumn("begin", F.col("end") - F.col("size"))
     rows = rows.join(small(quotas), ["place", "shard"], "left")
     chosen = F.filter(
@@ -133,25 +135,24 @@ def mixed(documents: DataFrame, carried: tuple[str, ...] = (), seed: int = 20, w
     rows = rows.withColumn("ranges", F.when((F.col("size") > 0) & (F.col("rest") > 0), ranges).otherwise(none))
     more = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, r: acc + r["to"] - r["from"])
     taken = F.when(F.col("size") > 0, F.col("full") * F.col("size") + more).otherwise(F.lit(0).cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.coalesce("full", F.lit(0)).cast("int").alias("full"), "ranges", *[F.col(f"_{c}").alias(c) for c in carried])
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.coalesce("full", F.lit(0)).cast("int").alias("full"), "ranges", *[f"{CARRIED}{c}" for c in carried])
 
 
 def mixture(documents: DataFrame, seed: int = 20) -> DataFrame:
     """The mix itself, with the columns of documents: a document that is taken `full` times stands so often with its whole text, and once more with the chosen word ranges, if any."""
     names = documents.columns
-    parts = mixed(documents, tuple(c for c in names if c != "doc_id"), seed)
-    rows = parts.filter("full > 0 or size(ranges) > 0")
+    rows = mixed(documents, tuple(names), seed).filter("full > 0 or size(ranges) > 0")
 
     def run(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         keep, made = [], []
-        texts = batch.column("text").to_pylist()
+        texts = batch.column(f"{CARRIED}text").to_pylist()
         for i, (text, full, ranges) in enumerate(zip(texts, batch.column("full").to_pylist(), batch.column("ranges").to_pylist())):
             keep += [i] * full
             made += [text] * full
             if ranges:
                 keep.append(i)
                 made.append(cut(text, [(r["from"], r["to"]) for r in ranges]))
-        out = batch.select(names).take(pa.array(keep, pa.int64()))
+        out = batch.select([f"{CARRIED}{c}" for c in names]).take(pa.array(keep, pa.int64()))
         at = names.index("text")
         columns = [*out.columns[:at], pa.array(made, pa.string()), *out.columns[at + 1 :]]
         if "n_chars" in names:
@@ -159,8 +160,7 @@ def mixture(documents: DataFrame, seed: int = 20) -> DataFrame:
             columns[k] = pa.array([None if x is None else len(x) for x in made], pa.int64()).cast(columns[k].type)
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = documents.schema
-    return mapped(rows.select(*names, "full", "ranges"), run, schema)
+    return mapped(rows.select(*[f"{CARRIED}{c}" for c in names], "full", "ranges"), run, documents.schema)
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> str:

@@ -26,6 +26,9 @@ SUPPORT = 3
 #: Share of an entity's information from which a word near it is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
+#: Put before the names of columns that are joined to documents, so that they clash with none of theirs.
+OWN = "sanitise__"
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -206,19 +209,20 @@ def sanitised(documents: DataFrame) -> DataFrame:
     """documents, with the texts rewritten and n_chars, if there is one, counted anew. A null text stays null."""
     names = documents.columns
     spans = personal_spans(documents).filter("size(base) > 0").dropDuplicates(["doc_id", "mark"])
-    keys = spans.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "base", "terms")
-    rows = documents.withColumn("_m", F.xxhash64(F.col("text").cast("string"))).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")), "left")
+    keys = spans.select(*[F.col(c).alias(f"{OWN}{c}") for c in ("doc_id", "mark", "base", "terms")])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{OWN}doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{OWN}mark"))
+    rows = documents.join(keys, same, "left").select(*names, f"{OWN}base", f"{OWN}terms")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, base, terms in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "terms"))):
+        for text, base, terms in zip(*(batch.column(c).to_pylist() for c in ("text", f"{OWN}base", f"{OWN}terms"))):
             out.append(text if not text or not base else rewritten(text, [(s["start"], s["kind"], s["end"]) for s in base], [(t["start"], t["end"], t["removed"]) for t in terms]))
         columns = {c: batch.column(c) for c in names} | {"text": pa.array(out, pa.string())}
         if "n_chars" in names:
             columns["n_chars"] = pa.array([None if x is None else len(x) for x in out], pa.int64()).cast(batch.column("n_chars").type)
         return pa.record_batch(columns)
 
-    return mapped(rows.select(*names, "base", "terms"), run, documents.schema)
+    return mapped(rows, run, documents.schema)
 
 
 def op2_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
