@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import mapped, small, table, with_texts, written
+from accord.llm.common import mapped, pieces, small, table, with_texts, written
 from accord.llm.components import components
 from accord.llm.words import mix64, multipliers, shingle_sets
 
@@ -27,6 +27,8 @@ BANDS, ROWS = 26, 5
 HASHES = BANDS * ROWS
 #: Hashes compared in turn; after each batch, pairs are pruned.
 BATCHES = (32, 64, 96, HASHES)
+#: Bytes of text that are hashed at once: the arrays on the way take some forty times as much.
+HASHED = 1 << 20
 #: Members of a bucket that are compared in one task.
 BLOCK = 1024
 
@@ -142,11 +144,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
     """
     least = tuple(least_matches(n, percent / 100, miss) for n in BATCHES)
     docs = with_texts(documents)
-    seen = written(mapped(docs, _summaries, "doc_id long, n_shingles long, f1 long, f2 long"), "sets")
+    seen = written(mapped(docs, _summaries, "doc_id long, n_shingles long, f1 long, f2 long", HASHED), "sets")
     classes = written(seen.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
 
     chosen = docs.join(small(classes.select(F.col("id").alias("doc_id")), classes.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    signed = written(mapped(chosen, _signed, "id long, keys array<long>, sig binary"), "signatures")
+    signed = written(mapped(chosen, _signed, "id long, keys array<long>, sig binary", HASHED), "signatures")
     banded = signed.select("id", F.posexplode("keys").alias("band", "key"))
     full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -177,8 +179,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
     def verified(batches):
         for rows in _groups(batches, block):
             names, sets = rows.column("id").to_numpy(), []
-            for part in rows.column("text").chunks:
-                sets += shingle_sets(part)
+            for part in rows.select(["text"]).to_batches():
+                for piece in pieces(part, HASHED):
+                    sets += shingle_sets(piece.column("text"))
             root = list(range(len(names)))
 
             def top(x):
