@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import dropped, pieces, table, texts, with_texts, written
+from accord.llm.common import cutoff, dropped, mapped, pieces, table, texts, written
 from accord.llm.wordcache import WordCache
 
 #: Symbols: END and the commonest words up to SHORT, then CLASSES. HEAD: words whose counts every worker holds (some MB); rarer words meet their counts in a join.
@@ -82,13 +82,14 @@ class Vocabulary:
     def __init__(self, counts: DataFrame):
         sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.n, self.v = int(sums["n"] or 0), int(sums["v"])
-        head = counts.filter("word <> ''").orderBy(F.desc("c"), "word").limit(HEAD).collect()
+        head = sorted(counts.filter(F.col("c") >= cutoff(counts, "c", HEAD)).filter("word <> ''").collect(), key=lambda r: (-r["c"], r["word"]))
         end = counts.filter("word = ''").first()
         self.end_count = int(end["c"]) if end else 0
         self.head = {r["word"].encode(): k for k, r in enumerate(head)}
         self.logs = np.log10(np.array([r["c"] for r in head] + [0], dtype=np.float64) + 1)
         short = head[: SHORT - 1]
         self.symbols = {r["word"].encode(): k + 1 for k, r in enumerate(short)}
+        self.end_log = float(np.log10(self.end_count + 1))
         by_class = {r["class"]: (r["n"], r["v"]) for r in counts.filter("word <> ''").groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
         n, v = np.zeros(CLASSES), np.zeros(CLASSES)
         for k, (a, b) in by_class.items():
@@ -108,10 +109,6 @@ class Vocabulary:
         smooth = np.where(self.open, frequency + 0.5, 0)
         self.frequency = smooth / smooth.sum()
 
-    def symbol(self, word: bytes) -> int:
-        found = self.symbols.get(word)
-        return SHORT + class_of(word) if found is None else found
-
 
 # ------------------------------------------------------------------ the model
 
@@ -202,30 +199,23 @@ class Trainer:
             self.step(code // (SYMBOLS * SYMBOLS), code // SYMBOLS % SYMBOLS, code % SYMBOLS, times[k : k + STEP])
 
 
-def trained(training: DataFrame, vocabulary: Vocabulary) -> Model:
-    model = Model(vocabulary.frequency)
+def trained(parts: DataFrame, vocabulary: Vocabulary) -> Model:
+    """The model after ROUNDS over all training rows of parts (training, symbols)."""
+    frequency = vocabulary.frequency
+    model = Model(frequency)
     if not vocabulary.n:
         return model
-
-    def symbolise(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        cache = WordCache(vocabulary.symbol, CACHED)
-        for batch in batches:
-            for piece in pieces(batch):
-                symbols = [np.fromiter([*map(cache.__getitem__, tokens(t)), END], dtype="<u2") for t in texts(piece.column("text"))]
-                yield pa.record_batch({"symbols": pa.array([np.concatenate(symbols).tobytes()], pa.binary())})
-
-    # Two bytes a token, read in every round.
-    runs = written(training.select("text").mapInArrow(symbolise, "symbols binary"), "symbols")
+    spark = parts.sparkSession
     for round_ in range(ROUNDS):
         start = model.flat()
 
         def run(batches: Iterable[pa.RecordBatch], start=start, round_=round_) -> Iterable[pa.RecordBatch]:
-            own = Model(vocabulary.frequency)
+            own = Model(frequency)
             own.set(start)
-            trainer, n = Trainer(own, vocabulary.frequency, 1000 * round_ + TaskContext.get().partitionId()), 0
+            trainer, n = Trainer(own, frequency, 1000 * round_ + TaskContext.get().partitionId()), 0
             for batch in batches:
-                for x in batch.column("symbols").to_pylist():
-                    symbols = np.frombuffer(x, dtype="<u2")
+                for piece in pieces(batch, 2 << 20):
+                    symbols = np.frombuffer(b"".join(piece.column("symbols").to_pylist()), dtype="<u2")
                     trainer.learn(symbols)
                     n += len(symbols)
             if n:
@@ -241,75 +231,95 @@ def trained(training: DataFrame, vocabulary: Vocabulary) -> Model:
                 yield pa.record_batch({"n": pa.array([n], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
 
         # A task gives back some 100 KB; they are summed in parallel, so the driver gets SUMS rows at most.
-        tasks = written(runs.mapInArrow(run, "n long, flat binary"), "parameters")
+        tasks = written(parts.filter("training").select("symbols").mapInArrow(run, "n long, flat binary"), "parameters")
         rows = tasks.repartition(SUMS).mapInArrow(summed, "n long, total binary").collect()
         model.set(sum(np.frombuffer(r["total"]) for r in rows) / sum(r["n"] for r in rows))
-        dropped(training.sparkSession, tasks)
-    dropped(training.sparkSession, runs)
+        dropped(spark, tasks)
     return model
 
 
 # ------------------------------------------------------------------ scores
 
-_PARTS = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word: string, n: long>>"
+_PARTS = "row long, doc_id long, training boolean, n_tokens long, known long, logs double, within double, rare array<struct<word: string, n: long>>, symbols binary"
 
 
-def _parts(documents: DataFrame, vocabulary: Vocabulary, model: Model) -> DataFrame:
-    far, near, z = model.tables(vocabulary.open)
-    denominator = np.log10(vocabulary.n + vocabulary.v + 1)
-    head, logs, within = vocabulary.head, vocabulary.logs, vocabulary.within
-    end_log = np.log10(vocabulary.end_count + 1)
+def symbolised(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """What of each document (doc_id, text, training) doesn't depend on the model: its symbols (two bytes a token), the log10 counts of its head words, those and the denominators within classes, and its rare words."""
+    head, logs, within, symbols_of, end_log, end_known = vocabulary.head, vocabulary.logs, vocabulary.within, vocabulary.symbols, vocabulary.end_log, bool(vocabulary.end_count)
+
+    def code(word: bytes) -> int:
+        symbol = symbols_of.get(word)
+        return ((SHORT + class_of(word) if symbol is None else symbol) << 32) + head.get(word, len(head))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        cache = WordCache(lambda w: (vocabulary.symbol(w) << 32) + head.get(w, len(head)), CACHED)
+        cache = WordCache(code, CACHED)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces(batch):
                 out, names_of, counts_of, ends = [], [], [], [0]
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts(piece.column("text"))):
+                for doc_id, training, text in zip(piece.column("doc_id").to_pylist(), piece.column("training").to_pylist(), texts(piece.column("text"))):
                     words = tokens(text)
                     codes = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words))
-                    symbols = np.concatenate([[END, END], codes >> 32, [END]])
-                    places = codes & 0xFFFFFFFF
-                    a, b, s = symbols[:-2], symbols[1:-1], symbols[2:]
-                    own = float(logs[places].sum())
-                    other = codes >> 32 >= SHORT
-                    score = float((far[a, s] + near[b, s] - z[a, b]).sum() + logs[places[other]].sum() - within[(codes[other] >> 32) - SHORT].sum())
+                    symbols, places = codes >> 32, codes & 0xFFFFFFFF
+                    other = symbols >= SHORT
                     rare: dict[bytes, int] = {}
                     for k in np.flatnonzero(places == len(head)).tolist():
                         rare[words[k]] = rare.get(words[k], 0) + 1
-                    known = len(words) - sum(rare.values()) + bool(vocabulary.end_count)
-                    base = own + end_log - (len(words) + 1) * denominator
-                    out.append((row, doc_id, len(words) + 1, known, base, score))
+                    known = len(words) - sum(rare.values()) + end_known
+                    inner = float(logs[places[other]].sum() - within[symbols[other] - SHORT].sum())
+                    out.append((row, doc_id, training, len(words) + 1, known, float(logs[places].sum()) + end_log, inner, np.append(symbols, END).astype("<u2").tobytes()))
                     names_of += rare
                     counts_of += rare.values()
                     ends.append(len(names_of))
                     row += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
                 struct = pa.StructArray.from_arrays([pa.array(names_of, pa.binary()).cast(pa.string()), pa.array(counts_of, pa.int64())], names=["word", "n"])
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)]
-                yield pa.record_batch(columns, names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare"])
+                columns.insert(7, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct))
+                yield pa.record_batch(columns, names=["row", "doc_id", "training", "n_tokens", "known", "logs", "within", "rare", "symbols"])
+
+    return written(documents.mapInArrow(run, _PARTS), "symbols")
+
+
+def _sequences(parts: DataFrame, model: Model, vocabulary: Vocabulary) -> DataFrame:
+    """row, likelihood: log10 probability of each document's symbols."""
+    far, near, z = (t.astype(np.float32) for t in model.tables(vocabulary.open))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = batch.column("symbols").to_pylist()
+        s = np.frombuffer(b"".join(data), dtype="<u2").astype(np.int64)
+        ends = np.cumsum([len(x) // 2 for x in data])
+        last = np.concatenate([[END], s[:-1]])
+        before = np.where(last == END, END, np.concatenate([[END, END], s[:-2]])[: len(s)])
+        each = (far[before, s] + near[last, s] - z[before, last]).astype(np.float64)
+        sums = np.add.reduceat(each, np.concatenate([[0], ends[:-1]]))
+        return pa.record_batch({"row": batch.column("row"), "likelihood": pa.array(sums)})
 
-    return written(documents.mapInArrow(run, _PARTS), "scores")
+    return mapped(parts.select("row", "symbols"), run, "row long, likelihood double")
 
 
-def scored(documents: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every document; training: rows with a text.
+def scored(documents: DataFrame, training) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every document; training: condition on its columns (null: not) under which a document is learnt from.
 
     base_score sums log10 of add-one unigrams over the tokens, score is the model's log10 probability of the text with its
     end. A null text is empty: one token, the end. Without training texts every token is unknown and the model is uniform
-    over its symbols. Repeated rows come back as often. Other columns play no part.
+    over its symbols. Repeated rows come back as often. Columns other than doc_id and text play no part beyond the condition.
     """
-    counts = written(counted(with_texts(training)), "counts")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    counts = written(counted(docs.filter("training")), "counts")
     vocabulary = Vocabulary(counts)
-    model = trained(with_texts(training), vocabulary)
-    parts = _parts(with_texts(documents), vocabulary, model)
+    parts = symbolised(docs, vocabulary)
+    model = trained(parts, vocabulary)
+    likelihoods = _sequences(parts, model, vocabulary)
     # Words of the head have been scored already: those left are rare, so none of them is a hot key.
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts.select("word", "c"), "word")
-    more = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum("n").alias("more"))
-    out = parts.drop("rare").join(more, "row", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score"))
+    more = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_logs"), F.sum("n").alias("more"))
+    out = parts.drop("rare", "symbols").join(likelihoods, "row").join(more, "row", "left")
+    rest = F.coalesce("rare_logs", F.lit(0.0))
+    denominator = float(np.log10(vocabulary.n + vocabulary.v + 1))
+    base = F.col("logs") + rest - F.col("n_tokens") * denominator
+    known = F.col("known") + F.coalesce("more", F.lit(0))
+    return out.select("doc_id", "n_tokens", known.alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("likelihood") + F.col("within") + rest).alias("score"))
 
 
 def held_out(column: str = "doc_id"):
@@ -318,5 +328,5 @@ def held_out(column: str = "doc_id"):
 
 def op5_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    out = scored(documents, documents.filter(~held_out()))
+    out = scored(documents, ~held_out())
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

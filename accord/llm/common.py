@@ -53,16 +53,28 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def cutoff(df: DataFrame, column: str, most: int, steps: int = 64) -> float:
+    """A value that at most `most` rows reach in a column of positive numbers, from a histogram of their logarithms (some thousand bins at most, whatever the rows); the least value if no more rows are there."""
+    bins = df.filter(F.col(column) > 0).groupBy(F.floor(F.log2(column) * steps).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("least")).collect()
+    total, least = 0, float("inf")
+    for r in sorted(bins, key=lambda r: -r["b"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch; batches are cut into pieces of about 8 MB, so long texts stay within memory."""
+def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, most: int = 4 << 20) -> DataFrame:
+    """mapInArrow with a function of one batch; batches are cut into pieces of about `most` bytes, so long texts stay within memory."""
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, most):
                 made = f(piece)
                 if isinstance(made, pa.RecordBatch):
                     yield made
@@ -72,7 +84,7 @@ def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterable[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterable[pa.RecordBatch]:
     if not batch.num_rows:
         return
     step = max(1, int(batch.num_rows * most / max(most, batch.nbytes)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import mapped, small, table, with_texts, written
+from accord.llm.common import cutoff, mapped, small, table, with_texts, written
 from accord.llm.wordcache import WordCache
 
 STEMS = (4, 5, 6, 7)
@@ -149,8 +149,8 @@ def fitted(labelled: DataFrame) -> dict:
     share, whole = PRIOR / documents, PRIOR / documents * (words_of["t"] + words_of["c"])
     a, b = F.col("t") + share * (F.col("t") + F.col("c")), F.col("c") + share * (F.col("t") + F.col("c"))
     z = (F.log(a / (words_of["t"] + whole - a)) - F.log(b / (words_of["c"] + whole - b))) / F.sqrt(1 / a + 1 / b)
-    telling = counted.filter("form <> ''").withColumn("z", z).filter(F.abs("z") > CAUTION).orderBy(F.abs("z").desc(), "form").limit(MODEL_FORMS).collect()
-    for r in telling:
+    telling = counted.filter("form <> ''").withColumn("z", z).withColumn("size", F.abs("z")).filter(F.col("size") > CAUTION)
+    for r in telling.filter(F.col("size") >= cutoff(telling, "size", MODEL_FORMS)).collect():
         ratio, deviation = log_odds(r["t"], r["c"], words_of["t"], words_of["c"], documents)
         model["forms"][r["form"]] = (cautious(ratio, deviation), r["z"])
 

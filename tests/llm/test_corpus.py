@@ -176,7 +176,7 @@ def test_piecewise_likeness():
 
 
 def test_language_model(documents, empty):
-    train = documents.filter("coalesce(doc_id, 0) % 2 = 0")
+    train = F.coalesce("doc_id", F.lit(0)) % 2 == 0
     got = bilinear.scored(documents, train).collect()
     counts: dict[bytes, int] = {}
     for d, t in texts():
@@ -190,7 +190,7 @@ def test_language_model(documents, empty):
         want.append((d, len(w), sum(x in counts for x in w), n, round(sum(np.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in w), 6)))
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == sorted(want, key=repr)
     assert all(r.score < 0 for r in got)
-    alone = bilinear.scored(documents, empty).collect()
+    alone = bilinear.scored(documents, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in alone)
     assert bilinear.scored(empty, train).count() == 0
 
@@ -198,7 +198,7 @@ def test_language_model(documents, empty):
 def test_language_model_is_normalised(documents):
     counts = bilinear.counted(documents)
     vocabulary = bilinear.Vocabulary(counts)
-    model = bilinear.trained(documents, vocabulary)
+    model = bilinear.trained(bilinear.symbolised(documents.withColumn("training", F.lit(True)), vocabulary), vocabulary)
     far, near, z = model.tables(vocabulary.open)
     for a, b in ((0, 0), (1, 2), (300, 5)):
         assert abs((10 ** (far[a] + near[b] - z[a, b])).sum() - 1) < 1e-9
