@@ -56,22 +56,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _summaries(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = shingle_sets(batch.column("text"))
-    n = np.array([len(s) for s in sets], dtype=np.int64)
+def _prints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums that tell different sets apart."""
     with np.errstate(over="ignore"):
         first = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
         second = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-    return pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(n), "f1": pa.array(first.view(np.int64)), "f2": pa.array(second.view(np.int64))})
+    return first.view(np.int64), second.view(np.int64)
+
 
+_SETS = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig binary"
 
-def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def _summaries(batch: pa.RecordBatch) -> pa.RecordBatch:
     sets = shingle_sets(batch.column("text"))
-    sigs = np.stack([signature(s) for s in sets]).astype(np.uint16) if sets else np.zeros((0, HASHES), np.uint16)
+    f1, f2 = _prints(sets)
+    none = np.zeros(HASHES, np.uint32)
+    sigs = np.stack([signature(s) if len(s) else none for s in sets]).astype(np.uint16)
     with np.errstate(over="ignore"):
         keys = mix64((sigs.reshape(-1, BANDS, ROWS).astype(np.uint64) * multipliers(HASHES, 33).reshape(BANDS, ROWS)).sum(2) + np.arange(BANDS, dtype=np.uint64))
     lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
-    return pa.record_batch({"id": batch.column("doc_id"), "keys": lists, "sig": pa.array([s.tobytes() for s in sigs], pa.binary())})
+    n = pa.array([len(s) for s in sets], pa.int64())
+    return pa.record_batch({"doc_id": batch.column("doc_id"), "n_shingles": n, "f1": pa.array(f1), "f2": pa.array(f2), "keys": lists, "sig": pa.array([s.tobytes() for s in sigs], pa.binary())})
 
 
 def _survivors(sigs: np.ndarray, band: int, side: np.ndarray, least: tuple[int, ...]) -> Iterable[tuple[int, np.ndarray, np.ndarray]]:
@@ -139,28 +144,26 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
     Texts are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct 5-word shingles (fewer words:
     the whole sequence; none or null: empty set, linked with nothing). component_id is the smallest doc_id reachable by
     links, kept says that the document is that one. miss: probability at which a pair is given up during comparison; what
-    banding itself may lose is below 3e-7 at similarity 0.85 and below 4e-5 at 0.8. Rows with a null doc_id come back unlinked. Repeated
-    rows are copies. Other columns play no part.
+    banding itself may lose is below 3e-7 at similarity 0.85 and below 4e-5 at 0.8. Rows with a null doc_id come back unlinked. Rows
+    that repeat a doc_id are one document of the graph, linked by any of their texts. Other columns play no part.
     """
     least = tuple(least_matches(n, percent / 100, miss) for n in BATCHES)
     docs = with_texts(documents)
-    seen = written(mapped(docs, _summaries, "doc_id long, n_shingles long, f1 long, f2 long", HASHED), "sets")
-    classes = written(seen.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-
-    chosen = docs.join(small(classes.select(F.col("id").alias("doc_id")), classes.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    signed = written(mapped(chosen, _signed, "id long, keys array<long>, sig binary", HASHED), "signatures")
-    banded = signed.select("id", F.posexplode("keys").alias("band", "key"))
+    seen = written(mapped(docs, _summaries, _SETS, HASHED), "sets")
+    known = seen.filter("n_shingles > 0 and doc_id is not null")
+    classes = written(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes")
+    banded = classes.select("id", "f1", F.posexplode("keys").alias("band", "key"))
     full = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     chunks = F.ceil(F.col("n") / BLOCK).cast("int")
     members = (
         banded.join(full, "key")
-        .select("id", "band", "key", chunks.alias("chunks"))
-        .withColumn("chunk", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int"))
+        .select("id", "f1", "band", "key", chunks.alias("chunks"))
+        .withColumn("chunk", F.pmod(F.xxhash64("id", "f1", "key"), F.col("chunks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("id", "band", "key", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
+        .select("id", "f1", "band", "key", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
     )
     block = ["key", "i", "j"]
-    dealt = members.join(signed.select("id", "sig"), "id").repartition(*block).sortWithinPartitions(*block, "id")
+    dealt = members.join(classes.select("id", "f1", "sig"), ["id", "f1"]).repartition(*block).sortWithinPartitions(*block, "id")
 
     def needed(batches):
         for rows in _groups(batches, block):
@@ -171,10 +174,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
             if use.any():
                 yield from rows.filter(pa.array(use)).combine_chunks().to_batches()
 
-    schema = "id long, band int, key long, chunk int, i int, j int, sig binary"
-    asked = written(dealt.select("id", "band", "key", "chunk", "i", "j", "sig").mapInArrow(needed, schema), "candidates")
+    schema = "id long, f1 long, band int, key long, chunk int, i int, j int, sig binary"
+    asked = written(dealt.select("id", "f1", "band", "key", "chunk", "i", "j", "sig").mapInArrow(needed, schema), "candidates")
     ids = asked.select(F.col("id").alias("doc_id")).distinct()
-    wanted = docs.join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id")
+    wanted = docs.join(small(ids), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
 
     def verified(batches):
         for rows in _groups(batches, block):
@@ -182,6 +185,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
             for part in rows.select(["text"]).to_batches():
                 for piece in pieces(part, HASHED):
                     sets += shingle_sets(piece.column("text"))
+            # Where rows repeat a doc_id with other texts, the join has brought those, too.
+            own = _prints(sets)[0] == rows.column("f1").to_numpy()
+            if not own.all():
+                rows, names, sets = rows.filter(pa.array(own)), names[own], [s for s, o in zip(sets, own) if o]
             root = list(range(len(names)))
 
             def top(x):
@@ -201,8 +208,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
                 yield pa.record_batch({"a": pa.array(names[tops[linked]]), "b": pa.array(names[linked])})
 
     to_verify = asked.join(wanted, "id").repartition(*block).sortWithinPartitions(*block, "id")
-    links = to_verify.select("id", "band", "key", "chunk", "i", "j", "sig", "text").mapInArrow(verified, "a long, b long")
-    found = components(links)
+    links = to_verify.select("id", "f1", "band", "key", "chunk", "i", "j", "sig", "text").mapInArrow(verified, "a long, b long")
+    again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    same = known.select("doc_id", "f1", "f2", "n_shingles").join(again, "doc_id", "left_semi").join(classes.select("f1", "f2", "n_shingles", "id"), ["f1", "f2", "n_shingles"])
+    found = components(links.union(same.select("doc_id", "id").filter("doc_id <> id")))
     groups = classes.join(found, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = seen.join(groups, ["f1", "f2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -25,7 +25,7 @@ def prose(n: int, seed: int) -> str:
 
 def texts() -> list[tuple[int | None, str | None]]:
     long = prose(6000, 1)
-    rows = [(1, prose(60, 2)), (2, prose(60, 2)), (3, prose(60, 2) + " more"), (4, None), (5, ""), (6, "one two"), (7, "one two"), (8, long), (9, long + " end"), (9, long + " end"), (10, " \t\n "), (11, "aé中 ▁ x"), (None, "no id here"), (12, "x" * 20_000)]
+    rows = [(1, prose(60, 2)), (2, prose(60, 2)), (3, prose(60, 2) + " more"), (4, None), (5, ""), (6, "one two"), (7, "one two"), (8, long), (9, long + " end"), (9, long + " end"), (25, prose(70, 77)), (10, " \t\n "), (11, "aé中 ▁ x"), (None, "no id here"), (12, "x" * 20_000)]
     return rows + [(20 + i, prose(40 + i, 50 + i)) for i in range(20)]
 
 
@@ -58,6 +58,8 @@ def brute_components(rows, percent):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
+            if rows[i][0] is not None and rows[i][0] == rows[j][0] and sets[i] and sets[j]:
+                root[top(i)] = top(j)
             if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]) and rows[i][0] is not None and rows[j][0] is not None:
                 root[top(i)] = top(j)
     least = {}
