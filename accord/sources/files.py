@@ -21,13 +21,13 @@ def exchange_folder(spark: SparkSession) -> str:
 def write_table(df: DataFrame, path: str) -> str:
     """CSV with a header, or TSV if the path says so; an existing table is replaced. Nulls are written as \\N, so empty texts stay empty."""
     sep = "\t" if path.endswith(".tsv") else ","
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", "\\N").csv(path)
     return path
 
 
 def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     sep = "\t" if path.endswith(".tsv") else ","
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("nullValue", "\\N").option("emptyValue", "").csv(path)
+    return spark.read.schema(schema).option("header", True).option("sep", sep).option("nullValue", "\\N").csv(path)
 
 
 def read_optional(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
