@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import cutoff, dropped, mapped, pieces, table, texts, written
+from accord.llm.common import cutoff, dropped, lean, mapped, pieces, released, table, texts, written
 from accord.llm.wordcache import WordCache
 
 #: Symbols: END and the commonest words up to SHORT, then CLASSES. HEAD: words whose counts every worker holds (some MB); rarer words meet their counts in a join.
@@ -73,7 +73,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 
 def counted(training: DataFrame) -> DataFrame:
     """word, class, c of every distinct token of the training texts; the empty word is the end."""
-    return training.select("text").mapInArrow(_count, "word string, class int, c long").groupBy("word", "class").agg(F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(released(_count), "word string, class int, c long").groupBy("word", "class").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -231,7 +231,7 @@ def trained(parts: DataFrame, vocabulary: Vocabulary) -> Model:
                 yield pa.record_batch({"n": pa.array([n], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
 
         # A task gives back some 100 KB; they are summed in parallel, so the driver gets SUMS rows at most.
-        tasks = written(parts.filter("training").select("symbols").mapInArrow(run, "n long, flat binary"), "parameters")
+        tasks = written(parts.filter("training").select("symbols").mapInArrow(released(run), "n long, flat binary"), "parameters")
         rows = tasks.repartition(SUMS).mapInArrow(summed, "n long, total binary").collect()
         model.set(sum(np.frombuffer(r["total"]) for r in rows) / sum(r["n"] for r in rows))
         dropped(spark, tasks)
@@ -278,7 +278,7 @@ def symbolised(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 columns.insert(7, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct))
                 yield pa.record_batch(columns, names=["row", "doc_id", "training", "n_tokens", "known", "logs", "within", "rare", "symbols"])
 
-    return written(documents.mapInArrow(run, _PARTS), "symbols")
+    return written(documents.mapInArrow(released(run), _PARTS), "symbols")
 
 
 def _sequences(parts: DataFrame, model: Model, vocabulary: Vocabulary) -> DataFrame:
@@ -305,6 +305,7 @@ def scored(documents: DataFrame, training) -> DataFrame:
     end. A null text is empty: one token, the end. Without training texts every token is unknown and the model is uniform
     over its symbols. Repeated rows come back as often. Columns other than doc_id and text play no part beyond the condition.
     """
+    lean(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     counts = written(counted(docs.filter("training")), "counts")
     vocabulary = Vocabulary(counts)

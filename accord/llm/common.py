@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -69,19 +71,57 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, most: int = 4 << 20) -> DataFrame:
-    """mapInArrow with a function of one batch; batches are cut into pieces of about `most` bytes, so long texts stay within memory."""
+#: Bytes of an Arrow batch between Spark and a worker; Spark's own limit is four times as much.
+BATCH = 16 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH bytes: both sides of the pipe keep whole batches."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(limit)).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH:
+        spark.conf.set(limit, str(BATCH))
+
+
+def released(f: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]):
+    """f, after which a worker gives unused memory back: workers outlive their tasks."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+
+def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str, most: int = 4 << 20, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch; batches are cut into pieces of about `most` bytes, so long texts stay within memory. done: called at the end of a task."""
 
     def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, most):
-                made = f(piece)
-                if isinstance(made, pa.RecordBatch):
-                    yield made
-                else:
-                    yield from made
-
-    return df.mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                for piece in pieces(batch, most):
+                    made = f(piece)
+                    if isinstance(made, pa.RecordBatch):
+                        yield made
+                    else:
+                        yield from made
+        finally:
+            if done:
+                done()
+
+    lean(df.sparkSession)
+    return df.mapInArrow(released(run), schema)
 
 
 def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterable[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import mapped, pieces, small, table, with_texts, written
+from accord.llm.common import mapped, pieces, released, small, table, with_texts, written
 from accord.llm.components import components
 from accord.llm.words import mix64, multipliers, shingle_sets
 
@@ -175,7 +175,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
                 yield from rows.filter(pa.array(use)).combine_chunks().to_batches()
 
     schema = "id long, f1 long, band int, key long, chunk int, i int, j int, sig binary"
-    asked = written(dealt.select("id", "f1", "band", "key", "chunk", "i", "j", "sig").mapInArrow(needed, schema), "candidates")
+    asked = written(dealt.select("id", "f1", "band", "key", "chunk", "i", "j", "sig").mapInArrow(released(needed), schema), "candidates")
     ids = asked.select(F.col("id").alias("doc_id")).distinct()
     wanted = docs.join(small(ids), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
 
@@ -208,7 +208,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
                 yield pa.record_batch({"a": pa.array(names[tops[linked]]), "b": pa.array(names[linked])})
 
     to_verify = asked.join(wanted, "id").repartition(*block).sortWithinPartitions(*block, "id")
-    links = to_verify.select("id", "f1", "band", "key", "chunk", "i", "j", "sig", "text").mapInArrow(verified, "a long, b long")
+    links = to_verify.select("id", "f1", "band", "key", "chunk", "i", "j", "sig", "text").mapInArrow(released(verified), "a long, b long")
     again = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     same = known.select("doc_id", "f1", "f2", "n_shingles").join(again, "doc_id", "left_semi").join(classes.select("f1", "f2", "n_shingles", "id"), ["f1", "f2", "n_shingles"])
     found = components(links.union(same.select("doc_id", "id").filter("doc_id <> id")))

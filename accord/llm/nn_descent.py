@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import dropped, mapped, pieces, table, written
+from accord.llm.common import dropped, mapped, pieces, released, table, written
 
 #: Neighbours of a node, trees, nodes of a leaf, rounds at most, share of changed entries at which they end.
 NEIGHBOURS, TREES, LEAF, ROUNDS, SETTLED = 32, 8, 1024, 4, 0.02
@@ -174,7 +174,7 @@ def _leaves(nodes: DataFrame, n: int, dimension: int, k: int, seed: int) -> Data
             yield from full(held, True)
 
     spread = mapped(nodes.select("node", "unit"), codes, "tree int, code long, along float, node long, unit binary")
-    return spread.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along", "node").mapInArrow(compare, f"node long, {_LIST}")
+    return spread.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along", "node").mapInArrow(released(compare), f"node long, {_LIST}")
 
 
 def _merged(graph: DataFrame, proposals: DataFrame, k: int) -> DataFrame:
@@ -246,7 +246,7 @@ def _local_join(graph: DataFrame, k: int, round_: int) -> DataFrame:
             yield from block(*(c if n else c[0] for n, c in enumerate(held)))
         yield from gathered.out()
 
-    return rows.select("hub", "member", "fresh", "unit", "last").mapInArrow(compare, f"node long, {_LIST}")
+    return rows.select("hub", "member", "fresh", "unit", "last").mapInArrow(released(compare), f"node long, {_LIST}")
 
 
 def neighbour_graph(nodes: DataFrame, dimension: int, k: int = NEIGHBOURS, seed: int = 1) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import new_path, pieces, table, with_texts, written
+from accord.llm.common import lean, new_path, pieces, released, table, with_texts, written
 from accord.llm.wordcache import WordCache
 
 MAGIC, BLOCK = b"ACPK0001", 4096
@@ -240,12 +240,15 @@ def write_packed(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
                         fs.create_dir(path.rsplit("/", 1)[0])
                         writer = PackedWriter(fs.open_output_stream(path), model.width)
                     writer.add(doc_id, model.encode(text or "") + end)
+        model.words.forget()
+        model.tokens.forget()
         if writer is not None:
             n = writer.close()
             yield pa.record_batch({"file": pa.array([name]), "part": pa.array([part], pa.int32()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
 
+    lean(documents.sparkSession)
     ordered = with_texts(documents).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "file string, part int, n_docs long, n_ids long"), "packed-files")
+    return written(ordered.mapInArrow(released(run), "file string, part int, n_docs long, n_ids long"), "packed-files")
 
 
 def read_packed(files: DataFrame) -> DataFrame:
@@ -266,7 +269,7 @@ def read_packed(files: DataFrame) -> DataFrame:
                     columns = list(zip(*out[k : k + 20_000]))
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return named.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return named.mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> str:

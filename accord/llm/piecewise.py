@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from accord.llm.common import pieces, table, with_texts, written
+from accord.llm.common import lean, pieces, released, table, with_texts, written
 from accord.llm.words import mix64
 
 WINDOW, LENGTH, LEAST, RUN = 7, 64, 32, 7
@@ -167,8 +167,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     first; a single document follows itself. Texts are shuffled once, by range; only the two ends of each range are joined
     afterwards. Other columns play no part.
     """
+    lean(documents.sparkSession)
     docs = with_texts(documents)
-    walked = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_walk, f"{_RESULT}, role string, part int, text string")
+    walked = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(released(_walk), f"{_RESULT}, role string, part int, text string")
     made = written(walked, "piecewise")
     ends = made.filter("role <> 'row'")
     heads = ends.filter("role = 'head'").select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
@@ -177,7 +178,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     order = parts.withColumn("next", F.lead("part").over(Window.orderBy("part"))).withColumn("next", F.coalesce("next", F.min("part").over(Window.partitionBy())))
     tails = ends.filter("role = 'tail'").select("part", "doc_id", "text", "fingerprint")
     closing = tails.join(order, "part").drop("part").join(heads.withColumnRenamed("part", "next"), "next")
-    closed = closing.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(_close, _RESULT)
+    closed = closing.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(released(_close), _RESULT)
     return made.filter("role = 'row'").select(_COLUMNS).unionByName(closed)
 
 

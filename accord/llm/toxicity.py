@@ -62,7 +62,7 @@ class Scorer:
 
     def __init__(self, model: dict[str, tuple[float, float]]):
         self.model = model
-        self.scores = WordCache(self._score)
+        self.scores = WordCache(self._score, 150_000)
 
     def _score(self, word: str) -> float:
         known = [self.model[f] for f in forms(word) if f in self.model]
@@ -154,10 +154,10 @@ def fitted(labelled: DataFrame) -> dict:
         ratio, deviation = log_odds(r["t"], r["c"], words_of["t"], words_of["c"], documents)
         model["forms"][r["form"]] = (cautious(ratio, deviation), r["z"])
 
-    forms_ = model["forms"]
+    scorer = Scorer(model["forms"])  # each task gets its own copy, and its cache lives as long as the task
 
     def traced(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer, out = Scorer(forms_), []
+        out = []
         for text in batch.column("text").to_pylist():
             s = scorer.word_scores(text or "")
             values, times = np.unique(s, return_counts=True)
@@ -206,11 +206,11 @@ def scored(documents: DataFrame, model: dict, with_segments: bool = False) -> Da
 
     Null texts are empty. A text without telling words gets the score of no evidence. Other columns play no part.
     """
-    rate, size, (a, b), forms_ = model["rate"], max(model["size"], 1e-12), model["curve"], model["forms"]
+    rate, size, (a, b), scorer = model["rate"], max(model["size"], 1e-12), model["curve"], Scorer(model["forms"])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer, scores, spans = Scorer(forms_), [], []
+        scores, spans = [], []
         for text in batch.column("text").to_pylist():
             s = scorer.word_scores(text or "")
             found = maximal_segments(s)
@@ -228,10 +228,10 @@ def scored(documents: DataFrame, model: dict, with_segments: bool = False) -> Da
 
 def without_toxic(documents: DataFrame, model: dict) -> DataFrame:
     """The documents that scored() doesn't predict toxic, with all their columns, in one pass."""
-    rate, size, (a, b), forms_ = model["rate"], max(model["size"], 1e-12), model["curve"], model["forms"]
+    rate, size, (a, b), scorer = model["rate"], max(model["size"], 1e-12), model["curve"], Scorer(model["forms"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer, keep = Scorer(forms_), []
+        keep = []
         for text in batch.column("text").to_pylist():
             s = scorer.word_scores(text or "")
             x = evidence([f[2] for f in maximal_segments(s)], len(s), rate, size)

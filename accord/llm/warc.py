@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import new_path, partitions, pieces, table, written
+from accord.llm.common import lean, new_path, partitions, pieces, released, table, written
 from accord.llm.packed_ids import opened
 
 #: Payloads below so many bytes are always stored in full.
@@ -108,6 +108,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
     without any is an error, as its payload is nowhere. Records that repeat a page_id and a payload are all kept, of one
     type. A null url is an absent header. Other columns play no part.
     """
+    lean(pages.sparkSession)
     rows = as_records(pages)
     dealt = rows.join(resolved(rows, least), ["page_id", "sha1"], "left").select("page_id", "url", "payload", "sha1", "bytes", "stored", "refers_to")
 
@@ -129,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
             stream.close()
             yield pa.record_batch({"file": pa.array([name]), "n_records": pa.array([n], pa.int64())})
 
-    return written(dealt.mapInArrow(run, "file string, n_records long"), "warc-files")
+    return written(dealt.mapInArrow(released(run), "file string, n_records long"), "warc-files")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _read(rows)
 
-    return files.select("file").repartition(max(1, partitions(files.sparkSession)), "file").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.select("file").repartition(max(1, partitions(files.sparkSession)), "file").mapInArrow(released(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def _read(rows: list[tuple]) -> pa.RecordBatch:

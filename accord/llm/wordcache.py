@@ -21,3 +21,7 @@ class WordCache(dict):
             self.clear()
         self[word] = value
         return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.aged = {}
