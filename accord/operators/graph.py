@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the session's folder; a session without one (tests) gets a folder of this process."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="accord-")
-            atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+from accord.operators.checkpoints import checkpointed
+from accord.operators.tables import global_row_number
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """edges(a, b) -> (node, component): the smallest node reachable. Labels hook to the least neighbouring one and paths are halved each round."""
-    both = _checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
     for _ in range(most_rounds):
-        labels = _checkpointed(labels)
+        labels = checkpointed(labels)
         hook = (
             both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("other")), "b")
             .join(labels.select(F.col("node").alias("a"), "component"), "a")
@@ -56,7 +43,7 @@ def component_members(edges: DataFrame) -> DataFrame:
 def component_table(members: DataFrame, least_datasets: int = 2) -> DataFrame:
     """Components that span enough datasets, numbered by their sorted datasets and members: component_id, n_datasets, n_members, datasets, members."""
     rows = members.groupBy("component").agg(F.array_sort(F.collect_set("dataset")).alias("ds"), F.array_sort(F.collect_set("node")).alias("ms")).filter(F.size("ds") >= least_datasets)
-    numbered = rows.withColumn("n", F.row_number().over(Window.orderBy("ds", "ms")))
+    numbered = global_row_number(rows, "ds", "ms")
     return numbered.select(
         "component",
         F.concat(F.lit("component_"), F.lpad(F.col("n").cast("string"), 5, "0")).alias("component_id"),

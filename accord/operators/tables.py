@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from accord.operators.graph import _checkpointed
+from accord.operators.checkpoints import checkpointed
 
 
 def global_row_number(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     """Running number from 1 over a total order, without one task that holds all rows: ranges are numbered in themselves and moved by the sizes of those before (one number a range goes through the driver)."""
-    ranged = _checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     sizes = sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect())
     before, start = [], 0
     for p, n in sizes:

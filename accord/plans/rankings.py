@@ -253,7 +253,10 @@ def _(s, d):
     return rounded(out.select("dataset", *[F.col(m).alias(f"mean_{m}") for m in metrics]), "mean_lfc", "mean_t", "mean_co")
 
 
-@query("agg5_baseline_deltas")
+DELTAS = f"{LOO}, samples AS (SELECT * EXCLUDE (lfc, t, p) FROM signatures), {S.edges_sql('samples')}, k AS (SELECT e.a_dataset, e.b_dataset, a.lfc AS x, b.lfc AS y, ba.b AS bx, bb.b AS byy FROM edges e JOIN signatures a ON a.row_pos = a_row_pos JOIN signatures b ON b.row_pos = b_row_pos LEFT JOIN base ba ON ba.dataset = e.a_dataset AND ba.cell_type = e.cell_type AND ba.time_h = e.time_h AND ba.cid = e.cid LEFT JOIN base bb ON bb.dataset = e.b_dataset AND bb.cell_type = e.cell_type AND bb.time_h = e.time_h AND bb.cid = e.cid), q AS (SELECT a_dataset, b_dataset, {rank_correlation('x', 'y')} AS o, CASE WHEN bx IS NOT NULL THEN {rank_correlation('x', 'bx')} END AS l, CASE WHEN byy IS NOT NULL THEN {rank_correlation('y', 'byy')} END AS rr FROM k), z AS (SELECT a_dataset, b_dataset, o - CASE WHEN l IS NOT NULL AND rr IS NOT NULL THEN (l + rr) / 2 ELSE coalesce(l, rr) END AS delta FROM q)"
+
+
+@query("agg5_baseline_deltas", f"{DELTAS} SELECT a_dataset, b_dataset, count(delta) AS n, {r('avg(delta)', 'mean_delta')} FROM z GROUP BY ALL")
 def _(s, d):
     return rounded(_pair_record(s, d).groupBy("a_dataset", "b_dataset").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean_delta")), "mean_delta")
 
