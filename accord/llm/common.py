@@ -28,8 +28,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_clean, spark)
+    _MADE.append(path)
+    return path
+
+
+def _clean(spark: SparkSession) -> None:
+    try:
+        for path in _MADE:
+            _delete(spark, path)
+    except Exception:  # the session is gone: the files stay for whoever keeps the shared folder
+        return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,11 +63,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            at = jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, folder)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
