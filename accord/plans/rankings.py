@@ -10,7 +10,7 @@ from accord.operators import baseline, bootstrap, matching, replicate, retrieval
 from accord.plans import fragments as S
 from accord.plans.fragments import WITH_EVENTS, WITH_SIGNATURES, truth_sql
 from accord.plans.joins import EDGES, edges
-from accord.plans.metrics import KEYS, LOO, STRATUM, _pair_record, rank_correlation
+from accord.plans.metrics import KEYS, LOO, _pair_record, rank_correlation
 from accord.plans.registry import query, r, rounded
 from accord.sources.views import event_samples, read, signatures
 
