@@ -23,7 +23,6 @@ import pyarrow.fs
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from accord.llm.common import lean, new_path, pieces, released, table, with_texts, written
 from accord.llm.wordcache import WordCache
@@ -240,8 +239,6 @@ def write_packed(documents: DataFrame, tokenizer_path: str, folder: str, end_id:
                         fs.create_dir(path.rsplit("/", 1)[0])
                         writer = PackedWriter(fs.open_output_stream(path), model.width)
                     writer.add(doc_id, model.encode(text or "") + end)
-        model.words.forget()
-        model.tokens.forget()
         if writer is not None:
             n = writer.close()
             yield pa.record_batch({"file": pa.array([name]), "part": pa.array([part], pa.int32()), "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([n], pa.int64())})
