@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import uuid
 import zlib
@@ -140,6 +141,10 @@ _BLANK = r"\t-\r \x85\xa0"
 _TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
 
+#: A blank that white space follows, or the end.
+_UNEVEN = re.compile(r" (?=\s|\Z)")
+
+
 def byte_characters() -> dict[int, str]:
     """The character that byte-level vocabularies write for each byte: itself if it shows, else one from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -167,7 +172,8 @@ class WordIds:
         self.plain = (rules["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not rules["pre_tokenizer"]["add_prefix_space"] and rules["normalizer"] is None
         self.tokenize, self.shown = self.library.model.tokenize, byte_characters()
         self.tokens = WordCache(self._token, 150_000)
-        self.words = WordCache(self._word, 500_000)
+        self.words = WordCache(self._word, 50_000)
+        self.spaced = WordCache(lambda word: self._word(" " + word), 500_000)  # words after a blank, without it
 
     def _token(self, token: str) -> bytes:
         if token.isascii() and token.isprintable() and not token.isspace():
@@ -190,20 +196,16 @@ class WordIds:
         if not text:
             return b""
         first, *rest = text.split(" ")
-        if not rest:
-            return self.words[first]
-        if all(x and not x[0].isspace() for x in rest):
-            words = [first, *[" " + x for x in rest]]
-        else:
-            words, now = [], first
-            for x in rest:
-                if x and not x[0].isspace():
-                    words.append(now)
-                    now = " " + x
-                else:
-                    now += " " + x
-            words.append(now)
-        return b"".join(map(self.words.__getitem__, words))
+        if not _UNEVEN.search(text):
+            return self.words[first] + b"".join(map(self.spaced.__getitem__, rest))
+        out, now = [], first
+        for x in [*rest, "."]:  # the last only ends what is open
+            if x and not x[0].isspace():
+                out.append(self.spaced[now[1:]] if now[:1] == " " and now[1:2] not in ("", " ") else self.words[now])
+                now = " " + x
+            else:
+                now += " " + x
+        return b"".join(out)
 
 
 _MODELS: dict[str, WordIds] = {}
