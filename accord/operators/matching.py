@@ -22,18 +22,22 @@ def renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame
 def nearest_match(queries: DataFrame, database: DataFrame, keys: tuple[str, ...] = ("cell_type", "cid"), same_dataset: bool = False) -> DataFrame:
     """For each query and database dataset: the database row of equal keys with the least time difference, then dose distance, then row_pos.
 
-    Both frames have row_pos, dataset, time_h, dose_um and the keys. One shuffle on the keys; the argmin is a partial
-    aggregate, so a pair of rows is never kept beyond the task that makes it.
+    Both frames have row_pos, dataset, time_h, dose_um and the keys. Queries first meet the distinct times of their keys, of
+    which there are few, and only rows at the nearest ones are compared by dose; the argmin is a partial aggregate, so a pair
+    of rows is never kept beyond the task that makes it.
     """
+    by = list(keys)
     q, d = renamed(queries, "q_", keys), renamed(database, "db_", keys)
-    pairs = q.join(d, list(keys))
+    met = q.join(d.select(*by, "db_dataset", "db_time_h").distinct(), by)
     if not same_dataset:
-        pairs = pairs.filter("q_dataset <> db_dataset")
+        met = met.filter("q_dataset <> db_dataset")
     dt = F.abs(F.col("q_time_h") - F.col("db_time_h"))
-    dd = dose_distance(F.col("q_dose_um"), F.col("db_dose_um"))
-    best = F.min(F.struct(dt.alias("dt"), dd.alias("dd"), F.col("db_row_pos").alias("db_row_pos")))
-    out = pairs.groupBy(*keys, "q_dataset", "q_row_pos", "db_dataset").agg(best.alias("b"))
-    return out.select(*keys, "q_dataset", "q_row_pos", "db_dataset", F.col("b.db_row_pos").alias("db_row_pos"), F.col("b.dt").alias("time_diff"), F.col("b.dd").alias("dose_diff"))
+    least = F.min("dt").over(Window.partitionBy("q_dataset", "q_row_pos", "db_dataset"))
+    nearest = met.withColumn("dt", dt).withColumn("least", least).filter("dt = least").select(*by, "q_dataset", "q_row_pos", "q_dose_um", "db_dataset", "db_time_h", "dt")
+    pairs = nearest.join(d.select(*by, "db_dataset", "db_time_h", "db_row_pos", "db_dose_um"), [*by, "db_dataset", "db_time_h"])
+    best = F.min(F.struct(dose_distance(F.col("q_dose_um"), F.col("db_dose_um")).alias("dd"), F.col("db_row_pos").alias("db_row_pos")))
+    out = pairs.groupBy(*by, "q_dataset", "q_row_pos", "db_dataset", "dt").agg(best.alias("b"))
+    return out.select(*by, "q_dataset", "q_row_pos", "db_dataset", F.col("b.db_row_pos").alias("db_row_pos"), F.col("dt").alias("time_diff"), F.col("b.dd").alias("dose_diff"))
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h"), within: float = 1.0, ordered: str | None = None) -> DataFrame:
