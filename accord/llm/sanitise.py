@@ -1,9 +1,10 @@
 """Information-theoretic sanitisation of personal data.
 
 Emails, IP addresses, card and phone numbers are found by rule and are the protected entities. For each entity c and word t
-near it, document counts over the whole corpus give PMI(c; t) = log2(p(c, t) / (p(c) p(t))), and its share of the entity's
-information IC(c) = -log2 p(c) says how much of the entity the word discloses: 1 if whoever reads t knows c. Words whose
-share exceeds a threshold are generalised to their kind near that entity, and those beyond a higher one are removed.
+near it, document counts over the whole corpus give PMI(c; t) = log2(p(t | c) / p(t)), and its share of the entity's
+information IC(c) = -log2 p(c) says how much of the entity the word discloses: 1 if whoever reads t knows c. p(t | c) is
+shrunk towards p(t) by half a document of prior, so that an entity of one document has an estimate, and a careful one. Words
+whose share exceeds a threshold are generalised to their kind near that entity, and those beyond a higher one are removed.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from accord.llm.common import BROADCAST_ROWS, mapped, small, table, written
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words looked at on either side of an entity, and the characters within which they stand.
 WINDOW_WORDS, WINDOW_CHARS = 10, 200
-#: Documents in which a word must stand near an entity, for an estimate.
-SUPPORT = 3
+#: Documents that the corpus share of a word counts for beside those of an entity.
+PRIOR = 0.5
 #: Share of an entity's information from which a word near it is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -152,12 +153,13 @@ def _document_counts(marked: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosures(found: DataFrame, marked: DataFrame) -> DataFrame:
     """entity, term, share of the pairs above GENERALISE, from document counts over the whole corpus."""
     n = found.count()
-    pairs = found.select(F.explode("mentions").alias("m")).filter("m.first").groupBy("m.entity", "m.term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= SUPPORT)
+    pairs = found.select(F.explode("mentions").alias("m")).filter("m.first").groupBy("m.entity", "m.term").agg(F.count(F.lit(1)).alias("both"))
     pairs = written(pairs, "pairs")
-    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")).filter(F.col("of_entity") >= SUPPORT)
+    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     of_term = _document_counts(marked, pairs.select("term").distinct())
     information = F.log2(F.lit(float(n)) / F.col("of_entity"))
-    mutual = F.log2(F.col("both") * float(n) / (F.col("of_entity") * F.col("df").cast("double")))
+    of_corpus = F.col("df") / F.lit(float(n))
+    mutual = F.log2((F.col("both") + PRIOR * of_corpus) / ((F.col("of_entity") + PRIOR) * of_corpus))
     share = F.when(information > 0, mutual / information)
     rows = pairs.join(of_entity, "entity").join(of_term, "term").select("entity", "term", share.alias("share"))
     return written(rows.filter(F.col("share") >= GENERALISE), "disclosures")

@@ -137,6 +137,12 @@ def test_disclosing_words_go(spark, empty):
     assert sanitise.sanitised(empty).count() == 0 and sanitise.personal_spans(empty).count() == 0
 
 
+def test_words_by_an_entity_of_one_document(spark):
+    rows = [(0, "write today to Qwertz at a.b@c.org")] + [(1 + i, f"write today to {WORDS[i % 24]} at noon") for i in range(99)]
+    got = {r.doc_id: r for r in sanitise.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [rows[0][1][t.start : t.end] for t in got[0].terms] == ["Qwertz"] and not any(got[i].terms for i in range(1, 100))
+
+
 # ------------------------------------------------------------------ fingerprints
 
 
