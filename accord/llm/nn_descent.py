@@ -3,14 +3,16 @@
 Equal vectors are one node, so a group of copies of any size is one point of the graph. The graph starts from random
 projection leaves (blocks of nodes that lie on the same sides of random planes, compared within the block) and improves by
 NN-descent: in each round Spark joins bring together the neighbours and reverse neighbours of every node with their vectors,
-and pairs of them that beat a list's last entry enter it. Queries keep a pool of the best nodes found, seeded with the
-neighbours of their own node, and expand the unexpanded ones through the graph until the pool stays. Comparisons on the way
-use 16-bit unit vectors; the final order is that of double-precision cosines of the original vectors.
+and pairs of them that beat a list's last entry enter it, until few entries change. Queries keep a pool of the best nodes
+found, seeded with the neighbours of their own node, and expand the unexpanded ones through the graph until the pool stays.
+Trees, neighbours and pools grow with the logarithm of the number of nodes. Comparisons on the way use 16-bit unit vectors;
+the final order is that of double-precision cosines of the original vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +21,24 @@ from pyspark.sql import functions as F
 
 from accord.llm.common import dropped, mapped, pieces, released, table, written
 
-#: Neighbours of a node, trees, nodes of a leaf, rounds at most, share of changed entries at which they end.
-NEIGHBOURS, TREES, LEAF, ROUNDS, SETTLED = 32, 8, 1024, 4, 0.02
+#: Neighbours of a node and trees up to FEW nodes, and how many more for each doubling of the nodes beyond.
+NEIGHBOURS, TREES, FEW, MORE_NEIGHBOURS, MORE_TREES = 32, 8, 1 << 14, 8, 2
+#: Nodes of a leaf, share of changed entries at which the rounds end.
+LEAF, SETTLED = 1024, 0.02
 #: Nodes of a neighbourhood that are compared at once; a larger one is cut at random, anew in each round.
 TOGETHER = 256
-#: Nodes of a query's pool, rounds of search at most, nodes whose exact score is taken.
-POOL, SEARCH_ROUNDS, EXACT = 48, 6, 12
+#: Nodes of a query's pool for each neighbour of a node, nodes whose exact score is taken.
+POOL, EXACT = 1.5, 12
 
 _LIST = "nbrs binary, sims binary"
 
 
+def sizes(n: int) -> tuple[int, int]:
+    """Neighbours of a node and trees for n nodes."""
+    doublings = max(0, int(np.ceil(np.log2(max(1, n) / FEW))))
+    return NEIGHBOURS + MORE_NEIGHBOURS * doublings, TREES + MORE_TREES * doublings
+
+
 def _ints(x: bytes) -> np.ndarray:
     return np.frombuffer(x, dtype=np.int64)
 
@@ -121,20 +131,20 @@ class _Gathered:
         self.parts, self.n = [], 0
 
 
-def _leaves(nodes: DataFrame, n: int, dimension: int, k: int, seed: int) -> DataFrame:
+def _leaves(nodes: DataFrame, n: int, dimension: int, k: int, n_trees: int, seed: int) -> DataFrame:
     """Neighbours within random-projection leaves: short lists of each node, one a tree."""
     depth = max(1, int(np.ceil(np.log2(max(2, n / (LEAF / 2))))))
-    planes = np.random.default_rng(seed).normal(size=(TREES, dimension, depth)).astype(np.float32)
+    planes = np.random.default_rng(seed).normal(size=(n_trees, dimension, depth)).astype(np.float32)
 
     def codes(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _units(batch.column("unit"))
         out = []
-        for t in range(TREES):
+        for t in range(n_trees):
             p = x @ planes[t]
             out.append((((p > 0) * (1 << np.arange(depth))).sum(1), p[:, 0]))
         m = batch.num_rows
-        again = np.tile(np.arange(m), TREES)
-        return pa.record_batch({"tree": pa.array(np.repeat(np.arange(TREES, dtype=np.int32), m)), "code": pa.array(np.concatenate([c for c, _ in out]).astype(np.int64)), "along": pa.array(np.concatenate([p for _, p in out]).astype(np.float32)), "node": batch.column("node").take(pa.array(again)), "unit": batch.column("unit").take(pa.array(again))})
+        again = np.tile(np.arange(m), n_trees)
+        return pa.record_batch({"tree": pa.array(np.repeat(np.arange(n_trees, dtype=np.int32), m)), "code": pa.array(np.concatenate([c for c, _ in out]).astype(np.int64)), "along": pa.array(np.concatenate([p for _, p in out]).astype(np.float32)), "node": batch.column("node").take(pa.array(again)), "unit": batch.column("unit").take(pa.array(again))})
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -249,12 +259,13 @@ def _local_join(graph: DataFrame, k: int, round_: int) -> DataFrame:
     return rows.select("hub", "member", "fresh", "unit", "last").mapInArrow(released(compare), f"node long, {_LIST}")
 
 
-def neighbour_graph(nodes: DataFrame, dimension: int, k: int = NEIGHBOURS, seed: int = 1) -> DataFrame:
-    """node, unit, nbrs, sims, fresh, last, changed of every node: its k nearest found, best first."""
+def neighbour_graph(nodes: DataFrame, dimension: int, seed: int = 1) -> DataFrame:
+    """node, unit, nbrs, sims, fresh, last, changed of every node: its nearest found, best first."""
     spark, n = nodes.sparkSession, nodes.count()
+    k, n_trees = sizes(n)
     bare = nodes.select("node", "unit", F.lit(b"").alias("nbrs"), F.lit(b"").alias("sims"))
-    graph = _merged(bare, _leaves(nodes, n, dimension, k, seed), k)
-    for round_ in range(ROUNDS):
+    graph = _merged(bare, _leaves(nodes, n, dimension, k, n_trees, seed), k)
+    for round_ in count():  # each change betters a list, so the changes end
         new = _merged(graph, _local_join(graph, k, round_), k)
         dropped(spark, graph)
         graph = new
@@ -263,8 +274,8 @@ def neighbour_graph(nodes: DataFrame, dimension: int, k: int = NEIGHBOURS, seed:
     return graph
 
 
-def _search(graph: DataFrame, queries: DataFrame) -> DataFrame:
-    """query node, pool (nodes, best first) after a greedy search from the node's own list. queries: distinct nodes of the graph."""
+def _search(graph: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """query node, pool (nodes, best first) of at most `most`, after a greedy search from the node's own list. queries: distinct nodes of the graph."""
     spark = graph.sparkSession
     schema = "query long, unit binary, pool binary, sims binary, expanded binary, waiting long"
 
@@ -295,22 +306,20 @@ def _search(graph: DataFrame, queries: DataFrame) -> DataFrame:
                 ids = np.concatenate([ids, other[new]])
                 values = np.concatenate([values, (x[new] @ np.frombuffer(unit, dtype=np.float16).astype(np.float32))])
                 done = np.concatenate([done, np.zeros(int(new.sum()), dtype=bool)])
-                best = np.lexsort((ids, -values))[:POOL]
+                best = np.lexsort((ids, -values))[:most]
                 ids, values, done = ids[best], values[best], done[best]
             out.append((query, unit, ids.tobytes(), values.astype(np.float32).tobytes(), done.tobytes(), int((~done).sum())))
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["query", "unit", "pool", "sims", "expanded", "waiting"])
 
     state = written(mapped(graph.join(queries.select(F.col("query").alias("node")), "node", "left_semi").select("node", "unit", "nbrs", "sims"), seeded, schema), "pool")
-    for _ in range(SEARCH_ROUNDS):
+    while state.filter("waiting > 0").limit(1).count():  # each node is expanded while in the pool, and the pool only betters
         steps = mapped(state.filter("waiting > 0").select("query", "pool", "expanded"), frontier, "query long, node long")
         reached = mapped(steps.join(graph.select("node", "nbrs"), "node").select("query", "nbrs"), flat, "query long, node long").distinct()
         met = reached.join(graph.select("node", "unit"), "node").groupBy("query").agg(F.collect_list(F.struct("node", "unit")).alias("more"))
         new = written(mapped(state.join(met, "query", "left"), taken, schema), "pool")
         dropped(spark, state)
         state = new
-        if not state.filter("waiting > 0").limit(1).count():
-            break
     return state
 
 
@@ -336,7 +345,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     asked = mapped(known.filter(is_query(F.col("vec_id"))), keys, "query_id long, vector binary").distinct()
     placed = written(asked.join(nodes.select("vector", F.col("node").alias("query"), "ids"), "vector").select("query_id", "query", "ids"), "queries")
     graph = neighbour_graph(nodes, dimension)
-    pools = _search(graph, placed.select("query").distinct())
+    pools = _search(graph, placed.select("query").distinct(), int(POOL * sizes(nodes.count())[0]))
 
     def candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = [np.concatenate([[q], _ints(p)[:EXACT]]) for q, p in zip(batch.column("query").to_pylist(), batch.column("pool").to_pylist())]

@@ -407,6 +407,16 @@ def test_nearest(spark):
     assert nn_descent.nearest(table.filter("vec_id = 20"), lambda v: v % 20 == 0).count() == 0
 
 
+def test_neighbour_rounds_go_on_until_settled(spark, monkeypatch):
+    for name, value in (("TREES", 1), ("LEAF", 4), ("NEIGHBOURS", 8), ("SETTLED", 0)):
+        monkeypatch.setattr(nn_descent, name, value)
+    x = np.random.default_rng(6).normal(size=(3000, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph = nn_descent.neighbour_graph(nn_descent._nodes(table, 16, 6), 16)
+    assert graph.agg(F.sum("changed")).first()[0] == 0
+    assert nn_descent.sizes(3000) < nn_descent.sizes(100_000) < nn_descent.sizes(10_000_000)
+
+
 # ------------------------------------------------------------------ the pipeline
 
 
