@@ -5,8 +5,9 @@ projection leaves (blocks of nodes that lie on the same sides of random planes,
 NN-descent: in each round Spark joins bring together the neighbours and reverse neighbours of every node with their vectors,
 and pairs of them that beat a list's last entry enter it, until few entries change. Queries keep a pool of the best nodes
 found, seeded with the neighbours of their own node, and expand the unexpanded ones through the graph until the pool stays.
-Trees, neighbours and pools grow with the logarithm of the number of nodes. Comparisons on the way use 16-bit unit vectors;
-the final order is that of double-precision cosines of the original vectors.
+Trees, neighbours and pools grow with the logarithm of the number of nodes. Vectors travel as they are given (in 32 bits where
+the column has 32) and all cosines are double-precision, so near copies keep their order; entries of a pool that tie with its
+k-th within rounding stay beyond its size, and all entries that good are scored once more for the final order.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ NEIGHBOURS, TREES, FEW, MORE_NEIGHBOURS, MORE_TREES = 32, 8, 1 << 14, 8, 2
 LEAF, SETTLED = 1024, 0.02
 #: Nodes of a neighbourhood that are compared at once; a larger one is cut at random, anew in each round.
 TOGETHER = 256
-#: Nodes of a query's pool for each neighbour of a node, nodes whose exact score is taken.
-POOL, EXACT = 1.5, 12
+#: Nodes of a query's pool for each neighbour of a node, bound on the rounding error of a cosine.
+POOL, ROUNDING = 1.5, 1e-13
 
 _LIST = "nbrs binary, sims binary"
 
@@ -44,18 +45,30 @@ def _ints(x: bytes) -> np.ndarray:
 
 
 def _floats(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, dtype=np.float32)
+    return np.frombuffer(x, dtype=np.float64)
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    """16-bit unit vectors; scaled by the largest component first, so that no square over- or underflows."""
-    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float16)
+def _packed(vectors: np.ndarray) -> list[bytes]:
+    """A bytes object a vector: a byte that tells 32 bits from 64, and the components in 32 bits where those hold all of them exactly."""
+    with np.errstate(over="ignore"):
+        short = vectors.astype(np.float32)
+    exact = (short == vectors).all(axis=1)
+    return [b"\4" + a.tobytes() if e else b"\10" + b.tobytes() for a, b, e in zip(short, vectors, exact)]
+
+
+def _unpacked(data: list[bytes]) -> np.ndarray:
+    """Double-precision unit vectors; scaled by the largest component first, so that no square over- or underflows."""
+    if len({x[0] for x in data}) == 1:
+        size = data[0][0]
+        x = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(len(data), -1)[:, 1:].copy().view(f"f{size}").astype(np.float64)
+    else:
+        x = np.stack([np.frombuffer(v, f"f{v[0]}", offset=1).astype(np.float64) for v in data]) if data else np.zeros((0, 1))
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), dtype=np.float16).reshape(len(data), -1).astype(np.float32)
+    return _unpacked(column.to_pylist())
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -74,7 +87,7 @@ def _vectors(batch: pa.RecordBatch, dimension: int) -> tuple[np.ndarray, np.ndar
 
 
 def _nodes(embeddings: DataFrame, dimension: int, most: int) -> DataFrame:
-    """node (smallest vec_id), ids (the `most` smallest vec_ids), vector (doubles), unit of every distinct vector."""
+    """node (smallest vec_id), ids (the `most` smallest vec_ids), vector (doubles), unit (the vector packed) of every distinct vector."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, x = _vectors(batch, dimension)
@@ -85,7 +98,7 @@ def _nodes(embeddings: DataFrame, dimension: int, most: int) -> DataFrame:
 
     def units(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=np.float64).reshape(batch.num_rows, -1)
-        return pa.record_batch({"node": batch.column("node"), "ids": batch.column("ids"), "vector": batch.column("vector"), "unit": pa.array([u.tobytes() for u in _unit(x)], pa.binary())})
+        return pa.record_batch({"node": batch.column("node"), "ids": batch.column("ids"), "vector": batch.column("vector"), "unit": pa.array(_packed(x), pa.binary())})
 
     # A batch hands on few ids of a vector, so what meets in a group is bounded by the number of batches.
     grouped = mapped(embeddings.select("vec_id", "embedding"), run, "vector binary, ids array<long>").groupBy("vector").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
@@ -109,7 +122,7 @@ def _best(owner: np.ndarray, other: np.ndarray, sims: np.ndarray, k: int) -> Ite
 
 def _lists(found: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     rows = list(found)
-    return pa.record_batch({"node": pa.array([r[0] for r in rows], pa.int64()), "nbrs": pa.array([r[1].astype(np.int64).tobytes() for r in rows], pa.binary()), "sims": pa.array([r[2].astype(np.float32).tobytes() for r in rows], pa.binary())})
+    return pa.record_batch({"node": pa.array([r[0] for r in rows], pa.int64()), "nbrs": pa.array([r[1].astype(np.int64).tobytes() for r in rows], pa.binary()), "sims": pa.array([r[2].astype(np.float64).tobytes() for r in rows], pa.binary())})
 
 
 class _Gathered:
@@ -134,7 +147,7 @@ class _Gathered:
 def _leaves(nodes: DataFrame, n: int, dimension: int, k: int, n_trees: int, seed: int) -> DataFrame:
     """Neighbours within random-projection leaves: short lists of each node, one a tree."""
     depth = max(1, int(np.ceil(np.log2(max(2, n / (LEAF / 2))))))
-    planes = np.random.default_rng(seed).normal(size=(n_trees, dimension, depth)).astype(np.float32)
+    planes = np.random.default_rng(seed).normal(size=(n_trees, dimension, depth))
 
     def codes(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _units(batch.column("unit"))
@@ -144,7 +157,7 @@ def _leaves(nodes: DataFrame, n: int, dimension: int, k: int, n_trees: int, seed
             out.append((((p > 0) * (1 << np.arange(depth))).sum(1), p[:, 0]))
         m = batch.num_rows
         again = np.tile(np.arange(m), n_trees)
-        return pa.record_batch({"tree": pa.array(np.repeat(np.arange(n_trees, dtype=np.int32), m)), "code": pa.array(np.concatenate([c for c, _ in out]).astype(np.int64)), "along": pa.array(np.concatenate([p for _, p in out]).astype(np.float32)), "node": batch.column("node").take(pa.array(again)), "unit": batch.column("unit").take(pa.array(again))})
+        return pa.record_batch({"tree": pa.array(np.repeat(np.arange(n_trees, dtype=np.int32), m)), "code": pa.array(np.concatenate([c for c, _ in out]).astype(np.int64)), "along": pa.array(np.concatenate([p for _, p in out])), "node": batch.column("node").take(pa.array(again)), "unit": batch.column("unit").take(pa.array(again))})
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -183,7 +196,7 @@ def _leaves(nodes: DataFrame, n: int, dimension: int, k: int, n_trees: int, seed
         if held:
             yield from full(held, True)
 
-    spread = mapped(nodes.select("node", "unit"), codes, "tree int, code long, along float, node long, unit binary")
+    spread = mapped(nodes.select("node", "unit"), codes, "tree int, code long, along double, node long, unit binary")
     return spread.repartitionByRange("tree", "code", "along").sortWithinPartitions("tree", "code", "along", "node").mapInArrow(released(compare), f"node long, {_LIST}")
 
 
@@ -201,14 +214,14 @@ def _merged(graph: DataFrame, proposals: DataFrame, k: int) -> DataFrame:
             for _, new, best in _best(np.zeros(len(others), np.int64), others, values, k):
                 pass
             fresh = ~np.isin(new, old)
-            out.append((new.tobytes(), best.astype(np.float32).tobytes(), fresh.tobytes(), float(best[-1]) if len(new) == k else -9.0, int(fresh.sum())))
+            out.append((new.tobytes(), best.astype(np.float64).tobytes(), fresh.tobytes(), float(best[-1]) if len(new) == k else -9.0, int(fresh.sum())))
         columns = list(zip(*out))
-        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.float32(), pa.int64()]
+        kinds = [pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int64()]
         names = ["nbrs", "sims", "fresh", "last", "changed"]
         return pa.record_batch([batch.column("node"), batch.column("unit"), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["node", "unit", *names])
 
     rows = graph.join(gathered, "node", "left").select("node", "unit", "nbrs", "sims", "more")
-    return written(mapped(rows, run, f"node long, unit binary, {_LIST}, fresh binary, last float, changed long"), "graph")
+    return written(mapped(rows, run, f"node long, unit binary, {_LIST}, fresh binary, last double, changed long"), "graph")
 
 
 def _local_join(graph: DataFrame, k: int, round_: int) -> DataFrame:
@@ -274,8 +287,13 @@ def neighbour_graph(nodes: DataFrame, dimension: int, seed: int = 1) -> DataFram
     return graph
 
 
-def _search(graph: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """query node, pool (nodes, best first) of at most `most`, after a greedy search from the node's own list. queries: distinct nodes of the graph."""
+def as_good(sims: np.ndarray, k: int) -> int:
+    """How many of the cosines, largest first, may be as large as the k-th but for rounding."""
+    return len(sims) if len(sims) <= k else int((sims >= sims[k - 1] - 2 * ROUNDING).sum())
+
+
+def _search(graph: DataFrame, queries: DataFrame, most: int, k: int) -> DataFrame:
+    """query node, pool (nodes, best first) of at most `most` and those that tie with the k-th, after a greedy search from the node's own list. queries: distinct nodes of the graph."""
     spark = graph.sparkSession
     schema = "query long, unit binary, pool binary, sims binary, expanded binary, waiting long"
 
@@ -301,14 +319,15 @@ def _search(graph: DataFrame, queries: DataFrame, most: int) -> DataFrame:
             ids, values, done = _ints(pool), _floats(sims), np.ones(len(_ints(pool)), dtype=bool)
             if more:
                 other = np.array([m["node"] for m in more], dtype=np.int64)
-                x = np.frombuffer(b"".join(m["unit"] for m in more), dtype=np.float16).reshape(len(more), -1).astype(np.float32)
+                x = _unpacked([m["unit"] for m in more])
                 new = ~np.isin(other, ids) & (other != query)
                 ids = np.concatenate([ids, other[new]])
-                values = np.concatenate([values, (x[new] @ np.frombuffer(unit, dtype=np.float16).astype(np.float32))])
+                values = np.concatenate([values, x[new] @ _unpacked([unit])[0]])
                 done = np.concatenate([done, np.zeros(int(new.sum()), dtype=bool)])
-                best = np.lexsort((ids, -values))[:most]
+                best = np.lexsort((ids, -values))
+                best = best[: max(most, as_good(values[best], k))]
                 ids, values, done = ids[best], values[best], done[best]
-            out.append((query, unit, ids.tobytes(), values.astype(np.float32).tobytes(), done.tobytes(), int((~done).sum())))
+            out.append((query, unit, ids.tobytes(), values.astype(np.float64).tobytes(), done.tobytes(), int((~done).sum())))
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["query", "unit", "pool", "sims", "expanded", "waiting"])
 
@@ -345,10 +364,10 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     asked = mapped(known.filter(is_query(F.col("vec_id"))), keys, "query_id long, vector binary").distinct()
     placed = written(asked.join(nodes.select("vector", F.col("node").alias("query"), "ids"), "vector").select("query_id", "query", "ids"), "queries")
     graph = neighbour_graph(nodes, dimension)
-    pools = _search(graph, placed.select("query").distinct(), int(POOL * sizes(nodes.count())[0]))
+    pools = _search(graph, placed.select("query").distinct(), int(POOL * sizes(nodes.count())[0]), k + 1)
 
     def candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = [np.concatenate([[q], _ints(p)[:EXACT]]) for q, p in zip(batch.column("query").to_pylist(), batch.column("pool").to_pylist())]
+        lists = [np.concatenate([[q], _ints(p)[: as_good(_floats(s), k + 1)]]) for q, p, s in zip(*(batch.column(c).to_pylist() for c in ("query", "pool", "sims")))]
         return pa.record_batch({"query": pa.array(np.repeat(batch.column("query").to_numpy(), [len(x) for x in lists])), "node": pa.array(np.concatenate(lists))})
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -360,7 +379,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
             out.append((query, [{"vec_id": i, "score": -s} for s, i in ids]))
         return pa.record_batch({"query": pa.array([x[0] for x in out], pa.int64()), "best": pa.array([x[1] for x in out], pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))})
 
-    rows = mapped(pools.select("query", "pool"), candidates, "query long, node long").join(nodes.select("node", "vector", "ids"), "node")
+    rows = mapped(pools.select("query", "pool", "sims"), candidates, "query long, node long").join(nodes.select("node", "vector", "ids"), "node")
     best = mapped(rows.groupBy("query").agg(F.collect_list(F.struct("node", "vector", "ids")).alias("found")), exact, "query long, best array<struct<vec_id: long, score: double>>")
     own = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     out = placed.join(best, "query").select("query_id", F.posexplode(own).alias("place", "b"))

@@ -417,6 +417,20 @@ def test_neighbour_rounds_go_on_until_settled(spark, monkeypatch):
     assert nn_descent.sizes(3000) < nn_descent.sizes(100_000) < nn_descent.sizes(10_000_000)
 
 
+def test_nearest_among_near_copies(spark):
+    r = np.random.default_rng(8)
+    x = (r.normal(size=24) + 0.001 * r.normal(size=(1500, 24))).astype(np.float32)
+    x[700:800] = x[3] * np.arange(1, 101, dtype=np.float32)[:, None]  # one direction, many vectors: more ties than a pool holds
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = nn_descent.nearest(table, lambda v: v % 50 == 0).collect()
+    m, hit = x.astype(np.float64), 0
+    for q in range(0, 1500, 50):
+        s = nn_descent.cosine(m[q], m)
+        s[q] = -9
+        hit += len({g.vec_id for g in got if g.query_id == q} & set(np.lexsort((np.arange(1500), -s))[:5].tolist()))
+    assert hit / 150 >= 0.95
+
+
 # ------------------------------------------------------------------ the pipeline
 
 
