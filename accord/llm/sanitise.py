@@ -1,27 +1,31 @@
 """Information-theoretic sanitisation of personal data.
 
 Emails, IP addresses, card and phone numbers are found by rule and are the protected entities. For each entity c and word t
-near it, document counts over the whole corpus give PMI(c; t) = log2(p(t | c) / p(t)), and its share of the entity's
+of its documents, document counts over the whole corpus give PMI(c; t) = log2(p(t | c) / p(t)), and its share of the entity's
 information IC(c) = -log2 p(c) says how much of the entity the word discloses: 1 if whoever reads t knows c. p(t | c) is
 shrunk towards p(t) by half a document of prior, so that an entity of one document has an estimate, and a careful one. Words
-whose share exceeds a threshold are generalised to their kind near that entity, and those beyond a higher one are removed.
+whose share exceeds a threshold for some entity are generalised to their kind wherever they stand, in documents without an
+entity too, and those beyond a higher one are removed.
+
+Entities that stand in the same documents disclose alike and are counted as one class, so pairs don't multiply within a
+document; words too common to disclose any entity are left out before pairs are made.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import BROADCAST_ROWS, mapped, small, table, written
+from accord.llm.common import mapped, small, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words looked at on either side of an entity, and the characters within which they stand.
-WINDOW_WORDS, WINDOW_CHARS = 10, 200
 #: Documents that the corpus share of a word counts for beside those of an entity.
 PRIOR = 0.5
 #: Share of an entity's information from which a word near it is generalised, and removed.
@@ -83,23 +87,23 @@ def entity(text: str, start: int, kind: int, end: int) -> str:
     return f"{KINDS[kind]}:{own.lower() if kind == 0 else own if kind == 1 else _NOT_DIGIT.sub('', own)}"
 
 
-def near_words(text: str, start: int, end: int) -> Iterable[tuple[int, int]]:
-    """Spans of the words of three letters and more near an entity."""
-    low = max(0, start - WINDOW_CHARS)
-    before = [m.span() for m in _TERM.finditer(text, low, start)]
-    if before and low and before[0][0] == low and text[low - 1].isalnum():
-        before = before[1:]
-    high = min(len(text), end + WINDOW_CHARS)
-    after = [m.span() for m in _TERM.finditer(text, end, high)]
-    if after and after[-1][1] == high and high < len(text) and text[high].isalnum():
-        after = after[:-1]
-    yield from before[-WINDOW_WORDS:]
-    yield from after[:WINDOW_WORDS]
+def words(text: str) -> set[str]:
+    """The words of three letters and more of a text, in lower case."""
+    return {w.lower() for w in set(_TERM.findall(text))}
+
+
+def free(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with its entities blanked, so that positions stay."""
+    out, at = [], 0
+    for a, _, b in spans:
+        if b > at:
+            out += [text[at : max(a, at)], " " * (b - max(a, at))]
+            at = b
+    return "".join(out) + text[at:]
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_MENTION = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())])
-_FOUND = "doc_id long, mark long, base array<struct<start: int, kind: int, end: int>>, entities array<string>, mentions array<struct<entity: string, term: string, start: int, end: int, first: boolean>>, base_sha256 string"
+_FOUND = "doc_id long, mark long, base array<struct<start: int, kind: int, end: int>>, entities array<string>, words array<string>, base_sha256 string"
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -107,25 +111,15 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _find(batch: pa.RecordBatch) -> pa.RecordBatch:
-    base, entities, mentions, digests = [], [], [], []
+    base, entities, terms, digests = [], [], [], []
     for text in batch.column("text").to_pylist():
         text = text or ""
         spans = base_spans(text)
         base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
         digests.append(hashlib.sha256(joined(spans).encode()).hexdigest())
-        own, near, seen = set(), [], set()
-        for a, k, b in spans:
-            name = entity(text, a, k, b)
-            own.add(name)
-            for i, j in near_words(text, a, b):
-                if any(i < y and x < j for x, _, y in spans):
-                    continue
-                pair = (name, text[i:j].lower())
-                near.append({"entity": name, "term": pair[1], "start": i, "end": j, "first": pair not in seen})
-                seen.add(pair)
-        entities.append(sorted(own))
-        mentions.append(near)
-    return pa.record_batch({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "base": pa.array(base, pa.list_(_SPAN)), "entities": pa.array(entities, pa.list_(pa.string())), "mentions": pa.array(mentions, pa.list_(_MENTION)), "base_sha256": pa.array(digests, pa.string())})
+        entities.append(sorted({entity(text, a, k, b) for a, k, b in spans}))
+        terms.append(sorted(words(free(text, spans))) if spans else [])
+    return pa.record_batch({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "base": pa.array(base, pa.list_(_SPAN)), "entities": pa.array(entities, pa.list_(pa.string())), "words": pa.array(terms, pa.list_(pa.string())), "base_sha256": pa.array(digests, pa.string())})
 
 
 def _marked(documents: DataFrame, *others: str) -> DataFrame:
@@ -133,51 +127,98 @@ def _marked(documents: DataFrame, *others: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"), *others)
 
 
-def _document_counts(marked: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: the documents of the whole corpus that hold each term as a word."""
-    n = terms.count()
-    wanted = frozenset(r["term"] for r in terms.collect()) if n <= BROADCAST_ROWS else None
+def _document_counts(marked: DataFrame) -> DataFrame:
+    """term, df: the documents of the whole corpus that hold each word."""
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[str, int] = {}
         for text in batch.column("text").to_pylist():
-            words = set(_TERM.findall((text or "").lower()))
-            for w in words & wanted if wanted is not None else words:
+            for w in words(text or ""):
                 out[w] = out.get(w, 0) + 1
         return pa.record_batch({"term": pa.array(list(out), pa.string()), "n": pa.array(list(out.values()), pa.int64())})
 
-    counts = mapped(marked.select("text"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    return counts if wanted is not None else counts.join(terms, "term", "left_semi")
+    return mapped(marked.select("text"), tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def disclosures(found: DataFrame, marked: DataFrame) -> DataFrame:
-    """entity, term, share of the pairs above GENERALISE, from document counts over the whole corpus."""
-    n = found.count()
-    pairs = found.select(F.explode("mentions").alias("m")).filter("m.first").groupBy("m.entity", "m.term").agg(F.count(F.lit(1)).alias("both"))
-    pairs = written(pairs, "pairs")
-    of_entity = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    of_term = _document_counts(marked, pairs.select("term").distinct())
-    information = F.log2(F.lit(float(n)) / F.col("of_entity"))
-    of_corpus = F.col("df") / F.lit(float(n))
-    mutual = F.log2((F.col("both") + PRIOR * of_corpus) / ((F.col("of_entity") + PRIOR) * of_corpus))
-    share = F.when(information > 0, mutual / information)
-    rows = pairs.join(of_entity, "entity").join(of_term, "term").select("entity", "term", share.alias("share"))
-    return written(rows.filter(F.col("share") >= GENERALISE), "disclosures")
+    """term, share of the words whose largest share is above GENERALISE, from document counts over the whole corpus."""
+    n = float(found.count())
+    held = found.filter("size(entities) > 0")
+    own = F.xxhash64("doc_id", "mark")
+    # The sum of the hashes of its documents tells an entity's class; rows that are equal in all count each.
+    of_row = held.select(own.alias("row"), F.explode("entities").alias("entity"))
+    classes = of_row.groupBy("entity").agg(F.count(F.lit(1)).alias("held_by"), F.sum(F.col("row").cast("decimal(20,0)")).cast("string").alias("class"))
+    classes = written(classes.filter(F.col("held_by") < n), "classes")
+    most = classes.agg(F.max("held_by")).first()[0]
+    if not most:
+        return found.sparkSession.createDataFrame([], "term string, share double")
+    # p(t | c) is 1 at most, so a word in more documents than this discloses no entity; 2 % more, for rounding.
+    rare = _document_counts(marked).filter(F.col("df") <= 1.02 * n ** (1 - GENERALISE) * most**GENERALISE)
+    # Rows of one doc_id and text have one hash and the same words and entities: they are taken once, with their number.
+    rows = held.groupBy(own.alias("row")).agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
+    terms = rows.select("row", "copies", F.explode("words").alias("term")).join(rare, "term")
+    of_class = of_row.distinct().join(classes, "entity").select("row", "class", "held_by").distinct()
+    pairs = terms.join(of_class, "row").groupBy("class", "held_by", "term", "df").agg(F.sum("copies").alias("both"))
+    of_corpus = F.col("df") / F.lit(n)
+    mutual = F.log2((F.col("both") + PRIOR * of_corpus) / ((F.col("held_by") + PRIOR) * of_corpus))
+    shares = pairs.select("term", (mutual / F.log2(F.lit(n) / F.col("held_by"))).alias("share")).filter(F.col("share") >= GENERALISE)
+    return written(shares.groupBy("term").agg(F.max("share").alias("share")), "disclosures")
+
+
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """Bits of the hashes of the terms, some sixteen a term up to 2^27 in all: what a text is sifted by before words are joined."""
+    bits = 1 << min(27, max(16, (16 * terms.count()).bit_length()))
+
+    def mark(batches):
+        out = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            out[[zlib.crc32(t.encode()) & (bits - 1) for t in batch.column("term").to_pylist()]] = True
+        yield pa.record_batch({"bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    whole = np.zeros(bits // 8, dtype=np.uint8)
+    for row in terms.select("term").coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return whole
+
+
+def _occurrences(marked: DataFrame, telling: DataFrame) -> DataFrame:
+    """doc_id, mark, term, start, end of the words of all texts whose hash is that of a telling one, outside entities."""
+    sieve = _bitmap(telling).tobytes()
+    last = 8 * len(sieve) - 1
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, terms, starts, ends = [], [], [], []
+        for k, text in enumerate(batch.column("text").to_pylist()):
+            text, wanted = text or "", set()
+            for w in set(_TERM.findall(text)):
+                h = zlib.crc32(w.lower().encode()) & last
+                if sieve[h >> 3] >> (h & 7) & 1:
+                    wanted.add(w)
+            if wanted:
+                for m in _TERM.finditer(free(text, base_spans(text))):
+                    if m.group() in wanted:
+                        rows.append(k)
+                        terms.append(m.group().lower())
+                        starts.append(m.start())
+                        ends.append(m.end())
+        at = pa.array(rows, pa.int64())
+        return pa.record_batch({"doc_id": batch.column("doc_id").take(at), "mark": batch.column("mark").take(at), "term": pa.array(terms, pa.string()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
+
+    return mapped(marked, look, "doc_id long, mark long, term string, start int, end int")
 
 
 def personal_spans(documents: DataFrame) -> DataFrame:
     """doc_id, mark, base, base_sha256, terms of every document.
 
     mark: hash of the text, to tell rows with one doc_id apart. base: spans of the entities by rule. terms: (start, end,
-    removed) of the words near them that disclose too much. Null texts are empty. A corpus of copies counts each copy as a
+    removed) of the words that disclose too much of an entity of any document. Null texts are empty. A corpus of copies counts each copy as a
     document. Other columns play no part.
     """
     marked = _marked(documents)
     found = written(mapped(marked, _find, _FOUND), "personal")
     telling = disclosures(found, marked)
-    near = found.select("doc_id", "mark", F.explode("mentions").alias("m")).select("doc_id", "mark", "m.entity", "m.term", "m.start", "m.end")
     # A telling word is a row of some thirty bytes; where there are too many to broadcast, the join shuffles.
-    hits = near.join(small(telling), ["entity", "term"]).groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
+    hits = _occurrences(marked, telling).join(small(telling), "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
     term = F.struct("start", "end", (F.col("share") >= REMOVE).alias("removed"))
     terms = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(term)).alias("terms"))
     other = terms.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "terms")
@@ -210,7 +251,7 @@ def rewritten(text: str, base: list[tuple[int, int, int]], terms: list[tuple[int
 def sanitised(documents: DataFrame) -> DataFrame:
     """documents, with the texts rewritten and n_chars, if there is one, counted anew. A null text stays null."""
     names = documents.columns
-    spans = personal_spans(documents).filter("size(base) > 0").dropDuplicates(["doc_id", "mark"])
+    spans = personal_spans(documents).filter("size(base) > 0 or size(terms) > 0").dropDuplicates(["doc_id", "mark"])
     keys = spans.select(*[F.col(c).alias(f"{OWN}{c}") for c in ("doc_id", "mark", "base", "terms")])
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{OWN}doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col(f"{OWN}mark"))
     rows = documents.join(keys, same, "left").select(*names, f"{OWN}base", f"{OWN}terms")
@@ -218,7 +259,7 @@ def sanitised(documents: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text, base, terms in zip(*(batch.column(c).to_pylist() for c in ("text", f"{OWN}base", f"{OWN}terms"))):
-            out.append(text if not text or not base else rewritten(text, [(s["start"], s["kind"], s["end"]) for s in base], [(t["start"], t["end"], t["removed"]) for t in terms]))
+            out.append(text if not text or not (base or terms) else rewritten(text, [(s["start"], s["kind"], s["end"]) for s in base], [(t["start"], t["end"], t["removed"]) for t in terms]))
         columns = {c: batch.column(c) for c in names} | {"text": pa.array(out, pa.string())}
         if "n_chars" in names:
             columns["n_chars"] = pa.array([None if x is None else len(x) for x in out], pa.int64()).cast(batch.column("n_chars").type)

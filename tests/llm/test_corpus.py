@@ -143,6 +143,17 @@ def test_words_by_an_entity_of_one_document(spark):
     assert [rows[0][1][t.start : t.end] for t in got[0].terms] == ["Qwertz"] and not any(got[i].terms for i in range(1, 100))
 
 
+def test_disclosing_words_go_everywhere(spark):
+    filler = " ".join(WORDS * 3)
+    rows = [(0, f"Qwertz came. {filler} QWERTZ paid by a.b@c.org and c.d@c.org {filler} qwertz"), (1, f"alpha Qwertz beta {filler}")] + [(2 + i, f"came paid and {filler}") for i in range(998)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in sanitise.personal_spans(docs).collect()}
+    assert [rows[0][1][t.start : t.end] for t in got[0].terms] == ["Qwertz", "QWERTZ", "qwertz"]
+    assert [rows[1][1][t.start : t.end] for t in got[1].terms] == ["Qwertz"] and not any(got[i].terms for i in range(2, 1000))
+    clean = {r.doc_id: r.text for r in sanitise.sanitised(docs).collect()}
+    assert not any("qwertz" in clean[i].lower() or "@" in clean[i] for i in (0, 1)) and all(clean[i] == rows[i][1] for i in range(2, 1000))
+
+
 # ------------------------------------------------------------------ fingerprints
 
 
