@@ -268,8 +268,13 @@ def sanitised(documents: DataFrame) -> DataFrame:
     return mapped(rows, run, documents.schema)
 
 
+def _of_kind(kind: int):
+    # Of one argument: a second one, even with a default, would be the place in the array.
+    return lambda s: s["kind"] == kind
+
+
 def op2_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     n_terms = F.size("terms").cast("long").alias("n_term")
     return found.select("doc_id", *counts, "base_sha256", all_spans().alias("spans"), n_terms)
