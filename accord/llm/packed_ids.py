@@ -166,9 +166,13 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = width_of(self.library.get_vocab_size())
         rules = json.loads(self.library.to_str())
+        added = sorted(rules["added_tokens"], key=lambda t: -len(t["content"]))
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
+        self.apart = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+        #: Whether added tokens stand for their characters alone, so that a text may be cut at them: the longest of those that begin first.
+        self.bare = not any(t[x] for t in added for x in ("single_word", "lstrip", "rstrip"))
         self.plain = (rules["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not rules["pre_tokenizer"]["add_prefix_space"] and rules["normalizer"] is None
         self.tokenize, self.shown = self.library.model.tokenize, byte_characters()
         self.tokens = WordCache(self._token, 150_000)
@@ -189,10 +193,25 @@ class WordIds:
         if self.plain and (word.isascii() or max(word) < "\u0250"):
             parts = _TOKEN.findall(word)
             return self._token(word) if len(parts) == 1 else b"".join(map(self.tokens.__getitem__, parts))
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._whole(word)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit little-endian; equal to encoding the whole text at once."""
+        """Ids as unsigned 32-bit little-endian; equal to encoding the whole text at once. Added tokens in the text become their ids, as in the library."""
+        if self.apart is None or not self.apart.search(text):
+            return self._stretch(text)
+        if not self.bare:
+            return self._whole(text)
+        out, at = [], 0
+        for m in self.apart.finditer(text):
+            out += [self._stretch(text[at : m.start()]), self.added[m.group()]]
+            at = m.end()
+        return b"".join(out) + self._stretch(text[at:])
+
+    def _stretch(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not text:
             return b""
         first, *rest = text.split(" ")
