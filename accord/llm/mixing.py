@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-The mix is a number of blocks of BLOCK words. Seats (blocks) go to the source with the highest quotient
-target / (2 * seats + 1), then within a source to its shards by their words in the same way, so every shard has an integer
-quota. A shard's documents stand in a seeded order and are cut into blocks; a quota of q over n blocks takes every block
-q div n times, and the q mod n that a seeded permutation of the blocks puts first once more.
+Seats go to the source with the highest quotient target / (2 * seats + 1), then within a source to its shards by their words
+in the same way, so every shard has an integer quota. A seat is a block of one word: with longer ones, sources of a few words
+would miss their targets. A shard's documents stand in a seeded order and are cut into runs of BLOCK words, the last of them
+shorter; a quota of q over n words takes every word q div n times, and once more the q mod n words that come first when a
+seeded permutation orders the runs (the last run taken in part).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable
-from math import ceil, gcd
+from math import ceil, gcd, isqrt
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from accord.llm.common import mapped, small, table, written
 
 BLOCK = 32
-#: Blocks of a shard, and the most shards of a source; beyond that, shards grow.
-SHARD_BLOCKS, MOST_SHARDS = 4096, 4096
+#: Words of a shard of a source of up to FEW_SHARDS shards; beyond, both their number and their words grow with the square root of the source.
+SHARD_WORDS, FEW_SHARDS, ROOT = 1 << 17, 4096, 16
 #: No source goes beyond so many times its words.
 MOST_TIMES = 3
 #: One row a source goes through the driver, for the order by code point and the targets; more sources than this are an error.
@@ -78,20 +79,26 @@ def apportioned(weights: list[float], seats: int) -> list[int]:
     return got
 
 
+def shards_of(words: int) -> int:
+    """Shards of a source: SHARD_WORDS words each, until their square root is the greater number."""
+    few = ceil(words / SHARD_WORDS)
+    return max(1, few if few <= FEW_SHARDS else max(FEW_SHARDS, isqrt(words) // ROOT))
+
+
 def _quotas(shards: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """Quotas of one source's shards (at most MOST_SHARDS) and the permutation b -> (step * b + shift) mod blocks of each."""
+    """Quotas of one source's shards, and the permutation b -> (step * b + shift) mod blocks of each; last: the place of its last block."""
     shards = shards.sort_values("shard")
     words = shards["words"].tolist()
     rows = []
-    for shard, n_words, quota in zip(shards["shard"].tolist(), words, apportioned([float(w) for w in words], int(shards["seats"].iloc[0]))):
-        blocks = ceil(n_words / BLOCK)
-        quota = min(quota, MOST_TIMES * blocks)
+    for shard, n, quota in zip(shards["shard"].tolist(), words, apportioned([float(w) for w in words], int(shards["seats"].iloc[0]))):
+        blocks, quota = ceil(n / BLOCK), min(quota, MOST_TIMES * n)
         random = np.random.default_rng([seed, int(shards["place"].iloc[0]), shard])
         step = int(random.integers(1, blocks + 1))
         while gcd(step, blocks) != 1:
             step += 1
-        rows.append((int(shards["place"].iloc[0]), shard, blocks, quota // blocks, quota % blocks, step, int(random.integers(0, blocks))))
-    return pd.DataFrame(rows, columns=["place", "shard", "blocks", "full", "rest", "step", "shift"])
+        shift = int(random.integers(0, blocks))
+        rows.append((int(shards["place"].iloc[0]), shard, n, blocks, quota // n, quota % n, step, shift, ((blocks - 1) * step + shift) % blocks))
+    return pd.DataFrame(rows, columns=["place", "shard", "words", "blocks", "full", "rest", "step", "shift", "last"])
 
 
 def mixed(documents: DataFrame, carried: tuple[str, ...] = (), seed: int = 20, weights: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
@@ -99,38 +106,47 @@ def mixed(documents: DataFrame, carried: tuple[str, ...] = (), seed: int = 20, w
 
     size: words of the whole text (null: 0). Sources in order of code points, null last, weigh `weights` in turn. taken: words
     that the mix takes, counting repeats: `full` times the whole document, and once more the word ranges [from, to) in `ranges`.
-    A document without words is not taken. Repeated rows are documents of their own, side by side. Shards of a source hold
-    about SHARD_BLOCKS blocks, so a source of a third of all rows is dealt over many tasks.
+    The words taken of a source are its target, rounded. A document without words is not taken. Repeated rows are documents of
+    their own, side by side; rows without a doc_id are ordered by their texts. A source's shards are many (shards_of), so a
+    source of a third of all rows is dealt over many tasks. Columns other than doc_id, source and text play no part. Without
+    rows or words, nothing is taken.
     """
     spark = documents.sparkSession
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"), *[F.col(c).alias(f"{CARRIED}{c}") for c in carried])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = F.xxhash64(F.col("doc_id").cast("long"), text, F.lit(seed))
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), order.alias("order"), *[F.col(c).alias(f"{CARRIED}{c}") for c in carried])
     totals = base.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in totals]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))])
-    seats = apportioned(goal, round(sum(goal) / BLOCK))
-    shards = [max(1, min(MOST_SHARDS, ceil(n / (BLOCK * SHARD_BLOCKS)))) for n in sizes]
+    seats = apportioned(goal, round(sum(goal)))
+    shards = [shards_of(n) for n in sizes]
     schema = "source string, place int, source_size long, target double, seats long, shards int"
     sources = spark.createDataFrame([(r["source"], i, sizes[i], goal[i], seats[i], shards[i]) for i, r in enumerate(totals)], schema)
     sources = small(sources, len(totals))
 
     def placed(rows: DataFrame) -> DataFrame:
-        key = F.xxhash64("doc_id", F.lit(seed))
-        return rows.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source").withColumn("order", key).withColumn("shard", F.pmod(F.xxhash64("order", F.lit(seed + 1)), F.col("shards")).cast("int"))
+        return rows.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source").withColumn("shard", F.pmod(F.xxhash64("order", F.lit(seed + 1)), F.col("shards")).cast("int"))
 
-    held = placed(base.select("doc_id", "source", "size")).groupBy("place", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats")).filter("words > 0")
-    kind = "place int, shard int, blocks long, full long, rest long, step long, shift long"
+    held = placed(base.select("source", "size", "order")).groupBy("place", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats")).filter("words > 0")
+    kind = "place int, shard int, words long, blocks long, full long, rest long, step long, shift long, last long"
     quotas = written(held.groupBy("place").applyInPandas(lambda x: _quotas(x, seed), kind), "quotas")
     run = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size", *[f"{CARRIED}{c}" for c in carried]).rowsBetween(Window.unboundedPreceding, 0)
     rows = placed(base).withColumn("end", F.sum("size").over(run)).withColumn("begin", F.col("end") - F.col("size"))
     rows = rows.join(small(quotas), ["place", "shard"], "left")
-    chosen = F.filter(
-        F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("end") - 1) / BLOCK)),
-        lambda b: (b * F.col("step") + F.col("shift")) % F.col("blocks") < F.col("rest"),
-    )
-    ranges = F.transform(chosen, lambda b: F.struct((F.greatest(b * BLOCK, F.col("begin")) - F.col("begin")).alias("from"), (F.least((b + 1) * BLOCK, F.col("end")) - F.col("begin")).alias("to")))
+    short = F.col("blocks") * BLOCK - F.col("words")  # what the last block lacks
+
+    def part(b):
+        """The words of block b that are taken once more, as far as they stand in the document."""
+        place = (b * F.col("step") + F.col("shift")) % F.col("blocks")
+        before = place * BLOCK - F.when(place > F.col("last"), short).otherwise(0)  # words of the blocks that come first
+        to = F.least(b * BLOCK + F.least(F.greatest(F.col("rest") - before, F.lit(0)), F.lit(BLOCK)), F.col("words"), F.col("end"))
+        return F.struct((F.greatest(b * BLOCK, F.col("begin")) - F.col("begin")).alias("from"), (to - F.col("begin")).alias("to"))
+
+    blocks = F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))
+    ranges = F.filter(F.transform(blocks, part), lambda r: r["to"] > r["from"])
     none = F.array().cast("array<struct<from: bigint, to: bigint>>")
     rows = rows.withColumn("ranges", F.when((F.col("size") > 0) & (F.col("rest") > 0), ranges).otherwise(none))
     more = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, r: acc + r["to"] - r["from"])
