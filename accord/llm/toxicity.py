@@ -6,29 +6,32 @@ takes the score of its most telling form). Scores count only as far as they diff
 less a constant drift, so that words of clean text score below 0 on average. A linear-time scan finds every maximal
 segment of a text; a segment's significance follows the extreme-value law of maximal segment scores, whose two parameters
 are fitted on clean labelled documents. A document's evidence is the sum over its segments of their scores in nats beyond
-chance, and a logistic curve, fitted on labelled documents that the log-odds have not seen, makes it a probability.
+chance, and a logistic curve makes it a probability. Law and curve are cross-fitted: every labelled document is scored with
+log-odds from the other folds. No form that CAUTION lets through is left out; what bounds the model is LABELLED, the number
+of labelled documents that are learnt from (chosen by a hash of their ids where there are more).
 """
 
 from __future__ import annotations
 
 import math
 import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import cutoff, mapped, small, table, with_texts, written
+from accord.llm.common import mapped, table, with_texts, written
 from accord.llm.wordcache import WordCache
 
 STEMS = (4, 5, 6, 7)
-#: Total weight of the prior, in documents; standard deviations by which a score is cut; drift a word; least documents of a form.
-PRIOR, CAUTION, DRIFT, SUPPORT = 20.0, 1.64, 0.1, 5
-#: Forms that a model holds at most: those with the largest |z|. A model of this size is a few MB.
-MODEL_FORMS = 65_536
-#: Values of lambda at which the extreme-value law is tried.
-GRID = np.linspace(0.05, 4.0, 80)
-LOW, HIGH, BINS = -12.0, 60.0, 288
+#: Total weight of the prior, in documents; standard deviations by which a score is cut; drift a word.
+PRIOR, CAUTION, DRIFT = 20.0, 2.33, 0.3
+#: Labelled documents that a model is fitted on, about: the only bound of what is learnt. Folds of the cross-fitting.
+LABELLED, FOLDS = 200_000, 4
+#: Steps of a nat in which word scores are counted, and of the curve's argument.
+FINE, STEPS = 1000, 64
+LOW = -12.0
 
 _WORD = re.compile(r"\w+")
 
@@ -60,7 +63,7 @@ class Scorer:
 
     def __init__(self, model: dict[str, tuple[float, float]]):
         self.model = model
-        self.scores = WordCache(self._score, 150_000)
+        self.scores = WordCache(self._score, 50_000)
 
     def _score(self, word: str) -> float:
         known = [self.model[f] for f in forms(word) if f in self.model]
@@ -107,76 +110,114 @@ def evidence(segments: list[float], n: int, rate: float, size: float) -> float:
     return over if over > 0 else max(LOW, max(beyond))
 
 
+def argument(x):
+    """What the curve is drawn over: the evidence, its size in logarithms, so that long texts don't outweigh all others."""
+    return np.sign(x) * np.log1p(np.abs(x))
+
+
 def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    toxic: dict[str, int] = {}
-    clean: dict[str, int] = {}
-    for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+    counts: dict[tuple[str, int, int], int] = {}
+    for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
         distinct = set(words(text or ""))
         seen = set(distinct)
         for k in STEMS:
             seen.update(["^" + w[:k] for w in distinct if len(w) > k])
-        into = toxic if label else clean
         for form in seen:
-            into[form] = into.get(form, 0) + 1
-        into[""] = into.get("", 0) + len(distinct)  # all words
-    names = list(toxic.keys() | clean.keys())
-    return pa.record_batch({"form": pa.array(names, pa.string()), "t": pa.array([toxic.get(x, 0) for x in names], pa.int64()), "c": pa.array([clean.get(x, 0) for x in names], pa.int64())})
+            key = (form, fold, label)
+            counts[key] = counts.get(key, 0) + 1
+        counts["", fold, label] = counts.get(("", fold, label), 0) + len(distinct)  # all words
+    forms_, folds, labels = zip(*counts) if counts else ((), (), ())
+    return pa.record_batch({"form": pa.array(forms_, pa.string()), "fold": pa.array(folds, pa.int32()), "toxic": pa.array(labels, pa.int32()), "n": pa.array(counts.values(), pa.int64())})
+
+
+def rate_of(scores: list[tuple[float, int]], top: float) -> float:
+    """The positive rate at which the mean of exp(rate * score) is 1, from (score, number of clean words); half a word more at `top`, the highest score that a word can have, stands for what clean text has not shown."""
+    if top <= 0 or not scores:
+        return 1.0
+    x = np.array([s for s, _ in scores] + [top])
+    n = np.array([k for _, k in scores] + [0.5])
+    low, high = 1e-3, 1e-3
+    beyond = lambda rate: np.logaddexp.reduce(rate * x + np.log(n)) > math.log(n.sum())
+    while not beyond(high) and high < 1e6:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (low, middle) if beyond(middle) else (middle, high)
+    return high
 
 
 def fitted(labelled: DataFrame) -> dict:
     """The model: forms, extreme-value parameters and logistic curve. labelled: doc_id, text, toxic (0 or 1), all for learning.
 
-    Documents whose crc32(doc_id as text) mod 4 is 3 are held for the curve, the others give the log-odds. Without labels of
-    both kinds, every text gets the share of toxic labels (0.5 without labels).
+    Without labels of both kinds, every text gets the share of toxic labels (0.5 without labels). Repeated rows count each.
     """
-    held = F.pmod(F.crc32(F.concat(F.lit("curve"), F.col("doc_id").cast("string"))), F.lit(4)) == 3
-    rows = labelled.withColumn("held", F.coalesce(held, F.lit(False)))
-    n = {(r["held"], r["toxic"]): r["count"] for r in rows.groupBy("held", "toxic").count().collect()}
-    of_toxic, of_clean = n.get((False, 1), 0), n.get((False, 0), 0)
+    fold = F.coalesce(F.pmod(F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))), F.lit(FOLDS)), F.lit(0)).cast("int")
+    rows = labelled.withColumn("fold", fold)
+    n = {(r["fold"], r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
+    of = lambda label, without=None: sum(v for (f, y), v in n.items() if y == label and f != without)
     total = sum(n.values())
-    prior = (sum(v for (_, y), v in n.items() if y) + 0.5) / (total + 1)
+    prior = (of(1) + 0.5) / (total + 1)
     model = {"forms": {}, "rate": 1.0, "size": 1.0, "curve": (math.log(prior / (1 - prior)), 0.0)}
-    if not (of_toxic and of_clean):
+    if not (of(1) and of(0)):
         return model
-    documents = of_toxic + of_clean
-    counted = mapped(rows.filter("not held").select("text", "toxic"), _counts, "form string, t long, c long").groupBy("form").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter(F.col("t") + F.col("c") >= SUPPORT)
-    counted = written(counted, "forms")
-    words_of = counted.filter("form = ''").first()
-    if words_of is None:
+    sums = [F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == y), F.col("n")).otherwise(0)).alias(f"n{k}_{y}") for k in range(FOLDS) for y in (0, 1)]
+    counted = written(mapped(rows.select("text", "toxic", "fold"), _counts, "form string, fold int, toxic int, n long").groupBy("form").agg(*sums), "forms")
+    whole = counted.filter("form = ''").first()
+    if whole is None:
         return model
-    share, whole = PRIOR / documents, PRIOR / documents * (words_of["t"] + words_of["c"])
-    a, b = F.col("t") + share * (F.col("t") + F.col("c")), F.col("c") + share * (F.col("t") + F.col("c"))
-    z = (F.log(a / (words_of["t"] + whole - a)) - F.log(b / (words_of["c"] + whole - b))) / F.sqrt(1 / a + 1 / b)
-    telling = counted.filter("form <> ''").withColumn("z", z).withColumn("size", F.abs("z")).filter(F.col("size") > CAUTION)
-    for r in telling.filter(F.col("size") >= cutoff(telling, "size", MODEL_FORMS)).collect():
-        ratio, deviation = log_odds(r["t"], r["c"], words_of["t"], words_of["c"], documents)
-        model["forms"][r["form"]] = (cautious(ratio, deviation), r["z"])
 
-    scorer = Scorer(model["forms"])  # each task gets its own copy, and its cache lives as long as the task
+    def held(row, label: int, without: int | None):
+        """Count of a label outside a fold: of the row, or as a column."""
+        return sum((F.col(name) if row is None else row[name] for name in (f"n{k}_{label}" for k in range(FOLDS) if k != without)), start=F.lit(0) if row is None else 0)
+
+    def z(without: int | None):
+        """The form's log-odds by its standard deviation, as in log_odds(); null where the other folds don't have it."""
+        share = PRIOR / (of(0, without) + of(1, without))
+        of_clean, of_toxic = held(whole, 0, without), held(whole, 1, without)
+        clean, toxic = held(None, 0, without), held(None, 1, without)
+        extra = share * (of_toxic + of_clean)
+        a, b = toxic + share * (toxic + clean), clean + share * (toxic + clean)
+        value = (F.log(a / (of_toxic + extra - a)) - F.log(b / (of_clean + extra - b))) / F.sqrt(1 / a + 1 / b)
+        return F.when(toxic + clean > 0, value)
+
+    models: dict[int | None, dict[str, tuple[float, float]]] = {}
+    for without in (None, *range(FOLDS)):
+        models[without] = {}
+        if not (of(0, without) and of(1, without)):
+            continue
+        own = [held(None, y, without).alias(f"n_{y}") for y in (0, 1)]
+        for r in counted.filter("form <> ''").withColumn("z", z(without)).filter(F.abs("z") > CAUTION).select("form", "z", *own).collect():
+            ratio, deviation = log_odds(r["n_1"], r["n_0"], held(whole, 1, without), held(whole, 0, without), of(0, without) + of(1, without))
+            models[without][r["form"]] = (cautious(ratio, deviation), r["z"])
+    model["forms"] = models[None]
 
     def traced(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text in batch.column("text").to_pylist():
-            s = scorer.word_scores(text or "")
-            values, times = np.unique(s, return_counts=True)
-            out.append((len(s), [x for _, _, x in maximal_segments(s)], (np.exp(np.minimum(np.outer(GRID, values), 500)) @ times).tolist()))
-        return pa.record_batch({"held": batch.column("held"), "toxic": batch.column("toxic"), "n": pa.array([x[0] for x in out], pa.int64()), "segments": pa.array([x[1] for x in out], pa.list_(pa.float64())), "moments": pa.array([x[2] for x in out], pa.list_(pa.float64()))})
-
-    traces = written(mapped(rows.select("text", "toxic", "held"), traced, "held boolean, toxic int, n long, segments array<double>, moments array<double>"), "toxicity")
-    clean = traces.filter("toxic = 0 and n > 0").withColumn("best", F.coalesce(F.array_max("segments"), F.lit(0.0)))
-    sums = clean.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), *[F.sum(F.col("moments")[k]).alias(f"m{k}") for k in range(len(GRID))], *[F.sum(F.col("n") * F.exp(-float(g) * F.col("best"))).alias(f"k{k}") for k, g in enumerate(GRID)]).first()
-    if sums["docs"]:
-        # The rate solves: mean over clean words of exp(rate * score) = 1. The size is its likeliest value given the rate.
-        over = [k for k in range(len(GRID)) if sums[f"m{k}"] >= sums["n"]]
-        k = over[0] if over else len(GRID) - 1
-        model["rate"], model["size"] = float(GRID[k]), sums["docs"] / max(sums[f"k{k}"], 1e-300)
-    rate, size = model["rate"], max(model["size"], 1e-12)
+        for text, k in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist()):
+            s = scorers[k].word_scores(text or "")
+            values, times = np.unique(np.rint(s * FINE).astype(np.int32), return_counts=True)
+            out.append((len(s), [x for _, _, x in maximal_segments(s)], [{"at": v, "n": c} for v, c in zip(values.tolist(), times.tolist())]))
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int64())]))
+        return pa.record_batch({"toxic": batch.column("toxic"), "n": pa.array([x[0] for x in out], pa.int64()), "segments": pa.array([x[1] for x in out], pa.list_(pa.float64())), "values": pa.array([x[2] for x in out], kind)})
+
+    scorers = [Scorer(models[k]) for k in range(FOLDS)]  # each task gets its own copy, and its cache lives as long as the task
+    traces = written(mapped(rows.select("text", "toxic", "fold"), traced, "toxic int, n long, segments array<double>, values array<struct<at: int, n: long>>"), "toxicity")
+    clean = traces.filter("toxic = 0 and n > 0")
+    counts = clean.select(F.explode("values").alias("v")).groupBy("v.at").agg(F.sum("v.n").alias("n")).collect()
+    top = max((s for s, _ in model["forms"].values()), default=0.0) - DRIFT
+    model["rate"] = rate = rate_of(sorted((r["at"] / FINE, r["n"]) for r in counts), top)
+    # The size is its likeliest value given the rate.
+    best = F.coalesce(F.array_max("segments"), F.lit(0.0))
+    shown = clean.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("n") * F.exp(-rate * best)).alias("k")).first()
+    if shown["docs"]:
+        model["size"] = shown["docs"] / max(shown["k"], 1e-300)
+    size = max(model["size"], 1e-12)
     beyond = F.transform("segments", lambda s: s * rate - F.log(F.greatest(F.col("n") * size, F.lit(1e-9))))
     over = F.aggregate(beyond, F.lit(0.0), lambda acc, x: acc + F.greatest(x, F.lit(0.0)))
     x = F.when(F.size("segments") == 0, F.lit(LOW)).when(over > 0, over).otherwise(F.greatest(F.lit(LOW), F.array_max(beyond)))
-    bins = F.floor((F.least(F.greatest(x, F.lit(LOW)), F.lit(HIGH)) - LOW) / (HIGH - LOW) * (BINS - 1))
-    counts = traces.filter("held").groupBy(bins.alias("bin"), "toxic").count().collect()
-    model["curve"] = logistic([(LOW + (r["bin"] + 0.5) * (HIGH - LOW) / (BINS - 1), r["toxic"], r["count"]) for r in counts], prior)
+    at = F.rint(F.signum(x) * F.log1p(F.abs(x)) * STEPS)  # a few hundred values, whatever the rows
+    points = traces.groupBy(at.alias("at"), "toxic").count().collect()
+    model["curve"] = logistic([(r["at"] / STEPS, r["toxic"], r["count"]) for r in points], prior)
     return model
 
 
@@ -186,36 +227,47 @@ def logistic(points: list[tuple[float, int, int]], prior: float) -> tuple[float,
     if len({y for _, y, _ in points}) < 2:
         return a, b
     x, y, w = (np.array(c, dtype=float) for c in zip(*points))
-    x = np.minimum(x, 15.0)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(a + b * x)))
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -500, 500)))
         g = np.array([(w * (y - p)).sum(), (w * (y - p) * x).sum() - 0.01 * b])
         v = w * p * (1 - p)
         h = np.array([[v.sum() + 1e-6, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.01]])
         step = np.linalg.solve(h, g)
-        a, b = a + float(np.clip(step[0], -3, 3)), b + float(np.clip(step[1], -1, 1))
+        a, b = a + float(np.clip(step[0], -1, 1)), b + float(np.clip(step[1], -1, 1))
         if abs(step).max() < 1e-9:
             break
     return (a, b) if b >= 0 else (math.log(prior / (1 - prior)), 0.0)
 
 
+def _judged(model: dict):
+    """log-odds of a text and its segments, by the model."""
+    rate, size, (a, b), scorer = model["rate"], max(model["size"], 1e-12), model["curve"], Scorer(model["forms"])
+
+    def judge(text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
+        s = scorer.word_scores(text)
+        found = maximal_segments(s)
+        return a + b * float(argument(evidence([f[2] for f in found], len(s), rate, size))), len(s), found
+
+    return judge
+
+
 def scored(documents: DataFrame, model: dict, with_segments: bool = False) -> DataFrame:
     """doc_id, score, predicted and, if asked, segments (start and end word, score, p_value; significant ones first to last).
 
-    Null texts are empty. A text without telling words gets the score of no evidence. Other columns play no part.
+    Null texts are empty. A text without telling words gets the score of no evidence. Repeated rows come back as often, and
+    equal texts score alike; a score of just 0.5 is predicted toxic. Texts of any length are scanned whole. An empty table
+    gives an empty one. Other columns play no part.
     """
-    rate, size, (a, b), scorer = model["rate"], max(model["size"], 1e-12), model["curve"], Scorer(model["forms"])
+    rate, size, judge = model["rate"], max(model["size"], 1e-12), _judged(model)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores, spans = [], []
         for text in batch.column("text").to_pylist():
-            s = scorer.word_scores(text or "")
-            found = maximal_segments(s)
-            x = evidence([f[2] for f in found], len(s), rate, size)
-            scores.append(1 / (1 + math.exp(-(a + b * min(x, 15.0)))))
+            odds, n, found = judge(text or "")
+            scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))
             if with_segments:
-                tested = [{"start": i, "end": j, "score": v, "p_value": -math.expm1(-size * len(s) * math.exp(-rate * v))} for i, j, v in found]
+                tested = [{"start": i, "end": j, "score": v, "p_value": -math.expm1(-size * n * math.exp(-rate * v))} for i, j, v in found]
                 spans.append([t for t in tested if t["p_value"] < 0.05])
         columns = {"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in scores], pa.int32())}
         return pa.record_batch(columns | ({"segments": pa.array(spans, kind)} if with_segments else {}))
@@ -225,16 +277,11 @@ def scored(documents: DataFrame, model: dict, with_segments: bool = False) -> Da
 
 
 def without_toxic(documents: DataFrame, model: dict) -> DataFrame:
-    """The documents that scored() doesn't predict toxic, with all their columns, in one pass."""
-    rate, size, (a, b), scorer = model["rate"], max(model["size"], 1e-12), model["curve"], Scorer(model["forms"])
+    """The documents that scored() doesn't predict toxic, with all their columns, in one pass. Rows with null or empty texts are judged as empty ones; repeated rows go or stay together."""
+    judge = _judged(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for text in batch.column("text").to_pylist():
-            s = scorer.word_scores(text or "")
-            x = evidence([f[2] for f in maximal_segments(s)], len(s), rate, size)
-            keep.append(a + b * min(x, 15.0) < 0)
-        return batch.filter(pa.array(keep))
+        return batch.filter(pa.array([judge(text or "")[0] < 0 for text in batch.column("text").to_pylist()], pa.bool_()))
 
     return mapped(documents, run, documents.schema)
 
@@ -244,12 +291,17 @@ def remainder(column: str = "doc_id", by: int = 5):
 
 
 def learned(documents: DataFrame, labels: DataFrame) -> dict:
-    """fitted() on all documents with a label and a remainder of crc32(doc_id) mod 5 other than 0. A doc_id labelled twice is toxic if any label says so; null labels and ids don't count."""
-    known = labels.filter("toxic in (0, 1)").filter(remainder() != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return fitted(with_texts(documents).join(small(known), "doc_id").select("doc_id", "text", "toxic"))
+    """fitted() on the documents with a label and a remainder of crc32(doc_id) mod 5 other than 0: all of them, or about LABELLED where there are more. A doc_id labelled twice is toxic if any label says so; null labels and ids don't count."""
+    known = labels.filter("toxic in (0, 1)").filter(remainder() != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    n = known.count()
+    if n > LABELLED:
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * LABELLED / n))
+    # A label is two numbers, so so many of them are a few MB.
+    return fitted(with_texts(documents).join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, learnt from `labels`; see scored() for nulls, empty and long texts, ties and repeated rows. Without labels every score is 0.5."""
     documents = table(spark, sf_dir, "documents")
     out = scored(documents, learned(documents, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
