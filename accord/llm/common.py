@@ -91,7 +91,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 #: Bytes of an Arrow batch between Spark and a worker; Spark's own limit is four times as much.
-BATCH = 16 << 20
+BATCH = 4 << 20
 
 
 def lean(spark: SparkSession) -> None:
