@@ -33,17 +33,23 @@ class PieceEncoder:
         skip = [self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i) for i in range(n)]
         self.ids = {self.model.id_to_piece(i): i for i in range(n) if not skip[i]}
         self.scores = {p: self.model.get_score(i) for p, i in self.ids.items()}
-        self.bytes = {b: self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
+        self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.known = {p for p in self.ids if len(p) == 1}
         self.finder = ahocorasick.Automaton()
-        for p in self.ids:
-            self.finder.add_word(p, p)
+        for p, i in self.ids.items():
+            self.finder.add_word(p, (len(p), i))
         self.finder.make_automaton()
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None) for p in self.ids}
+        #: Of each id: the characters of its piece, and the id of the longest piece that begins it (-1: none).
+        self.size, self.shorter = [0] * n, [-1] * n
+        for p, i in self.ids.items():
+            self.size[i] = len(p)
+            self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
+        self.shift = n.bit_length()
+        self.compatible = WordCache(self._compatible, 100_000)
+        self.words = WordCache(self._word, 100_000)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or self.model.encode("a") != self.encode_stretch(SPACE + "a"):
             raise ValueError("pieces with an inner space mark, or no dummy prefix")
         self.lines = not any("\n" in p for p in self.ids)
-        self.compatible = WordCache(self._compatible, 100_000)
-        self.words = WordCache(self._word, 150_000)
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by score gives: best score first, leftmost among equals."""
@@ -59,50 +65,53 @@ class PieceEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, pair: tuple[str, str]) -> bool:
-        return self.merged(pair[0] + pair[1]) == [*pair]
+    def _compatible(self, pair: int) -> bool:
+        left, right = (self.model.id_to_piece(i) for i in (pair >> self.shift, pair & (1 << self.shift) - 1))
+        return self.merged(left + right) == [left, right]
 
     def encode_stretch(self, text: str) -> list[int]:
-        """Ids of a stretch of known characters; unknown characters split it."""
-        longest: list[str | None] = [None] * len(text)
-        for end, piece in self.finder.iter(text):
-            start = end + 1 - len(piece)
-            if longest[start] is None or len(longest[start]) < len(piece):
-                longest[start] = piece
+        """Ids of a text without blanks; characters that no piece stands for split it, and become bytes."""
+        longest = [-1] * len(text)
+        for end, (size, piece) in self.finder.iter(text):
+            longest[end + 1 - size] = piece  # the matches of a start come with rising ends
+        if self.known.issuperset(text):
+            return self._backtrack(longest, 0, len(text))
         out: list[int] = []
         start = 0
         for k, x in enumerate(text):
-            if x not in self.ids:
-                out += [self.ids[p] for p in self._backtrack(longest, start, k)]
+            if x not in self.known:
+                out += self._backtrack(longest, start, k)
                 out += [self.bytes[b] for b in x.encode()]
                 start = k + 1
-        return out + [self.ids[p] for p in self._backtrack(longest, start, len(text))]
-
-    def _backtrack(self, longest: list[str | None], start: int, stop: int) -> list[str]:
-        taken: list[str] = []
-        failed, at = 0, start
-        piece = longest[at] if at < stop else None
-        compatible = self.compatible if hasattr(self, "compatible") else {}
+        return out + self._backtrack(longest, start, len(text))
+
+    def _backtrack(self, longest: list[int], start: int, stop: int) -> list[int]:
+        taken: list[int] = []
+        failed = None  # a byte for each position that no sequence may end a piece at
+        size, shorter, compatible, shift = self.size, self.shorter, self.compatible, self.shift
+        at, before = start, -1
+        piece = longest[at] if at < stop else -1
         while at < stop:
-            while piece is not None:
-                end = at + len(piece)
-                if end <= stop and not failed >> end & 1:
-                    if not taken:
-                        break
-                    pair = (taken[-1], piece)
-                    if compatible[pair] if isinstance(compatible, WordCache) else self._compatible(pair):
-                        break
-                piece = self.shorter[piece]
-            if piece is None:
-                failed |= 1 << at
+            while piece >= 0:
+                end = at + size[piece]
+                if end <= stop and not (failed and failed[end - start]) and (before < 0 or compatible[before << shift | piece]):
+                    break
+                piece = shorter[piece]
+            if piece < 0:
+                if failed is None:
+                    failed = bytearray(stop - start + 1)
+                failed[at - start] = 1
                 if not taken:
                     raise ValueError("a stretch that merging can't give")
                 piece = taken.pop()
-                at -= len(piece)
+                at -= size[piece]
             else:
                 taken.append(piece)
-                at += len(piece)
-                piece = longest[at] if at < stop else None
+                at += size[piece]
+                before = piece
+                piece = longest[at] if at < stop else -1
+                continue
+            before = taken[-1] if taken else -1
         return taken
 
     def _word(self, word: str) -> tuple[str, tuple[int, ...]]:

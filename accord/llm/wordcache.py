@@ -20,7 +20,7 @@ class WordCache(dict):
         value = self.aged.get(word)
         if value is None:
             value = self.make(word)
-            if len(word) > LONGEST:
+            if isinstance(word, str) and len(word) > LONGEST:
                 return value
         if len(self) >= self.most:
             self.aged = dict(self)

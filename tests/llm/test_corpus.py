@@ -285,6 +285,8 @@ def test_pieces_match_library(documents, empty):
         assert model.encode(t) == model.model.encode(t), t
     for word in ("abracadabra", "ththth", "aaaaaaa", "incomprehensibilities"):
         assert [model.ids[p] for p in model.merged("▁" + word)] == model.encode(word)
+    for long in ("x" * 30_000, "ab" * 20_000, "".join(r.choice("abcdefgh中é") for _ in range(30_000)), "incomprehensibilities" * 1500):
+        assert model.encode(long) == model.model.encode(long)
     got = pieces_bpe.encoded(documents, pieces_bpe.default_model()).collect()
     assert sorted(((r.doc_id, r.ids, r.decoded) for r in got), key=repr) == sorted(((d, model.model.encode(t or ""), model.model.decode(model.model.encode(t or ""))) for d, t in texts()), key=repr)
     digests = {(r.doc_id, r.n_tokens, r.ids_sha256) for r in pieces_bpe.encoded_digests(documents, pieces_bpe.default_model()).collect()}
