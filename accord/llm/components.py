@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from accord.llm.common import dropped, written
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) as longs -> (id, component): the smallest id reachable from each id that has an edge.
 
     A round hooks each root below the smallest label that any member's neighbour has, then halves all paths; the number
@@ -18,7 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(most_rounds):
+    while True:
         lowest = (
             both.join(labels.withColumnRenamed("id", "b").withColumnRenamed("component", "other"), "b")
             .join(labels.withColumnRenamed("id", "a"), "a")
@@ -34,4 +34,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not changed:
             dropped(spark, both)
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
