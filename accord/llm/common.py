@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast (a row here is at most a few numbers and a short string); beyond it, joins shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a side may be broadcast (a row here is at most a few numbers and a short string, so all of them some 10 MB); beyond it, joins shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -217,7 +217,6 @@ def personal_spans(documents: DataFrame) -> DataFrame:
     marked = _marked(documents)
     found = written(mapped(marked, _find, _FOUND), "personal")
     telling = disclosures(found, marked)
-    # A telling word is a row of some thirty bytes; where there are too many to broadcast, the join shuffles.
     hits = _occurrences(marked, telling).join(small(telling), "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
     term = F.struct("start", "end", (F.col("share") >= REMOVE).alias("removed"))
     terms = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(term)).alias("terms"))
