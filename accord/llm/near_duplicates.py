@@ -33,8 +33,8 @@ HASHES = BANDS * ROWS
 BATCHES = (32, 64, 96, HASHES)
 #: Bytes of text that are hashed at once: the arrays on the way take some forty times as much.
 HASHED = 1 << 20
-#: Members of a bucket that are compared in one task.
-BLOCK = 1024
+#: Members of a bucket's chunk, of which two are compared in one task, and members that meet one copy of their centre.
+BLOCK, STAR = 1024, 128
 
 #: What tells blocks apart, and the columns of a member of one: comp is the component that it is known to be in, centre the id that it has met.
 BY = ["key", "i", "j"]
@@ -230,7 +230,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, miss: float = 1e-4)
 
     # The first pass: each class and the smallest member of its buckets, dealt out by centre in chunks.
     star = met.filter("id > first").groupBy("id", "f1").agg(F.min("first").alias("key"))
-    centres = star.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    centres = star.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("chunks"))
     of_star = lambda side, i: (F.lit(0).alias("band"), "key", i.alias("i"), F.lit(0).alias("j"), F.lit(side).alias("side"), F.col("id").alias("comp"), F.lit(NO_ID).alias("centre"))
     outer = star.join(centres, "key").select("id", "f1", *of_star(1, chunk(F.col("chunks"))))
     inner = classes.select("id", "f1", F.col("id").alias("key")).join(centres, "key").withColumn("place", places(F.col("chunks"))).select("id", "f1", *of_star(0, F.col("place")))

@@ -61,13 +61,18 @@ def cautious(ratio: float, deviation: float) -> float:
 class Scorer:
     """Scores of a text's words, and its maximal segments. model: score by form, with the form's z to choose by."""
 
-    def __init__(self, model: dict[str, tuple[float, float]]):
+    def __init__(self, model: dict[str, tuple[float, float]], most: int = 100_000):
         self.model = model
-        self.scores = WordCache(self._score, 50_000)
+        self.scores = WordCache(self._score, most)
 
     def _score(self, word: str) -> float:
-        known = [self.model[f] for f in forms(word) if f in self.model]
-        return max(known, key=lambda x: abs(x[1]))[0] if known else 0.0
+        model, best, z = self.model, 0.0, 0.0
+        for f in forms(word):
+            if f in model:
+                score, own = model[f]
+                if abs(own) > z:
+                    best, z = score, abs(own)
+        return best
 
     def word_scores(self, text: str) -> np.ndarray:
         return np.fromiter(map(self.scores.__getitem__, words(text)), dtype=np.float64) - DRIFT
@@ -116,18 +121,20 @@ def argument(x):
 
 
 def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    counts: dict[tuple[str, int, int], int] = {}
+    counts: list[dict[str, int]] = [{} for _ in range(2 * FOLDS)]
     for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
         distinct = set(words(text or ""))
         seen = set(distinct)
         for k in STEMS:
             seen.update(["^" + w[:k] for w in distinct if len(w) > k])
+        into = counts[2 * fold + label]
         for form in seen:
-            key = (form, fold, label)
-            counts[key] = counts.get(key, 0) + 1
-        counts["", fold, label] = counts.get(("", fold, label), 0) + len(distinct)  # all words
-    forms_, folds, labels = zip(*counts) if counts else ((), (), ())
-    return pa.record_batch({"form": pa.array(forms_, pa.string()), "fold": pa.array(folds, pa.int32()), "toxic": pa.array(labels, pa.int32()), "n": pa.array(counts.values(), pa.int64())})
+            into[form] = into.get(form, 0) + 1
+        into[""] = into.get("", 0) + len(distinct)  # all words
+    # A row a form, whatever its folds: those are added up in the aggregate that follows.
+    names = list(set().union(*counts))
+    columns = {f"n{k}_{y}": pa.array([counts[2 * k + y].get(f, 0) for f in names], pa.int64()) for k in range(FOLDS) for y in (0, 1)}
+    return pa.record_batch({"form": pa.array(names, pa.string())} | columns)
 
 
 def rate_of(scores: list[tuple[float, int]], top: float) -> float:
@@ -160,8 +167,8 @@ def fitted(labelled: DataFrame) -> dict:
     model = {"forms": {}, "rate": 1.0, "size": 1.0, "curve": (math.log(prior / (1 - prior)), 0.0)}
     if not (of(1) and of(0)):
         return model
-    sums = [F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == y), F.col("n")).otherwise(0)).alias(f"n{k}_{y}") for k in range(FOLDS) for y in (0, 1)]
-    counted = written(mapped(rows.select("text", "toxic", "fold"), _counts, "form string, fold int, toxic int, n long").groupBy("form").agg(*sums), "forms")
+    cells = [f"n{k}_{y}" for k in range(FOLDS) for y in (0, 1)]
+    counted = written(mapped(rows.select("text", "toxic", "fold"), _counts, "form string, " + ", ".join(f"{c} long" for c in cells)).groupBy("form").agg(*[F.sum(c).alias(c) for c in cells]), "forms")
     whole = counted.filter("form = ''").first()
     if whole is None:
         return model
@@ -200,7 +207,7 @@ def fitted(labelled: DataFrame) -> dict:
         kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int64())]))
         return pa.record_batch({"toxic": batch.column("toxic"), "n": pa.array([x[0] for x in out], pa.int64()), "segments": pa.array([x[1] for x in out], pa.list_(pa.float64())), "values": pa.array([x[2] for x in out], kind)})
 
-    scorers = [Scorer(models[k]) for k in range(FOLDS)]  # each task gets its own copy, and its cache lives as long as the task
+    scorers = [Scorer(models[k], 25_000) for k in range(FOLDS)]  # each task gets its own copy, and its cache lives as long as the task
     traces = written(mapped(rows.select("text", "toxic", "fold"), traced, "toxic int, n long, segments array<double>, values array<struct<at: int, n: long>>"), "toxicity")
     clean = traces.filter("toxic = 0 and n > 0")
     counts = clean.select(F.explode("values").alias("v")).groupBy("v.at").agg(F.sum("v.n").alias("n")).collect()
