@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the session's folder; a session without one (tests) gets a folder of this process."""
+    """df.checkpoint() in the session's folder; a local session without one (tests) gets a folder of this process, on a cluster that is an error."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="accord-")
             atexit.register(shutil.rmtree, folder, True)
         context.setCheckpointDir(folder)

@@ -9,11 +9,11 @@ from accord.operators.checkpoints import checkpointed
 from accord.operators.tables import global_row_number
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, component): the smallest node reachable. Labels hook to the least neighbouring one and paths are halved each round."""
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"))
-    for _ in range(most_rounds):
+    while True:
         labels = checkpointed(labels)
         hook = (
             both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("other")), "b")
@@ -25,7 +25,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         hooked = labels.join(hook, "component", "left").select("node", F.coalesce("hook", "component").alias("component"))
         up = hooked.select(F.col("node").alias("component"), F.col("component").alias("upper"))
         labels = hooked.join(up, "component", "left").select("node", F.least("component", F.coalesce("upper", "component")).alias("component"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def node(dataset, obs_id):

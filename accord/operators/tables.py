@@ -40,7 +40,7 @@ def keep_last(frames: list[DataFrame], keys: list[str], order: str) -> DataFrame
 
 def sampled_by(df: DataFrame, keys: list[str], n: int, seed: int, *identity: str) -> DataFrame:
     """Up to n rows of each key, the same ones on every run with a seed."""
-    return top_by(df, keys, n, F.xxhash64(*identity, F.lit(seed)), *identity)
+    return top_by(df, keys, n, F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in identity], F.lit(str(seed)))), *identity)
 
 
 def average_rank(by: list[str], c: str) -> Column:

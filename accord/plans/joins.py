@@ -230,12 +230,12 @@ def _(s, d):
     return read(s, d, "part").join(keys, "p_partkey", "left_semi").select("p_partkey")
 
 
-@query("joi17_other_compound_means", WITH_EVENTS + f", st AS (SELECT cell_type, time_h, cid, sum(dose_um) AS x, count(*) AS n FROM ev GROUP BY ALL), t AS (SELECT cell_type, time_h, sum(x) AS tx, sum(n) AS tn FROM st GROUP BY ALL) SELECT cell_type, time_h, cid, {r('(tx - x) / (tn - n)', 'others')} FROM st JOIN t USING (cell_type, time_h) WHERE tn > n")
+@query("joi17_other_compound_means", WITH_EVENTS + f", st AS (SELECT cell_type, time_h, cid, sum(CAST(dose_um AS DECIMAL(28, 10))) AS x, count(*) AS n FROM ev GROUP BY ALL), t AS (SELECT cell_type, time_h, sum(x) AS tx, sum(n) AS tn FROM st GROUP BY ALL) SELECT cell_type, time_h, cid, {r('CAST(tx - x AS DOUBLE) / (tn - n)', 'others')} FROM st JOIN t USING (cell_type, time_h) WHERE tn > n")
 def _(s, d):
-    st = event_samples(s, d).groupBy("cell_type", "time_h", "cid").agg(F.sum("dose_um").alias("x"), F.count(F.lit(1)).alias("n"))
+    st = event_samples(s, d).groupBy("cell_type", "time_h", "cid").agg(F.sum(F.col("dose_um").cast("decimal(28,10)")).alias("x"), F.count(F.lit(1)).alias("n"))
     t = st.groupBy("cell_type", "time_h").agg(F.sum("x").alias("tx"), F.sum("n").alias("tn"))
     rows = st.join(t, ["cell_type", "time_h"]).filter("tn > n")
-    return rounded(rows.select("cell_type", "time_h", "cid", ((F.col("tx") - F.col("x")) / (F.col("tn") - F.col("n"))).alias("others")), "others")
+    return rounded(rows.select("cell_type", "time_h", "cid", ((F.col("tx") - F.col("x")).cast("double") / (F.col("tn") - F.col("n"))).alias("others")), "others")
 
 
 @query("joi18_dataset_pairs", WITH_EVENTS + ", n AS (SELECT DISTINCT dataset FROM ev) SELECT a.dataset AS a, b.dataset AS b, a.dataset < b.dataset AS unordered FROM n a, n b WHERE a.dataset <> b.dataset")
@@ -302,7 +302,7 @@ def _(s, d):
     return rounded(share_of_total(rows, ["mode"]), "share")
 
 
-@query("win8_seeded_sample")
+@query("win8_seeded_sample", f"{WITH_EVENTS} SELECT dataset, row_pos FROM ev QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5(concat_ws('|', CAST(row_pos AS VARCHAR), '7')), row_pos) <= 40")
 def _(s, d):
     return tables.sampled_by(event_samples(s, d), ["dataset"], 40, 7, "row_pos").select("dataset", "row_pos")
 

@@ -14,7 +14,7 @@ URL = r"https?://[^\s<>\"')\]]+"
 
 def exchange_folder(spark: SparkSession) -> str:
     """A new folder in the session's shared folder; without one, in the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")  # both are shared
     return f"{root.rstrip('/')}/exchange-{uuid.uuid4().hex}"
 
 
