@@ -55,7 +55,13 @@ def scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
 
 def pair_scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     """Scores of the rows of q with the same rows of d."""
-    return np.array([scores(q[i : i + 1], d[i : i + 1], metric)[0, 0] for i in range(len(q))])
+    if metric in ("cosine", "pearson", "spearman"):
+        a, b = np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1)
+        with np.errstate(all="ignore"):
+            return np.where((a > GUARD) & (a * b > GUARD), np.einsum("ij,ij->i", q, d) / (a * b), np.nan)
+    # As in scores(), so that a row has the same distance to a match there and here.
+    square = np.maximum((q * q).sum(1) + (d * d).sum(1) - 2 * np.einsum("ij,ij->i", q, d), 0)
+    return np.sqrt(square / q.shape[1]) if metric == "mrrmse" else -np.sqrt(square)
 
 
 def signed_and_z(lfc: np.ndarray, p: np.ndarray, low: float = 1e-300, high: float = 1 - 1e-16) -> tuple[np.ndarray, np.ndarray]:

@@ -1,13 +1,17 @@
 """Vector kernels as native column expressions over arrays of doubles.
 
 They are for a few vectors a row; all-pairs scoring runs on Arrow blocks (operators.retrieval). Non-finite components are
-null or NaN in the input and handled by the masks here; results that are undefined are null.
+null or NaN in the input and handled by the masks here; results that are undefined are null. Ranks need a sort by value and
+back with ties averaged, which array functions can't do in less than quadratic time: they are Arrow functions on numpy.
 """
 
-from __future__ import annotations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from accord.functions.blocks import average_ranks
 
 GUARD = 1e-12
 P_LOW, P_HIGH = 1e-300, 1 - 1e-16
@@ -62,14 +66,56 @@ def pearson(x: Column, y: Column) -> Column:
     return cosine(centered(x), centered(y))
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All components (nulls as NaN), and where each row's begin and how many they are (-1: null)."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return values, np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0), lengths
+
+
+def _of_length(lists: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, n: int) -> np.ndarray:
+    """The named rows, all of length n, as a matrix."""
+    values, starts, _ = lists
+    return values[starts[rows][:, None] + np.arange(n)]
+
+
+def _ranks(x: pa.Array) -> pa.Array:
+    lists = _lists(x)
+    out, fine = np.zeros(len(lists[0])), lists[2] >= 0
+    for n in np.unique(lists[2][lists[2] > 0]).tolist():
+        rows = np.flatnonzero(lists[2] == n)
+        m = _of_length(lists, rows, n)
+        out[lists[1][rows][:, None] + np.arange(n)] = average_ranks(m)
+        fine[rows] = ~np.isnan(m).any(1)
+    ends = np.append(lists[1], len(out)).astype(np.int32)
+    made = pa.ListArray.from_arrays(pa.array(ends), pa.array(out))
+    return made if fine.all() else pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~fine, False)), pa.array(out))
+
+
 def ranks(x: Column) -> Column:
-    """Average ranks from 1."""
-    return let(lambda a: F.transform(a, lambda v: F.size(F.filter(a, lambda w: w < v)) + (F.size(F.filter(a, lambda w: w == v)) + 1) / 2), x)
+    """Average ranks from 1; null for an array with null or NaN components."""
+    return F.arrow_udf(_ranks, ArrayType(DoubleType()))(doubles(x))
+
+
+def _spearman(x: pa.Array, y: pa.Array) -> pa.Array:
+    a, b = _lists(x), _lists(y)
+    out = np.full(len(x), np.nan)
+    both = np.where(a[2] == b[2], a[2], -1)
+    for n in np.unique(both[both >= 2]).tolist():
+        rows = np.flatnonzero(both == n)
+        p, q = _of_length(a, rows, n), _of_length(b, rows, n)
+        bad = np.isnan(p).any(1) | np.isnan(q).any(1)
+        p, q = (average_ranks(m) - (n + 1) / 2 for m in (p, q))
+        left, right = (np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (p, q))
+        product = left * right
+        known = (left > GUARD) & (product > GUARD) & ~bad
+        out[rows[known]] = np.einsum("ij,ij->i", p[known], q[known]) / product[known]
+    return pa.array(out, mask=np.isnan(out))
 
 
 def spearman(x: Column, y: Column) -> Column:
-    """Pearson of average ranks; null for fewer than two components or constant ones."""
-    return let(lambda a, b: F.when(F.size(a) >= 2, pearson(ranks(a), ranks(b))), x, y)
+    """Pearson of average ranks; null for fewer than two components, constant ones, and arrays of two lengths or with null or NaN components."""
+    return F.arrow_udf(_spearman, DoubleType())(doubles(x), doubles(y))
 
 
 def rmse(x: Column, y: Column) -> Column:

@@ -40,23 +40,53 @@ def nearest_match(queries: DataFrame, database: DataFrame, keys: tuple[str, ...]
     return out.select(*by, "q_dataset", "q_row_pos", "db_dataset", F.col("b.db_row_pos").alias("db_row_pos"), F.col("dt").alias("time_diff"), F.col("b.dd").alias("dose_diff"))
 
 
+def candidates_per_compound(queries: DataFrame, database: DataFrame, context: tuple[str, ...] = ("cell_type",)) -> DataFrame:
+    """For each query and each compound of another dataset in its context: the row nearest by time, then dose, then row_pos: q_row_pos, db_dataset, db_cid, db_row_pos.
+
+    Queries meet distinct (compound, time) pairs, then the distinct doses at the nearest time; rows of one dose are one, the first.
+    """
+    by = list(context)
+    q = queries.select(*by, *[F.col(c).alias(f"q_{c}") for c in ("dataset", "row_pos", "time_h", "dose_um")])
+    d = database.groupBy(*by, *[F.col(c).alias(f"db_{c}") for c in ("dataset", "cid", "time_h", "dose_um")]).agg(F.min("row_pos").alias("db_row_pos"))
+    times = d.groupBy(*by, "db_dataset", "db_cid").agg(F.collect_set("db_time_h").alias("times"))
+    met = q.join(times, by).filter("q_dataset <> db_dataset")
+    least = F.array_min(F.transform("times", lambda t: F.abs(t - F.col("q_time_h"))))
+    near = met.withColumn("least", least).withColumn("db_time_h", F.explode(F.filter("times", lambda t: F.abs(t - F.col("q_time_h")) == F.col("least")))).drop("times")
+    pairs = near.join(d, [*by, "db_dataset", "db_cid", "db_time_h"])
+    best = F.min(F.struct(dose_distance(F.col("q_dose_um"), F.col("db_dose_um")).alias("dd"), F.col("db_row_pos").alias("r")))
+    return pairs.groupBy("q_row_pos", "db_dataset", "db_cid").agg(best.alias("b")).select("q_row_pos", "db_dataset", "db_cid", F.col("b.r").alias("db_row_pos"))
+
+
+def axis_minima(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
+    """a_dataset, b_dataset, a_row_pos, least: the smallest log10-dose difference of each left row to right rows of equal keys in a later dataset; distinct doses meet, rows don't."""
+    by = list(keys)
+    l, r = renamed(left, "a_", keys).filter("a_dose_um > 0"), renamed(right, "b_", keys).filter("b_dose_um > 0")
+    met = l.select(*by, "a_dataset", "a_dose_um").distinct().join(r.select(*by, "b_dataset", "b_dose_um").distinct(), by).filter("a_dataset < b_dataset")
+    least = met.groupBy(*by, "a_dataset", "b_dataset", "a_dose_um").agg(F.min(F.abs(F.log10("a_dose_um") - F.log10("b_dose_um"))).alias("least"))
+    return l.select(*by, "a_dataset", "a_dose_um", "a_row_pos").join(least, [*by, "a_dataset", "a_dose_um"]).select("a_dataset", "b_dataset", "a_row_pos", "least")
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h"), within: float = 1.0, ordered: str | None = None) -> DataFrame:
     """Pairs of equal keys whose log10-dose difference is at most `within` and the least for both of them; all ties stay.
 
     ordered: a column whose value must be smaller on the left, so that one self-join serves all dataset pairs.
     """
+    by = list(keys)
     l, r = renamed(left, "a_", keys), renamed(right, "b_", keys)
-    pairs = l.join(r, list(keys))
+    # Distinct doses meet first: repeated samples of a compound (controls) don't multiply before a pair of doses is known to match.
+    doses = lambda rows, side: rows.filter(f"{side}_dose_um > 0").select(*by, f"{side}_dataset", f"{side}_dose_um", *([f"{side}_{ordered}"] if ordered and ordered != "dataset" else [])).distinct()
+    met = doses(l, "a").join(doses(r, "b"), by)
     if ordered:
-        pairs = pairs.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}"))
-    diff = F.abs(F.log10("a_dose_um") - F.log10("b_dose_um"))
-    pairs = pairs.filter("a_dose_um > 0 and b_dose_um > 0").withColumn("dose_diff", diff)
-    by = list(keys)
-    of_a = F.min("dose_diff").over(Window.partitionBy(*by, "a_dataset", "b_dataset", "a_row_pos"))
-    of_b = F.min("dose_diff").over(Window.partitionBy(*by, "a_dataset", "b_dataset", "b_row_pos"))
-    kept = pairs.withColumn("least_a", of_a).withColumn("least_b", of_b)
+        met = met.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}"))
+    met = met.withColumn("dose_diff", F.abs(F.log10("a_dose_um") - F.log10("b_dose_um")))
+    own = lambda side: F.min("dose_diff").over(Window.partitionBy(*by, "a_dataset", "b_dataset", f"{side}_dose_um"))
     near = lambda m: F.abs(F.col("dose_diff") - F.col(m)) <= TOLERANCE
-    return kept.filter((F.col("dose_diff") <= within + TOLERANCE) & near("least_a") & near("least_b")).drop("least_a", "least_b")
+    kept = met.withColumn("least_a", own("a")).withColumn("least_b", own("b")).filter((F.col("dose_diff") <= within + TOLERANCE) & near("least_a") & near("least_b"))
+    kept = kept.select(*by, "a_dataset", "b_dataset", "a_dose_um", "b_dose_um", "dose_diff").distinct()
+    out = kept.join(l, [*by, "a_dataset", "a_dose_um"]).join(r, [*by, "b_dataset", "b_dose_um"])
+    if ordered and ordered != "dataset":
+        out = out.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}"))
+    return out.select(*by, *[c for c in l.columns if c not in by], *[c for c in r.columns if c not in by], "dose_diff")
 
 
 def pair_edges(samples: DataFrame, within: float = 1.0, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:

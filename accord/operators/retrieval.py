@@ -14,16 +14,19 @@ from accord.operators.matching import nearest_match
 
 #: Rows of a block of queries and of candidates: a pair of blocks is some tens of MB at a thousand genes.
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 1024
+#: Blocks of queries and of candidates are dealt over a grid of at most so many rows and columns for each value of the keys: every block is copied to one row (column) of it.
+GRID = 64
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of an array column as a matrix; nulls as NaN. Shorter rows are filled up with NaN, so they count as not finite."""
-    rows = column.to_pylist()
-    width = max((len(r) for r in rows if r is not None), default=0)
-    out = np.full((len(rows), width), np.nan)
-    for i, r in enumerate(rows):
-        if r is not None:
-            out[i, : len(r)] = [np.nan if v is None else v for v in r]
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    width = int(lengths.max(initial=0))
+    if (lengths == width).all():
+        return values.reshape(len(lengths), width)
+    out = np.full((len(lengths), width), np.nan)
+    out[np.arange(width) < lengths[:, None]] = values
     return out
 
 
@@ -44,7 +47,15 @@ def rank_counts(queries: DataFrame, candidates: DataFrame, metric: str, by: tupl
     keys = list(by)
     q = _dealt(queries, query_block, keys, "q_row").groupBy(*keys, "block").agg(F.collect_list(F.struct("q_row", "vec", "gt_row", "gt_vec")).alias("q"))
     d = _dealt(candidates, candidate_block, keys, "row").groupBy(*keys, "block").agg(F.collect_list(F.struct("row", "vec")).alias("d"))
-    pairs = q.withColumnRenamed("block", "qb").join(d.withColumnRenamed("block", "db"), keys)
+
+    def sides(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.least(F.lit(GRID), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size))).cast("int").alias(name))
+
+    # The grid's cells are the keys of the join, so a dataset is as many tasks as it has cells; without the hint a small side would go to the few tasks of the other.
+    grid = sides(queries, query_block, "_g").join(sides(candidates, candidate_block, "_h"), keys)
+    q = q.join(grid, keys).withColumn("g", F.pmod("block", "_g")).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("_h") - 1))).select(*keys, "g", "h", "q")
+    d = d.join(grid, keys).withColumn("h", F.pmod("block", "_h")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).select(*keys, "g", "h", "d")
+    pairs = q.hint("shuffle_hash").join(d, [*keys, "g", "h"])
     farther = metric in blocks.DISTANCES
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -113,11 +124,19 @@ def best_positive_rank(rows: DataFrame, query: list[str]) -> DataFrame:
 
 
 def auroc(rows: DataFrame, query: list[str], near: float = 1e-12) -> DataFrame:
-    """Share of (positive, negative) pairs in order, plus half of those within `near` of each other; a near pair in order counts both."""
-    p = rows.filter("is_positive").select(*query, F.col("score").alias("p"))
-    n = rows.filter("not is_positive").select(*query, F.col("score").alias("n"))
-    credit = F.when(F.col("p") > F.col("n"), 1.0).otherwise(0.0) + F.when(F.abs(F.col("p") - F.col("n")) <= near, 0.5).otherwise(0.0)
-    return p.join(n, query).groupBy(*query).agg((F.sum(credit) / F.count(F.lit(1))).alias("auroc"))
+    """Share of (positive, negative) pairs in order, plus half of those within `near` of each other; a near pair in order counts both.
+
+    Negatives below and about each positive are counted over sorted scores, so the work is that of a sort, not of the pairs.
+    A null score is in no pair in order.
+    """
+    by = ", ".join(f"`{c}`" for c in query)
+    over = lambda frame: f"count_if(not is_positive) OVER (PARTITION BY {by} ORDER BY score RANGE BETWEEN {frame})"
+    below = F.expr(over("UNBOUNDED PRECEDING AND CURRENT ROW")) - F.expr(over("CURRENT ROW AND CURRENT ROW"))
+    about = F.expr(over(f"{near!r}D PRECEDING AND {near!r}D FOLLOWING"))
+    counted = rows.filter(F.col("score").isNotNull()).select(*query, "score", "is_positive").withColumn("below", below).withColumn("about", about)
+    sums = counted.groupBy(*query).agg(F.sum(F.when(F.col("is_positive"), F.col("below") + F.col("about") / 2)).alias("credit"))
+    sizes = rows.groupBy(*query).agg(F.count_if("is_positive").alias("p"), F.count_if(~F.col("is_positive")).alias("n")).filter("p > 0 and n > 0")
+    return sizes.join(sums, query, "left").select(*query, (F.coalesce("credit", F.lit(0.0)) / (F.col("p") * F.col("n"))).alias("auroc"))
 
 
 def summarized(rows: DataFrame, query: list[str]) -> DataFrame:

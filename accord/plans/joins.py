@@ -29,13 +29,7 @@ def _(s, d):
 @query("joi2_candidates_per_compound", f"{WITH_SAMPLES}, {truth_sql('samples').replace('q.cell_type = d.cell_type AND q.cid = d.cid', 'q.cell_type = d.cell_type').replace('PARTITION BY q_row_pos, db_dataset', 'PARTITION BY q_row_pos, db_dataset, db_cid').replace('d.dataset AS db_dataset', 'd.dataset AS db_dataset, d.cid AS db_cid')} SELECT q_row_pos, db_dataset, db_cid, db_row_pos FROM truth")
 def _(s, d):
     e = samples(s, d)
-    q = e.drop("cid")
-    db = e.withColumnRenamed("cid", "db_cid")
-    ql, dl = matching.renamed(q, "q_", ("cell_type",)), matching.renamed(db, "db_", ("cell_type", "db_cid"))
-    pairs = ql.join(dl, "cell_type").filter("q_dataset <> db_dataset")
-    dd = matching.dose_distance(F.col("q_dose_um"), F.col("db_dose_um"))
-    best = F.min(F.struct(F.abs(F.col("q_time_h") - F.col("db_time_h")).alias("dt"), dd.alias("dd"), F.col("db_row_pos").alias("r")))
-    return pairs.groupBy("q_row_pos", "db_dataset", "db_cid").agg(best.alias("b")).select("q_row_pos", "db_dataset", "db_cid", F.col("b.r").alias("db_row_pos"))
+    return matching.candidates_per_compound(e, e)
 
 
 EDGES = f"{WITH_EVENTS}, {edges_sql('ev')}"
@@ -269,9 +263,7 @@ def _(s, d):
 @query("win2_axis_minima", f"{WITH_EVENTS}, {edges_sql('ev')} SELECT a_dataset, b_dataset, a_row_pos, {r('min(la)', 'least')} FROM mnn_least GROUP BY ALL")
 def _(s, d):
     e = event_samples(s, d)
-    l, rr = matching.renamed(e, "a_", ("cid", "cell_type", "time_h")), matching.renamed(e, "b_", ("cid", "cell_type", "time_h"))
-    p = l.join(rr, ["cid", "cell_type", "time_h"]).filter("a_dataset < b_dataset and a_dose_um > 0 and b_dose_um > 0")
-    return rounded(p.groupBy("a_dataset", "b_dataset", "a_row_pos").agg(F.min(F.abs(F.log10("a_dose_um") - F.log10("b_dose_um"))).alias("least")), "least")
+    return rounded(matching.axis_minima(e, e), "least")
 
 
 @query("win3_average_ranks", "SELECT l_orderkey, l_linenumber, CAST(rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS DOUBLE) AS rk FROM lineitem")
