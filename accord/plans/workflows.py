@@ -151,11 +151,11 @@ def replicate_agreement(samples: DataFrame, signatures: DataFrame, top_k: int =
     right = both.select("dataset", F.col("row_pos").alias("right_row"), F.col("logFC").alias("y"), F.col("t").alias("yt"))
     rows = ring.join(left, ["dataset", "left_row"]).join(right, ["dataset", "right_row"])
 
-    def finite(f, a, b):
-        x, y = V.pairwise_finite(F.col(a), F.col(b))
-        return V.let(f, x, y)
-
-    pairs = rows.select(*replicate.CONDITION, "left_row", "right_row", "n_replicates", finite(V.spearman, "x", "y").alias("spearman_logfc"), finite(V.spearman, "xt", "yt").alias("spearman_t"), finite(lambda x, y: V.signed_overlap(x, y, top_k, False), "xt", "yt").alias("overlap_t"))
+    for a, b in (("x", "y"), ("xt", "yt")):
+        left_fine, right_fine = V.pairwise_finite(F.col(a), F.col(b))
+        rows = rows.withColumns({a: left_fine, b: right_fine})
+    x, y, xt, yt = map(F.col, ("x", "y", "xt", "yt"))
+    pairs = rows.select(*replicate.CONDITION, "left_row", "right_row", "n_replicates", V.spearman(x, y).alias("spearman_logfc"), V.spearman(xt, yt).alias("spearman_t"), V.signed_overlap(xt, yt, top_k, False).alias("overlap_t"))
     metrics = ["spearman_logfc", "spearman_t", "overlap_t"]
     conditions = replicate.condition_record(pairs, metrics)
     means = [f"mean_{m}" for m in metrics]
