@@ -2,12 +2,14 @@
 
 Tokens are words and one end a text. The model predicts symbols: the SHORT commonest words and the end stand for themselves,
 any other word for its class (by its last letters), within which it has its add-one unigram probability. A symbol's score
-given the two before it is (C2 r[-2] + C1 r[-1]) . q + b. Since it is a sum of a term of each context symbol, the normaliser
-of every context is one matrix product of exponentials, and a token costs a few table lookups.
+is (C2 r[far] + C1 r[near]) . q + b for two symbols of its context: the one before it (near), and the last of the commonest
+words before that (far), which tells the language and manner of a text. Since it is a sum of a term of each context symbol,
+the normaliser of every context is one matrix product of exponentials, and a token costs a few table lookups.
 
 Training is data-parallel: in every round each task starts from the common parameters, runs noise-contrastive steps in numpy
 over all texts of its share, and the parameters are averaged by tokens. All training texts take part in every round; what a
-task gives back has a fixed size.
+task gives back has a fixed size. Shares, their order and their seeds follow from the documents alone, not from how the
+table is split.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from accord.llm.common import cutoff, dropped, lean, mapped, pieces, released, t
 from accord.llm.wordcache import WordCache
 
 #: Symbols: END and the commonest words up to SHORT, then CLASSES. HEAD: words whose counts every worker holds (some MB); rarer words meet their counts in a join.
-SHORT, CLASSES, HEAD = 256, 256, 200_000
+SHORT, CLASSES, HEAD = 512, 1536, 200_000
 SYMBOLS, END = SHORT + CLASSES, 0
-WIDTH, NOISE, SHARED, STEP, ROUNDS, RATE = 24, 10, 64, 1024, 2, 0.15
+WIDTH, NOISE, SHARED, STEP, ROUNDS, RATE = 24, 10, 64, 1024, 2, 0.3
+#: Training tokens of a share.
+SHARE = 8_000_000
 #: Words that a worker remembers, in each of two generations.
 CACHED = 500_000
 #: Tasks that sum what the training tasks give back.
@@ -138,10 +142,18 @@ class Model:
 
     def tables(self, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-probability terms in log10: of the symbol two back, of the last one (with the bias), and the normaliser of both."""
-        far = (self.r @ self.c2.T @ self.q.T).astype(np.float64)
-        near = (self.r @ self.c1.T @ self.q.T).astype(np.float64) + np.where(open_, self.b, -np.inf)
+        far = self.r[:SHORT] @ self.c2.T @ self.q.T
+        near = self.r @ self.c1.T @ self.q.T + np.where(open_, self.b, -np.inf).astype(np.float32)
         z = np.log(np.exp(far) @ np.exp(near).T)
-        return far / np.log(10), near / np.log(10), z / np.log(10)
+        return tuple(x / np.float32(np.log(10)) for x in (far, near, z))
+
+
+def contexts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Far and near context of each token of a run of texts, each with an END after it: the last of the commonest words before the last token, and the last token. A text begins as if after ENDs."""
+    near = np.concatenate([[END], s[:-1]])
+    last = np.maximum.accumulate(np.where(s < SHORT, np.arange(len(s)), 0))
+    far = np.concatenate([[END, END], s[last[:-2]]])[: len(s)]
+    return np.where((near == END) | (far >= SHORT), END, far), near  # before the first of them, END
 
 
 def _grouped(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +201,7 @@ class Trainer:
     def learn(self, symbols: np.ndarray) -> None:
         """One pass over a run of texts, each with one END after it: equal trigrams are one, weighted by their count. A text begins as if after two ENDs."""
         s = symbols.astype(np.int64)
-        near = np.concatenate([[END], s[:-1]])
-        far = np.where(near == END, END, np.concatenate([[END, END], s[:-2]])[: len(s)])
+        far, near = contexts(s)
         distinct, times = np.unique((far * SYMBOLS + near) * SYMBOLS + s, return_counts=True)
         order = self.random.permutation(len(distinct))
         distinct, times = distinct[order], times[order].astype(np.float32) / STEP
@@ -200,12 +211,14 @@ class Trainer:
 
 
 def trained(parts: DataFrame, vocabulary: Vocabulary) -> Model:
-    """The model after ROUNDS over all training rows of parts (training, symbols)."""
+    """The model after ROUNDS over all training rows of parts (doc_id, training, symbols)."""
     frequency = vocabulary.frequency
     model = Model(frequency)
     if not vocabulary.n:
         return model
     spark = parts.sparkSession
+    order = F.xxhash64("doc_id", "symbols")
+    dealt = parts.filter("training").select("doc_id", "symbols").repartition(-(-vocabulary.n // SHARE), order).sortWithinPartitions(order, "doc_id", "symbols").select("symbols")
     for round_ in range(ROUNDS):
         start = model.flat()
 
@@ -231,7 +244,7 @@ def trained(parts: DataFrame, vocabulary: Vocabulary) -> Model:
                 yield pa.record_batch({"n": pa.array([n], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
 
         # A task gives back some 100 KB; they are summed in parallel, so the driver gets SUMS rows at most.
-        tasks = written(parts.filter("training").select("symbols").mapInArrow(released(run), "n long, flat binary"), "parameters")
+        tasks = written(dealt.mapInArrow(released(run), "n long, flat binary"), "parameters")
         rows = tasks.repartition(SUMS).mapInArrow(summed, "n long, total binary").collect()
         model.set(sum(np.frombuffer(r["total"]) for r in rows) / sum(r["n"] for r in rows))
         dropped(spark, tasks)
@@ -283,14 +296,19 @@ def symbolised(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def _sequences(parts: DataFrame, model: Model, vocabulary: Vocabulary) -> DataFrame:
     """row, likelihood: log10 probability of each document's symbols."""
-    far, near, z = (t.astype(np.float32) for t in model.tables(vocabulary.open))
+    flat, frequency, open_ = model.flat(), vocabulary.frequency, vocabulary.open
+    tables: list = []  # made once in each task, from parameters that are a hundredth of their size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not tables:
+            own = Model(frequency)
+            own.set(flat)
+            tables.extend(own.tables(open_))
+        far, near, z = tables
         data = batch.column("symbols").to_pylist()
         s = np.frombuffer(b"".join(data), dtype="<u2").astype(np.int64)
         ends = np.cumsum([len(x) // 2 for x in data])
-        last = np.concatenate([[END], s[:-1]])
-        before = np.where(last == END, END, np.concatenate([[END, END], s[:-2]])[: len(s)])
+        before, last = contexts(s)
         each = (far[before, s] + near[last, s] - z[before, last]).astype(np.float64)
         sums = np.add.reduceat(each, np.concatenate([[0], ends[:-1]]))
         return pa.record_batch({"row": batch.column("row"), "likelihood": pa.array(sums)})
