@@ -321,7 +321,8 @@ def scored(documents: DataFrame, training) -> DataFrame:
 
     base_score sums log10 of add-one unigrams over the tokens, score is the model's log10 probability of the text with its
     end. A null text is empty: one token, the end. Without training texts every token is unknown and the model is uniform
-    over its symbols. Repeated rows come back as often. Columns other than doc_id and text play no part beyond the condition.
+    over its symbols. Repeated rows are learnt from as often and come back as often, with equal scores; words of equal counts
+    are ordered by code point. Texts of any length are taken whole; an empty table gives an empty one. Columns other than doc_id and text play no part beyond the condition.
     """
     lean(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
@@ -346,6 +347,7 @@ def held_out(column: str = "doc_id"):
 
 
 def op5_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `documents`; a null doc_id is learnt from. See scored() for nulls, empty and long texts, repeated rows, empty tables and other columns."""
     documents = table(spark, sf_dir, "documents")
     out = scored(documents, ~held_out())
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

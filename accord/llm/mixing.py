@@ -155,7 +155,11 @@ def mixed(documents: DataFrame, carried: tuple[str, ...] = (), seed: int = 20, w
 
 
 def mixture(documents: DataFrame, seed: int = 20) -> DataFrame:
-    """The mix itself, with the columns of documents: a document that is taken `full` times stands so often with its whole text, and once more with the chosen word ranges, if any."""
+    """The mix itself, with the columns of documents: a document that is taken `full` times stands so often with its whole text, and once more with the chosen word ranges, if any.
+
+    Documents without words (null, empty, blank) are in no mix. Rows that repeat a doc_id are taken each on their own. Without
+    rows the mix is empty. n_chars, if there is one, is counted anew; all other columns are carried along.
+    """
     names = documents.columns
     rows = mixed(documents, tuple(names), seed).filter("full > 0 or size(ranges) > 0")
 
@@ -193,4 +197,5 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
 
 
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, full of every row of `documents`; see mixed() for nulls, empty and long texts, ties, repeated rows, empty tables and other columns."""
     return mixed(table(spark, sf_dir, "documents")).drop("ranges")

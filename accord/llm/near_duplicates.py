@@ -267,4 +267,5 @@ def deduplicated(documents: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of `documents`, linked at 85 %; see near_duplicates() for nulls, empty and long texts, ties, repeated rows, empty tables and other columns."""
     return near_duplicates(table(spark, sf_dir, "documents"))

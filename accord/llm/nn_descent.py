@@ -387,4 +387,9 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 nearest found of each row of `embeddings` whose vec_id is divisible by 50.
+
+    Null, zero, non-finite and odd-length vectors and null ids take no part; ties go to the smaller vec_id; equal vectors of
+    several ids are candidates each; repeated rows count once; an empty table gives an empty one; other columns play no part.
+    """
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)

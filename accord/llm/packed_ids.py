@@ -177,17 +177,14 @@ class WordIds:
         self.tokenize, self.shown = self.library.model.tokenize, byte_characters()
         self.tokens = WordCache(self._token, 150_000)
         self.words = WordCache(self._word, 50_000)
-        self.spaced = WordCache(lambda word: self._word(" " + word), 500_000)  # words after a blank, without it
+        self.spaced = WordCache(self._after_blank, 600_000)  # words after a blank, without it
 
     def _token(self, token: str) -> bytes:
         if token.isascii() and token.isprintable() and not token.isspace():
             shown = "\u0120" + token[1:] if token[0] == " " else token
         else:
             shown = token.encode().decode("latin-1").translate(self.shown)
-        ids = array("I", [x.id for x in self.tokenize(shown)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+        return self._ids(shown)
 
     def _word(self, word: str) -> bytes:
         if self.plain and (word.isascii() or max(word) < "\u0250"):
@@ -195,6 +192,17 @@ class WordIds:
             return self._token(word) if len(parts) == 1 else b"".join(map(self.tokens.__getitem__, parts))
         return self._whole(word)
 
+    def _after_blank(self, word: str) -> bytes:
+        if self.plain and word.isascii() and word.isalpha():  # one token of the pre-tokenizer's
+            return self._ids("\u0120" + word)
+        return self._word(" " + word)
+
+    def _ids(self, shown: str) -> bytes:
+        ids = array("I", [x.id for x in self.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -297,5 +305,10 @@ def default_tokenizer() -> str:
 
 
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row of `documents`, read back from the files.
+
+    Null and empty texts are one id, the end. Texts are encoded whole. Null doc_ids come first; rows that repeat a doc_id keep
+    the order of their texts. An empty table gives no file and an empty table; other columns play no part.
+    """
     files = write_packed(table(spark, sf_dir, "documents"), default_tokenizer(), new_path(spark, "packed-ids"))
     return read_packed(files)

@@ -205,4 +205,10 @@ def default_model() -> str:
 
 
 def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of `documents`.
+
+    Null and empty texts have no ids and decode to the empty text. Texts are encoded whole. Pieces of equal scores merge from
+    the left, as in the library. Repeated rows and null doc_ids come back as they are; an empty table gives an empty one; other
+    columns play no part.
+    """
     return encoded_digests(table(spark, sf_dir, "documents"), default_model())

@@ -183,4 +183,10 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def op4_piecewise_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of `documents`.
+
+    Null texts are empty ones, whose fingerprints are equal. Texts are hashed whole. Rows are in order of doc_id (null first),
+    then text; repeated rows follow each other. A single row is its own next document. An empty table gives an empty one; other
+    columns play no part.
+    """
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accord.llm.common import mapped, small, table, written
+from accord.llm.common import mapped, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Documents that the corpus share of a word counts for beside those of an entity.
@@ -182,12 +182,12 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
 
 
 def _occurrences(marked: DataFrame, telling: DataFrame) -> DataFrame:
-    """doc_id, mark, term, start, end of the words of all texts whose hash is that of a telling one, outside entities."""
+    """doc_id, mark, term, length, starts of the words of all texts whose hash is that of a telling one, outside entities: a row for each spelling in a text."""
     sieve = _bitmap(telling).tobytes()
     last = 8 * len(sieve) - 1
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, terms, starts, ends = [], [], [], []
+        rows, terms, lengths, starts = [], [], [], []
         for k, text in enumerate(batch.column("text").to_pylist()):
             text, wanted = text or "", set()
             for w in set(_TERM.findall(text)):
@@ -195,16 +195,18 @@ def _occurrences(marked: DataFrame, telling: DataFrame) -> DataFrame:
                 if sieve[h >> 3] >> (h & 7) & 1:
                     wanted.add(w)
             if wanted:
+                places: dict[str, list[int]] = {}
                 for m in _TERM.finditer(free(text, base_spans(text))):
                     if m.group() in wanted:
-                        rows.append(k)
-                        terms.append(m.group().lower())
-                        starts.append(m.start())
-                        ends.append(m.end())
+                        places.setdefault(m.group(), []).append(m.start())
+                rows += [k] * len(places)
+                terms += [w.lower() for w in places]
+                lengths += map(len, places)
+                starts += places.values()
         at = pa.array(rows, pa.int64())
-        return pa.record_batch({"doc_id": batch.column("doc_id").take(at), "mark": batch.column("mark").take(at), "term": pa.array(terms, pa.string()), "start": pa.array(starts, pa.int32()), "end": pa.array(ends, pa.int32())})
+        return pa.record_batch({"doc_id": batch.column("doc_id").take(at), "mark": batch.column("mark").take(at), "term": pa.array(terms, pa.string()), "length": pa.array(lengths, pa.int32()), "starts": pa.array(starts, pa.list_(pa.int32()))})
 
-    return mapped(marked, look, "doc_id long, mark long, term string, start int, end int")
+    return mapped(marked, look, "doc_id long, mark long, term string, length int, starts array<int>")
 
 
 def personal_spans(documents: DataFrame) -> DataFrame:
@@ -217,9 +219,11 @@ def personal_spans(documents: DataFrame) -> DataFrame:
     marked = _marked(documents)
     found = written(mapped(marked, _find, _FOUND), "personal")
     telling = disclosures(found, marked)
-    hits = _occurrences(marked, telling).join(small(telling), "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("share").alias("share"))
-    term = F.struct("start", "end", (F.col("share") >= REMOVE).alias("removed"))
-    terms = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(term)).alias("terms"))
+    # No hint: telling words grow with the corpus, and Spark's own threshold is one of bytes.
+    hits = _occurrences(marked, telling).join(telling, "term")
+    spans = F.transform("starts", lambda a: F.struct(a.alias("start"), (a + F.col("length")).alias("end"), (F.col("share") >= REMOVE).alias("removed")))
+    # Rows of one doc_id and text give the same spans.
+    terms = hits.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(spans)))).alias("terms"))
     other = terms.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "terms")
     out = found.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark").eqNullSafe(F.col("_mark"))), "left")
     none = F.array().cast("array<struct<start: int, end: int, removed: boolean>>")
@@ -273,6 +277,12 @@ def _of_kind(kind: int):
 
 
 def op2_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term of every row of `documents`.
+
+    Null texts are empty: no spans, the digest of the empty text. Texts are searched whole. Repeated rows come back as often,
+    with equal spans; rows with a null doc_id come back, too. Spans that begin together are ordered by kind. A word whose share
+    is just GENERALISE counts as disclosing. An empty table gives an empty one; other columns play no part.
+    """
     found = personal_spans(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     n_terms = F.size("terms").cast("long").alias("n_term")

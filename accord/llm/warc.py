@@ -168,6 +168,12 @@ def _read(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every row of `pages`, read back from the archives.
+
+    A null html is an empty payload, a null url an empty one. Payloads are written whole. Of equal payloads the largest page_id
+    responds; rows that repeat it with the same payload all respond. An empty table gives no archive and an empty table; other
+    columns play no part.
+    """
     files = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return read_archives(files).drop("payload", "url")
 
