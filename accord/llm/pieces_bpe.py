@@ -46,7 +46,7 @@ class PieceEncoder:
             self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
         self.shift = n.bit_length()
         self.compatible = WordCache(self._compatible, 100_000)
-        self.words = WordCache(self._word, 100_000)
+        self.words = WordCache(self._word, 250_000)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or self.model.encode("a") != self.encode_stretch(SPACE + "a"):
             raise ValueError("pieces with an inner space mark, or no dummy prefix")
         self.lines = not any("\n" in p for p in self.ids)
@@ -151,11 +151,6 @@ class PieceEncoder:
         pairs = list(map(self.words.__getitem__, self.split(text)))
         return [i for _, ids in pairs for i in ids], hashlib.sha256(",".join([s for s, _ in pairs]).encode()).hexdigest()
 
-    def forget(self) -> None:
-        """Empty the caches: a worker outlives its tasks, and a task's words are soon known again."""
-        self.words.forget()
-        self.compatible.forget()
-
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
 
@@ -164,7 +159,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(model_path: str) -> PieceEncoder:
-    """One encoder for each model and worker process."""
+    """One encoder for each model and worker process; its caches outlive tasks, as most words of a task are those of others."""
     if model_path not in _ENCODERS:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         _ENCODERS[model_path] = PieceEncoder(model_path)
@@ -179,7 +174,7 @@ def encoded(documents: DataFrame, model_path: str) -> DataFrame:
         ids = [model.encode(x or "") for x in batch.column("text").to_pylist()]
         return pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([model.decode(x) for x in ids], pa.string())})
 
-    return mapped(with_texts(documents), run, "doc_id long, ids array<int>, decoded string", done=lambda: encoder(model_path).forget())
+    return mapped(with_texts(documents), run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoded_digests(documents: DataFrame, model_path: str) -> DataFrame:
@@ -195,7 +190,7 @@ def encoded_digests(documents: DataFrame, model_path: str) -> DataFrame:
             of_text.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
         yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
 
-    return mapped(with_texts(documents), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", done=lambda: encoder(model_path).forget())
+    return mapped(with_texts(documents), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_model() -> str:
