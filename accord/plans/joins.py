@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from accord.operators import graph, matching, tables, universe
+from accord.operators import datasets, graph, matching, tables, universe
 from accord.plans.fragments import WITH_EVENTS, WITH_SAMPLES, edges_sql, truth_sql
 from accord.plans.registry import query, r, rounded
 from accord.plans.scans import AXIS_SQL, axis
-from accord.sources.views import event_samples, read, samples
+from accord.sources import files
+from accord.sources.views import EVENTS_SQL, event_samples, read, samples
 
 TRUTH_COLUMNS = f"q_dataset, q_row_pos, db_dataset, db_row_pos, cell_type, cid, {r('time_diff', 'time_diff')}, {r('dose_diff', 'dose_diff')}"
 
@@ -138,9 +139,8 @@ def _(s, d):
 
 @query("snk3_pair_match_samples", f"{EDGES} SELECT a_dataset AS dataset, b_dataset AS other, a_obs_id AS obs_id, string_agg(b_obs_id, ',' ORDER BY b_obs_id) AS match_ids FROM edges GROUP BY ALL UNION ALL SELECT b_dataset, a_dataset, b_obs_id, string_agg(a_obs_id, ',' ORDER BY a_obs_id) FROM edges GROUP BY ALL")
 def _(s, d):
-    e = edges(s, d)
-    both = e.select(F.col("a_dataset").alias("dataset"), F.col("b_dataset").alias("other"), F.col("a_obs_id").alias("obs_id"), F.col("b_obs_id").alias("m")).union(e.select("b_dataset", "a_dataset", "b_obs_id", "a_obs_id"))
-    return both.groupBy("dataset", "other", "obs_id").agg(F.array_join(F.array_sort(F.collect_list("m")), ",").alias("match_ids"))
+    folder = datasets.write_match_samples(edges(s, d), event_samples(s, d), files.exchange_folder(s))
+    return s.read.schema("dataset string, other string, obs_id string, match_ids string").parquet(folder)
 
 
 @query("snk4_filtered_export", f"""{EDGES}, m AS (SELECT DISTINCT a_row_pos AS row_pos FROM edges UNION SELECT b_row_pos FROM edges),
@@ -148,12 +148,22 @@ c AS (SELECT DISTINCT e.dataset, e.cell_type, e.time_h FROM ev e JOIN m USING (r
 SELECT e.row_pos, CASE WHEN m.row_pos IS NOT NULL THEN 'matched' ELSE 'control' END AS reason FROM ev e LEFT JOIN m USING (row_pos)
 WHERE m.row_pos IS NOT NULL OR (e.cid = '67' AND EXISTS (SELECT 1 FROM c WHERE c.dataset = e.dataset AND c.cell_type = e.cell_type AND c.time_h = e.time_h))""")
 def _(s, d):
-    ev, e = event_samples(s, d), edges(s, d)
-    m = e.select(F.col("a_row_pos").alias("row_pos")).union(e.select("b_row_pos")).distinct()
-    matched = ev.join(m, "row_pos", "left_semi")
-    contexts = matched.select("dataset", "cell_type", "time_h").distinct()
-    controls = ev.filter("cid = '67'").join(m, "row_pos", "left_anti").join(contexts, ["dataset", "cell_type", "time_h"], "left_semi")
-    return matched.select("row_pos", F.lit("matched").alias("reason")).unionByName(controls.select("row_pos", F.lit("control").alias("reason")))
+    return datasets.filtered_export(event_samples(s, d), edges(s, d), F.col("cid") == "67").select("row_pos", "reason")
+
+
+@query("snk4_written_export", f"""{EDGES}, m AS (SELECT DISTINCT a_row_pos AS row_pos FROM edges UNION SELECT b_row_pos FROM edges),
+c AS (SELECT DISTINCT e.dataset, e.cell_type, e.time_h FROM ev e JOIN m USING (row_pos)),
+k AS (SELECT e.dataset, CASE WHEN m.row_pos IS NOT NULL THEN 'matched' ELSE 'control' END AS reason FROM ev e LEFT JOIN m USING (row_pos)
+WHERE m.row_pos IS NOT NULL OR (e.cid = '67' AND EXISTS (SELECT 1 FROM c WHERE c.dataset = e.dataset AND c.cell_type = e.cell_type AND c.time_h = e.time_h)))
+SELECT dataset, reason, count(*) AS n FROM k GROUP BY ALL""")
+def _(s, d):
+    return datasets.write_filtered(event_samples(s, d), edges(s, d), F.col("cid") == "67", files.exchange_folder(s))
+
+
+@query("shd1_condition_shards", f"WITH {EVENTS_SQL}, c AS (SELECT DISTINCT dataset, cell_type, cid, time_h, dataset || '/' || cell_type AS source_path FROM ev), p AS (SELECT *, (row_number() OVER (PARTITION BY source_path ORDER BY dataset, cell_type, cid, time_h) - 1) // 25 AS run FROM c) SELECT dataset, cell_type, cid, time_h, dense_rank() OVER (ORDER BY source_path, run) AS shard FROM p")
+def _(s, d):
+    c = event_samples(s, d).select("dataset", "cell_type", "cid", "time_h").distinct().withColumn("source_path", F.concat_ws("/", "dataset", "cell_type"))
+    return datasets.shards(c, 25).select("dataset", "cell_type", "cid", "time_h", "shard")
 
 
 # ---------------------------------------------------------------- universes and lookups
@@ -391,4 +401,5 @@ def _(s, d):
 @query("shd2_missing_shards", "SELECT DISTINCT n_nationkey AS task FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
 def _(s, d):
     done = read(s, d, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("task"))
-    return read(s, d, "nation").select(F.col("n_nationkey").alias("task")).distinct().join(done, "task", "left_anti")
+    outputs = [done.filter("task % 2 = 0"), done.filter("task % 2 = 1").withColumn("score", F.lit(1.0))]
+    return datasets.merged_outputs(read(s, d, "nation").select(F.col("n_nationkey").alias("task")), outputs, ["task"])[1]

@@ -64,15 +64,7 @@ def _(s, d):
 
 @query("vec6_signed_and_z", f"{WITH_SIGNATURES} SELECT row_pos, {r('list_sum(list_transform(range(1, 65), lambda i: -log10(least(greatest(p[i], 1e-300), 1 - 1e-16)) * sign(lfc[i])))', 'signed_sum', 2)} FROM signatures")
 def _(s, d):
-    def run(batches):
-        for x in batches:
-            out = []
-            for lfc, p in zip(x["lfc"], x["p"]):
-                signed, _ = blocks.signed_and_z(np.array(lfc), np.array(p))
-                out.append(float(signed.astype(np.float64).sum()))
-            yield pd.DataFrame({"row_pos": x["row_pos"], "signed_sum": out})
-
-    return rounded(signatures(s, d).select("row_pos", "lfc", "p").mapInPandas(run, "row_pos long, signed_sum double"), "signed_sum", digits=2)
+    return rounded(signatures(s, d).select("row_pos", V.total(V.signed_log_p(F.col("lfc"), F.col("p"))).alias("signed_sum")), "signed_sum", digits=2)
 
 
 @query("vec6_z_scores")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from accord.functions import vectors as V
 from accord.functions.keys import mean_available
-from accord.operators import baseline, pairs, retrieval
+from accord.operators import baseline, datasets, pairs, retrieval
 from accord.plans import fragments as S
 from accord.plans import workflows
 from accord.plans.fragments import WITH_EVENTS, WITH_SAMPLES, WITH_SIGNATURES, edges_sql, truth_sql
@@ -31,10 +31,13 @@ def _(s, d):
     return e.groupBy("dataset", "cid", "cell_type", "time_h").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_pos").alias("first_row"), F.countDistinct("dose_um").alias("n_doses"))
 
 
-@query("src13_adjusted_vectors", WITH_SIGNATURES + f" SELECT row_pos, {r('list_min(p)', 'least_p')}, CAST(len(list_filter(p, lambda v: v < 0.5)) AS BIGINT) AS n_below FROM signatures WHERE cell_type = 'ct_0'")
+@query("src13_adjusted_vectors", WITH_SIGNATURES + f" SELECT row_pos, CASE WHEN row_pos % 2 = 0 THEN 'within' ELSE 'across' END AS layer, {r('CASE WHEN row_pos % 2 = 0 THEN list_min(p) ELSE list_min(p) / 2 END', 'least_p')}, CAST(len(list_filter(p, lambda v: CASE WHEN row_pos % 2 = 0 THEN v ELSE v / 2 END < 0.25)) AS BIGINT) AS n_below FROM signatures WHERE cell_type = 'ct_0'")
 def _(s, d):
-    g = signatures(s, d).filter("cell_type = 'ct_0'")
-    return rounded(g.select("row_pos", F.array_min("p").alias("least_p"), F.size(F.filter("p", lambda v: v < 0.5)).cast("long").alias("n_below")), "least_p")
+    g = signatures(s, d)
+    long = g.filter("row_pos % 2 = 0").select("row_pos", F.lit("in_one").alias("layer"), F.col("p").alias("vec"))
+    long = long.unionByName(g.select("row_pos", F.lit("over_all").alias("layer"), F.transform("p", lambda v: v / 2).alias("vec")))
+    got = datasets.adjusted_vectors(g.filter("cell_type = 'ct_0'").select("row_pos"), long, "in_one", "over_all")
+    return rounded(got.select("row_pos", "layer", F.array_min("adjusted").alias("least_p"), F.size(F.filter("adjusted", lambda v: v < 0.25)).cast("long").alias("n_below")), "least_p")
 
 
 @query("src21_cached_index", WITH_EVENTS + " SELECT dataset, cell_type, cid, time_h, count(*) AS n FROM ev GROUP BY ALL")
@@ -47,8 +50,10 @@ def _(s, d):
 
 @query("src23_unique_gene_vector", WITH_SIGNATURES + f" SELECT row_pos, {r('lfc[1] + lfc[2] + lfc[4]', 'total')} FROM signatures WHERE dataset = 'ds_b'")
 def _(s, d):
-    idx = F.array(F.lit(0), F.lit(1), F.lit(3))  # position 2 repeats the gene of position 1: the first stays
-    return rounded(signatures(s, d).filter("dataset = 'ds_b'").select("row_pos", V.total(V.gather(F.col("lfc"), idx)).alias("total")), "total")
+    # Position 2 repeats the gene of position 1: the first stays.
+    features = s.createDataFrame([("ds_b", 0, "g0"), ("ds_b", 1, "g1"), ("ds_b", 2, "g1"), ("ds_b", 3, "g3"), ("ds_a", 0, "g9")], "dataset string, gene_pos int, gene_key string")
+    got = signatures(s, d).filter("dataset = 'ds_b'").join(datasets.unique_positions(features), "dataset")
+    return rounded(got.select("row_pos", V.total(V.gather(F.col("lfc"), F.col("positions"))).alias("total")), "total")
 
 
 @query("snk7_overwrite", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1")

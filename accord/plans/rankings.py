@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from accord.functions import vectors as V
-from accord.operators import baseline, bootstrap, matching, replicate, retrieval, summaries
+from accord.operators import baseline, bootstrap, datasets, matching, pools, replicate, retrieval, summaries
 from accord.plans import fragments as S
 from accord.plans.fragments import WITH_EVENTS, WITH_SIGNATURES, truth_sql
 from accord.plans.joins import EDGES, edges
@@ -116,9 +115,8 @@ def _(s, d):
 
 @query("rnk7_dose_aware_positives", f"{POOL}, x AS (SELECT query_id, candidate_id, abs(log10(dd) - log10(qd)) AS diff, min(abs(log10(dd) - log10(qd))) OVER (PARTITION BY query_id) AS least FROM pool WHERE is_positive) SELECT query_id, candidate_id FROM x WHERE diff <= 1 + 1e-12 OR (least > 1 + 1e-12 AND abs(diff - least) <= 1e-12)")
 def _(s, d):
-    p = pool(s, d).filter("is_positive").withColumn("diff", F.abs(F.log10("dd") - F.log10("qd"))).withColumn("least", F.min("diff").over(Window.partitionBy("query_id")))
-    near = F.col("diff") <= 1 + 1e-12
-    return p.filter(near | ((F.col("least") > 1 + 1e-12) & (F.abs(F.col("diff") - F.col("least")) <= 1e-12))).select("query_id", "candidate_id")
+    p = pool(s, d).filter("is_positive").select("query_id", "candidate_id", F.col("cid").alias("q_cid"), F.col("cid").alias("c_cid"), F.col("qd").alias("q_dose_um"), F.col("dd").alias("c_dose_um"))
+    return pools.with_positives(p).filter("dose_aware").select("query_id", "candidate_id")
 
 
 BASE = f"{LOO}, pool AS (SELECT q.row_pos AS query_id, q.cell_type, q.time_h, {S.cosine('q.lfc', 'd.lfc')} AS score, {S.cosine('q.lfc', 'base.b')} AS base FROM signatures q JOIN signatures d ON q.dataset = 'ds_a' AND d.dataset = 'ds_b' AND q.cell_type = d.cell_type AND q.time_h = d.time_h JOIN base ON base.dataset = q.dataset AND base.cell_type = q.cell_type AND base.time_h = q.time_h AND base.cid = q.cid)"
@@ -144,7 +142,38 @@ def _(s, d):
 @query("rnk9_random_reference", f"{POOL}, {BEST} SELECT query_id, {r('n_positive / CAST(n_pool AS DOUBLE)', 'recall_random')}, CAST(0.5 AS DOUBLE) AS rank_random, CAST(0.5 AS DOUBLE) AS auroc_random FROM best")
 def _(s, d):
     b = retrieval.best_positive_rank(pool(s, d), ["query_id"])
-    return rounded(b.select("query_id", (F.col("n_positive") / F.col("n_pool")).alias("recall_random"), F.lit(0.5).alias("rank_random"), F.lit(0.5).alias("auroc_random")), "recall_random")
+    return rounded(pools.random_reference(b).select("query_id", "recall_random", "rank_random", "auroc_random"), "recall_random")
+
+
+CONTEXTS = f"""sides AS (SELECT dataset, cell_type, time_h, count(*) AS n, count(DISTINCT cid) AS k FROM signatures GROUP BY ALL),
+contexts AS (SELECT a.cell_type, a.time_h, a.n AS n_left_conditions, a.k AS n_left_compounds, b.n AS n_right_conditions, b.k AS n_right_compounds, CASE WHEN least(a.n, b.n) < {pools.LEAST_ROWS} OR least(a.k, b.k) < {pools.LEAST_COMPOUNDS} THEN '{pools.TOO_FEW}' END AS reason FROM sides a JOIN sides b ON a.dataset = 'ds_a' AND b.dataset = 'ds_b' AND a.cell_type = b.cell_type AND a.time_h = b.time_h)"""
+
+
+@query("rnk14_context_pools", f"{WITH_SIGNATURES}, {CONTEXTS} SELECT * FROM contexts")
+def _(s, d):
+    sig = signatures(s, d)
+    return pools.context_pairs(sig.filter("dataset = 'ds_a'"), sig.filter("dataset = 'ds_b'"))
+
+
+@query("rnk14_pool_vectors", f"{LOO} SELECT s.row_pos, CASE WHEN s.row_pos % 7 = 0 THEN 'missing: t' END AS error, {r('list_sum(s.lfc)', 'total')}, {r('list_sum(base.b)', 'base_total')} FROM signatures s LEFT JOIN base USING (dataset, cell_type, time_h, cid) WHERE s.dataset = 'ds_a'")
+def _(s, d):
+    sig = signatures(s, d)
+    vectors = sig.select("row_pos", F.lit("lfc").alias("layer"), F.col("lfc").alias("vec")).unionByName(sig.filter("row_pos % 7 <> 0").select("row_pos", F.lit("t").alias("layer"), F.col("t").alias("vec")))
+    pool = sig.filter("dataset = 'ds_a'").drop("lfc", "t", "p")
+    got = pools.assembled(pool, vectors, ["lfc", "t"], {"lfc": baseline.baselines(sig, "lfc", KEYS)}, KEYS)
+    return rounded(got.select("row_pos", "error", V.total(F.col("lfc")).alias("total"), V.total(F.col("lfc_baseline")).alias("base_total")), "total", "base_total")
+
+
+@query("rnk7_positive_masks", f"""{WITH_SIGNATURES}, samples AS (SELECT * EXCLUDE (lfc, t, p) FROM signatures), {S.edges_sql('samples')}, {CONTEXTS},
+pairs AS (SELECT q.row_pos AS query_id, d.row_pos AS candidate_id, q.cid = d.cid AS same, CASE WHEN q.cid = d.cid THEN abs(log10(d.dose_um) - log10(q.dose_um)) END AS diff FROM signatures q JOIN signatures d ON q.dataset = 'ds_a' AND d.dataset = 'ds_b' AND q.cell_type = d.cell_type AND q.time_h = d.time_h JOIN contexts c ON c.cell_type = q.cell_type AND c.time_h = q.time_h AND c.reason IS NULL),
+least AS (SELECT *, min(diff) OVER (PARTITION BY query_id) AS m FROM pairs)
+SELECT query_id, count(*) AS n_pool, CAST(count(*) FILTER (same) AS BIGINT) AS n_primary, CAST(count(*) FILTER (same AND (diff <= 1 + 1e-12 OR (m > 1 + 1e-12 AND abs(diff - m) <= 1e-12))) AS BIGINT) AS n_dose_aware,
+CAST(count(*) FILTER (EXISTS (SELECT 1 FROM edges e WHERE e.a_row_pos = query_id AND e.b_row_pos = candidate_id)) AS BIGINT) AS n_strict FROM least GROUP BY query_id""")
+def _(s, d):
+    sig = signatures(s, d).drop("lfc", "t", "p")
+    pairs = pools.candidate_pairs(sig.filter("dataset = 'ds_a'"), sig.filter("dataset = 'ds_b'"))
+    marked = pools.with_positives(pairs, pools.strict_edges(matching.pair_edges(sig)))
+    return marked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_pool"), *[F.count_if(F.col(c)).alias(f"n_{c}") for c in ("primary", "dose_aware", "strict")])
 
 
 @query("agg2_nested_means", f"{RNK6}, j AS (SELECT rec.*, cell_type, time_h FROM rec JOIN (SELECT DISTINCT query_id, cell_type, time_h FROM pool) USING (query_id)), st AS (SELECT cell_type, time_h, avg(normalized_rank) AS x, count(*) AS n FROM j GROUP BY ALL), ln AS (SELECT cell_type, avg(x) AS x, sum(n) AS n FROM st GROUP BY ALL) SELECT 'all' AS level, CAST(sum(n) AS BIGINT) AS n, {r('avg(x)', 'normalized_rank')} FROM ln UNION ALL SELECT cell_type, CAST(n AS BIGINT), round(x, 6) + 0.0 FROM ln")
@@ -324,7 +353,7 @@ def _(s, d):
 def _(s, d):
     a = read(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("expected"))
     b = read(s, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(10).cast("long").alias("observed"))
-    return a.join(b, "k", "outer").fillna(0, ["expected", "observed"]).filter("expected <> observed")
+    return datasets.count_mismatches(a, b, ["k"])
 
 
 # ---------------------------------------------------------------- bootstrap

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from accord.functions import keys as K
 from accord.functions import vectors as V
-from accord.operators import tables, universe
+from accord.operators import datasets, pools, tables, universe
 from accord.plans.fragments import WITH_EVENTS, WITH_SAMPLES, WITH_SIGNATURES
 from accord.plans.registry import query, r, rounded
 from accord.sources import files
@@ -103,14 +103,13 @@ def _(s, d):
     g = signatures(s, d)
     within = F.when(F.col("row_pos") % 2 == 0, F.col("p"))
     across = F.transform("p", lambda v: v / 2)
-    chosen = F.coalesce(within, across)
-    return rounded(g.select("row_pos", F.when(within.isNotNull(), "within").otherwise("across").alias("layer"), V.total(chosen).alias("sum_p")), "sum_p")
+    layer, chosen = datasets.adjusted_layer(within, across, F.col("row_pos"))
+    return rounded(g.select("row_pos", layer.alias("layer"), V.total(chosen).alias("sum_p")), "sum_p")
 
 
 @query("src14_first_file", "SELECT regexp_replace(p_name, '[0-9]+$', '') AS stem, min(p_name) AS file FROM part GROUP BY ALL")
 def _(s, d):
-    p = read(s, d, "part").select(F.regexp_replace("p_name", r"[0-9]+$", "").alias("stem"), F.col("p_name").alias("file"))
-    return tables.first_by(p.distinct(), ["stem"], "file")
+    return datasets.first_files(read(s, d, "part").select(F.col("p_name").alias("path")))
 
 
 def _exchange(s, d, suffix):
@@ -156,13 +155,12 @@ SELECT dataset, cell_type, cid, time_h, count(*) AS n FROM f GROUP BY ALL HAVING
 def _(s, d):
     line = read(s, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), (F.col("l_suppkey") % 10).alias("cell_type"), F.col("l_partkey").alias("cid"), F.col("l_linenumber").alias("time_h"), "l_quantity")
     allowed = line.filter("l_quantity > 25").select("cell_type", "cid").distinct()
-    return line.filter("cell_type < 7").join(allowed, ["cell_type", "cid"], "left_semi").groupBy("dataset", "cell_type", "cid", "time_h").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return datasets.required_index(datasets.dataset_index(line, cell_types=list(range(7)), line_compounds=allowed), "lineitem")
 
 
 @query("src22_bridge_rows", "SELECT c_custkey, lower(trim(c_name)) AS name, coalesce(c_mktsegment, '') AS segment FROM customer WHERE lower(c_mktsegment) NOT IN ('building')")
 def _(s, d):
-    c = read(s, d, "customer")
-    return c.filter(F.lower("c_mktsegment") != "building").select("c_custkey", F.lower(K.clean_text(F.col("c_name"))).alias("name"), K.clean_text(F.col("c_mktsegment")).alias("segment"))
+    return datasets.bridge_rows(read(s, d, "customer"), "c_custkey", "c_name", "c_mktsegment", ["building"])
 
 
 # ---------------------------------------------------------------- filters
@@ -256,22 +254,18 @@ def _(s, d):
 
 @query("fil13_stratum_size", WITH_EVENTS + " SELECT dataset, cell_type, time_h, count(DISTINCT cid) AS n_compounds, count(*) AS n_rows FROM ev GROUP BY ALL HAVING count(DISTINCT cid) >= 2 AND count(*) >= 5")
 def _(s, d):
-    g = event_samples(s, d).groupBy("dataset", "cell_type", "time_h").agg(F.countDistinct("cid").alias("n_compounds"), F.count(F.lit(1)).alias("n_rows"))
-    return g.filter("n_compounds >= 2 and n_rows >= 5")
+    return pools.large_strata(event_samples(s, d), ("dataset", "cell_type", "time_h"))
 
 
 @query("fil16_retain_flag", WITH_EVENTS + " SELECT DISTINCT e.dataset, e.cell_type, e.cid, e.dataset <> 'view' OR EXISTS (SELECT 1 FROM ev o WHERE o.dataset <> 'view' AND o.cell_type = e.cell_type AND o.cid = e.cid) AS retained FROM ev e")
 def _(s, d):
-    e = event_samples(s, d)
-    support = e.filter("dataset <> 'view'").groupBy("cell_type", "cid").agg(F.countDistinct("dataset").alias("n"))
-    rows = e.select("dataset", "cell_type", "cid").distinct().join(support, ["cell_type", "cid"], "left")
-    return rows.select("dataset", "cell_type", "cid", ((F.col("dataset") != "view") | (F.coalesce("n", F.lit(0)) > 0)).alias("retained"))
+    return datasets.retained(event_samples(s, d), "view").select("dataset", "cell_type", "cid", "retained")
 
 
 @query("fil17_skipped_rows", WITH_EVENTS + " SELECT row_pos, CASE WHEN dataset = 'error' THEN 'control' ELSE 'dose' END AS reason FROM ev WHERE dataset = 'error' OR NOT dose_um > 1")
 def _(s, d):
-    reason = F.when(F.col("dataset") == "error", "control").when(~(F.col("dose_um") > 1), "dose")
-    return event_samples(s, d).select("row_pos", reason.alias("reason")).filter("reason is not null")
+    reasons = {"control": F.col("dataset") == "error", "dose": ~(F.col("dose_um") > 1)}
+    return datasets.rejected(event_samples(s, d), reasons).select("row_pos", "reason")
 
 
 # ---------------------------------------------------------------- projections and scalars
