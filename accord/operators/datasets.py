@@ -26,8 +26,8 @@ def adjusted_vectors(rows: DataFrame, vectors: DataFrame, within: str, across: s
 
 
 def file_stem(path: Column) -> Column:
-    """The cell type that a file name hints at: its last part without extension and trailing number."""
-    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z0-9]+$", ""), r"[0-9]+$", "")
+    """The cell type that a file name hints at: its last part without the extension, the mark `_de` and a number behind an underscore."""
+    return F.regexp_replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(_de)?\.h5ad$", ""), r"_[0-9]+(\.[0-9]+)?$", "")
 
 
 def first_files(paths: DataFrame, allowed: list[str] | None = None) -> DataFrame:

@@ -107,9 +107,9 @@ def _(s, d):
     return rounded(g.select("row_pos", layer.alias("layer"), V.total(chosen).alias("sum_p")), "sum_p")
 
 
-@query("src14_first_file", "SELECT regexp_replace(p_name, '[0-9]+$', '') AS stem, min(p_name) AS file FROM part GROUP BY ALL")
+@query("src14_first_file", "SELECT p_name AS stem, min(p_name || '_' || (p_partkey % 3) || '_de.h5ad') AS file FROM part GROUP BY p_name")
 def _(s, d):
-    return datasets.first_files(read(s, d, "part").select(F.col("p_name").alias("path")))
+    return datasets.first_files(read(s, d, "part").select(F.concat("p_name", F.lit("_"), (F.col("p_partkey") % 3).cast("string"), F.lit("_de.h5ad")).alias("path")))
 
 
 def _exchange(s, d, suffix):

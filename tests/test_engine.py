@@ -270,3 +270,19 @@ def test_pair_records_on_themselves(spark):
     df = spark.createDataFrame([(x, x, [0.01, 0.01, 0.5, 0.01, 0.01])], "a_lfc array<double>, b_lfc array<double>, a_p array<double>").withColumn("b_p", F.col("a_p"))
     row = pairs.with_masks(df).select(*[c.alias(n) for n, c in pairs.deg_scores((2,)).items()]).first()
     assert row.n_deg_a == 3 and math.isclose(row.spearman_symmetric, 1) and row.direction_agreement == 1 and row.overlap_at_2 == 1
+
+
+def test_missing_layers_and_tasks_are_reported(spark):
+    from accord.operators import datasets, pools
+
+    rows = spark.createDataFrame([(1,), (2,)], "row_pos long")
+    vectors = spark.createDataFrame([(1, "across", [0.5]), (1, "within", [0.1]), (2, "across", [0.2])], "row_pos long, layer string, vec array<double>")
+    got = {r.row_pos: (r.layer, r.adjusted) for r in datasets.adjusted_vectors(rows, vectors, "within", "across").collect()}
+    assert got == {1: ("within", [0.1]), 2: ("across", [0.2])}
+    with pytest.raises(Exception, match="no adjusted p-values for row 2"):
+        datasets.adjusted_vectors(rows, vectors.filter("row_pos = 1"), "within", "across").collect()
+    assert {r.row_pos: r.error for r in pools.assembled(rows, vectors, ["across", "within"]).collect()} == {1: None, 2: "missing: within"}
+    with pytest.raises(FileNotFoundError):
+        datasets.merged_outputs(rows, [rows.filter("row_pos = 1")], ["row_pos"], strict=True)
+    names = spark.createDataFrame([("a/HEPG2_2_de.h5ad",), ("a/HEPG2_1.h5ad",), ("a/MCF7.h5ad",)], "path string")
+    assert {r.stem: r.file for r in datasets.first_files(names).collect()} == {"HEPG2": "a/HEPG2_1.h5ad", "MCF7": "a/MCF7.h5ad"}
