@@ -68,6 +68,12 @@ def near_integer_key(x: pd.Series) -> pd.Series:
     return x.map(key)
 
 
+@F.pandas_udf(StringType())
+def joined_numbers(x: pd.Series) -> pd.Series:
+    """Sorted numbers as a list with semicolons, to 6 significant digits, each text once."""
+    return x.map(lambda vs: "; ".join(dict.fromkeys(format(v or 0.0, ".6g") for v in vs)))
+
+
 def number_key(c: Column, family: str = "overlap") -> Column:
     """Text key of a number: 6 significant digits (inventory), 12 (overlap), or near-integers first (replicate)."""
     if family == "replicate":

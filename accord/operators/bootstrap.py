@@ -17,6 +17,20 @@ from pyspark.sql import functions as F
 RESAMPLES, SEED, LEVEL = 2000, 20260505, 0.95
 LEAST_CLUSTERS, LEAST_VALID, LEAST_JACKKNIFE = 2, 20, 3
 
+# The statuses of an interval, and the method that each belongs to.
+METHODS = {
+    "ok": "bca",
+    "too_few_clusters_or_values": "not_estimable",
+    "nonfinite_observed": "not_estimable",
+    "too_few_valid_bootstraps": "not_estimable",
+    "zero_bootstrap_variance": "degenerate",
+    "too_few_jackknife_values_for_bca": "percentile_fallback",
+    "zero_or_nonfinite_bca_acceleration": "percentile_fallback",
+    "nonfinite_bca_acceleration": "percentile_fallback",
+    "invalid_bca_adjusted_quantile": "percentile_fallback",
+}
+SCOPE = "observed compound panel"
+
 
 def cluster_sums(rows: DataFrame, group: list[str], cluster: str, inner: list[str], value: str, outer: list[str] = []) -> DataFrame:
     """total, n of each group, cluster and stratum; rows with a blank cluster or a value that isn't finite are left out."""
@@ -48,9 +62,9 @@ def bca(totals: np.ndarray, counts: np.ndarray, outer: np.ndarray, seed: int, re
     estimate = float(nested_statistic(totals.sum(0)[None], counts.sum(0)[None], outer)[0])
     out = {"estimate": estimate if np.isfinite(estimate) else None, "low": None, "high": None, "n_clusters": n, "n_rows": int(counts.sum()), "n_valid": 0, "z0": None, "acceleration": None, "status": "ok"}
     if n < LEAST_CLUSTERS:
-        return out | {"status": "not_estimable"}
+        return out | {"estimate": None, "status": "too_few_clusters_or_values"}
     if not np.isfinite(estimate):
-        return out | {"status": "no_estimate"}
+        return out | {"status": "nonfinite_observed"}
     random = np.random.default_rng(seed)
     weights = np.zeros((resamples, n))
     draws = random.integers(0, n, (resamples, n))
@@ -59,32 +73,34 @@ def bca(totals: np.ndarray, counts: np.ndarray, outer: np.ndarray, seed: int, re
     values = values[np.isfinite(values)]
     out["n_valid"] = len(values)
     if len(values) < LEAST_VALID:
-        return out | {"status": "too_few_resamples"}
+        return out | {"status": "too_few_valid_bootstraps"}
     if np.ptp(values) <= 1e-15 * max(1.0, abs(estimate)):
-        return out | {"low": estimate, "high": estimate, "status": "degenerate"}
+        return out | {"low": estimate, "high": estimate, "status": "zero_bootstrap_variance"}
     tail = (1 - level) / 2
     percentile = {"low": float(np.quantile(values, tail)), "high": float(np.quantile(values, 1 - tail))}
     jack = nested_statistic(totals.sum(0)[None] - totals, counts.sum(0)[None] - counts, outer)
     jack = jack[np.isfinite(jack)]
     if len(jack) < LEAST_JACKKNIFE:
-        return out | percentile | {"status": "percentile_few_jackknife"}
-    below = float((values < estimate).mean() + 0.5 * (values == estimate).mean())
-    if not 0 < below < 1:
-        return out | percentile | {"status": "percentile_bias"}
+        return out | percentile | {"status": "too_few_jackknife_values_for_bca"}
+    edge = 1 / (2 * len(values))
+    below = min(max(float((values < estimate).mean()), edge), 1 - edge)
     centered = jack.mean() - jack
     spread = float((centered**2).sum()) ** 1.5
-    if spread <= 0:
-        return out | percentile | {"status": "percentile_no_acceleration"}
+    if not 0 < spread < float("inf"):
+        return out | percentile | {"status": "zero_or_nonfinite_bca_acceleration"}
     normal = NormalDist()
     z0, a = normal.inv_cdf(below), float((centered**3).sum()) / (6 * spread)
+    if not np.isfinite(a):
+        return out | percentile | {"status": "nonfinite_bca_acceleration"}
     ends = []
     for p in (tail, 1 - tail):
         z = z0 + normal.inv_cdf(p)
         scale = 1 - a * z
         if scale <= 0:
-            return out | percentile | {"status": "percentile_scale"}
+            return out | percentile | {"status": "invalid_bca_adjusted_quantile"}
         ends.append(normal.cdf(z0 + z / scale))
-    return out | {"low": float(np.quantile(values, ends[0])), "high": float(np.quantile(values, ends[1])), "z0": z0, "acceleration": a}
+    low, high = sorted(float(np.quantile(values, x)) for x in ends)
+    return out | {"low": low, "high": high, "z0": z0, "acceleration": a}
 
 
 def stable_seed(*parts: object, base: int = SEED) -> int:
@@ -92,7 +108,7 @@ def stable_seed(*parts: object, base: int = SEED) -> int:
     return (base + int.from_bytes(digest, "big")) % (2**32 - 1)
 
 
-def bca_table(rows: DataFrame, group: list[str], cluster: str, inner: list[str], values: list[str], outer: list[str] = []) -> DataFrame:
+def bca_table(rows: DataFrame, group: list[str], cluster: str, inner: list[str], values: list[str], outer: list[str] = [], resamples: int = RESAMPLES, level: float = LEVEL) -> DataFrame:
     """One row a group and metric: estimate, low, high, half_width, clusters, rows, valid resamples, bias, acceleration, status. Clusters and strata are sorted first, so the partitioning of the rows doesn't matter."""
     long = rows.select(*dict.fromkeys([*group, cluster, *outer, *inner]), F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("x")).select("*", "x.metric", "x.value").drop("x")
     sums = cluster_sums(long, [*group, "metric"], cluster, inner, "value", outer)
@@ -108,7 +124,7 @@ def bca_table(rows: DataFrame, group: list[str], cluster: str, inner: list[str],
             totals[at_c[c], at_s[o, s]], counts[at_c[c], at_s[o, s]] = t, n
         outers = {o: i for i, o in enumerate(sorted({o for o, _ in strata}))}
         key = tuple(part[c].iloc[0] for c in names)
-        found = bca(totals, counts, np.array([outers[o] for o, _ in strata]), stable_seed(*map(str, key)))
+        found = bca(totals, counts, np.array([outers[o] for o, _ in strata]), stable_seed(*map(str, key)), resamples, level)
         half = None if found["low"] is None else (found["high"] - found["low"]) / 2
         return pd.DataFrame([dict(zip(names, key)) | found | {"half_width": half}])
 
@@ -116,6 +132,58 @@ def bca_table(rows: DataFrame, group: list[str], cluster: str, inner: list[str],
     return sums.groupBy(*names).applyInPandas(one, f"{kinds}, estimate double, low double, high double, n_clusters long, n_rows long, n_valid long, z0 double, acceleration double, status string, half_width double")
 
 
-def half_width_ranges(table: DataFrame, by: list[str]) -> DataFrame:
-    """Size, least, median and largest half width, and the sorted statuses of each group of intervals."""
-    return table.groupBy(*by).agg(F.count(F.lit(1)).alias("n_intervals"), F.min("half_width").alias("min_half_width"), F.median("half_width").alias("median_half_width"), F.max("half_width").alias("max_half_width"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("statuses"))
+def interval_table(rows: DataFrame, group: list[str], cluster: str, inner: list[str], values: dict[str, str], outer: list[str] = [], summary_level: str = "all", scope: str = SCOPE, resamples: int = RESAMPLES, level: float = LEVEL) -> DataFrame:
+    """The whole record of each group and metric (values: metric -> column): mean, interval, its method and status, counts and settings.
+
+    Null keys are groups. A group without two clusters, or without any finite value, has its row too, with nulls for mean and interval; so
+    n_rows counts all rows of a group, n_finite_rows those that enter. No group at all gives no row.
+    """
+    renamed = rows.select(*dict.fromkeys([*group, cluster, *outer, *inner]), *[F.col(c).alias(f"_{m}") for m, c in values.items()])
+    found = bca_table(renamed, group, cluster, inner, [f"_{m}" for m in values], outer, resamples, level)
+    labels = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("value_col")) for m, c in values.items()]))
+    asked = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_all")).filter("n_all > 0").withColumn("x", labels).select(*group, "x.metric", "x.value_col", "n_all")
+    b = found.select(*[F.col(c).alias(f"_{c}") for c in [*group, "metric"]], *[c for c in found.columns if c not in {*group, "metric"}])
+    on = F.concat(F.lit("_"), F.col("metric")) == F.col("_metric")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    status = F.coalesce("status", F.lit("too_few_clusters_or_values"))
+    method = F.element_at(F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair]), status)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return asked.join(b, on, "left").select(
+        *group,
+        F.lit(summary_level).alias("summary_level"),
+        "metric",
+        "value_col",
+        F.col("estimate").alias("mean"),
+        F.col("low").alias("ci_low"),
+        F.col("high").alias("ci_high"),
+        F.col("half_width").alias("ci_half_width"),
+        method.alias("ci_method"),
+        status.alias("ci_status"),
+        F.lit(float(level)).alias("ci_level"),
+        F.lit(resamples).cast("long").alias("n_bootstrap_iterations"),
+        zero("n_valid").alias("n_bootstrap_valid"),
+        F.col("n_all").alias("n_rows"),
+        zero("n_rows").alias("n_finite_rows"),
+        zero("n_clusters").alias("n_compounds"),
+        F.lit(cluster).alias("cluster_col"),
+        F.lit(",".join(inner)).alias("inner_strata"),
+        F.lit(",".join(outer)).alias("outer_strata"),
+        F.lit(scope).alias("uncertainty_scope"),
+    )
+
+
+def half_width_ranges(table: DataFrame, by: list[str] = ["summary_level", "metric"]) -> DataFrame:
+    """Of the intervals of each group with a finite half width: number, least, median and largest half width, fewest and most compounds, sorted methods and statuses."""
+    width = F.col("ci_half_width").cast("double")
+    sorted_set = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return table.filter(width.isNotNull() & ~F.isnan(width) & (F.abs(width) < float("inf"))).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_intervals"),
+        F.min(width).alias("min_ci_half_width"),
+        F.median(width).alias("median_ci_half_width"),
+        F.max(width).alias("max_ci_half_width"),
+        F.min("n_compounds").alias("min_n_compounds"),
+        F.max("n_compounds").alias("max_n_compounds"),
+        sorted_set("ci_method").alias("ci_methods"),
+        sorted_set("ci_status").alias("ci_statuses"),
+    )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from accord.functions.keys import finite, is_control, joined_numbers
+
 
 def summarize_retrieval(detail: DataFrame, by: list[str]) -> DataFrame:
     """Count, and means and medians of pool size, rank and score of each group; null keys are groups."""
@@ -57,6 +59,54 @@ def dataset_summary(samples: DataFrame) -> DataFrame:
     return one(samples, F.col("dataset")).unionByName(one(samples, F.lit("all")))
 
 
+def _known(c: Column) -> Column:
+    """A trimmed text; null where it is blank."""
+    t = F.btrim(c.cast("string"))
+    return F.when(t != "", t)
+
+
+def system_label(context: Column, tissue: Column | None = None) -> Column:
+    """Aggregate: what the contexts of a dataset are. Cellosaurus ids mean cell lines; blood as the only tissue, PBMC; Cell Ontology ids alone, primary cells; all else, cell lines."""
+    context = _known(context)
+    blood = F.lit(False) if tissue is None else F.bool_and(_known(tissue) == "blood")
+    return (
+        F.when(F.bool_or(context.startswith("CVCL_")), "cell lines")
+        .when(blood, "primary PBMC")
+        .when(F.bool_and(context.startswith("CL_")), "primary cells")
+        .otherwise("cell lines")
+    )
+
+
+def inventory_summary(samples: DataFrame, technologies: dict[str, str] = {}, urls: dict[str, str] = {}, union: str | None = "all") -> DataFrame:
+    """One row a dataset: system, technology, compounds (controls left out), contexts, samples, distinct times and doses, source URL.
+
+    samples: dataset, cell_type, perturbagen, cid, time_h, dose_um, is_control, assay, and tissue if there is one. More than one assay in a dataset (or
+    none) is an error. Blank texts count as absent. technologies and urls name what they hold, other assays stand for themselves and other datasets have NA.
+    union: name of a last row over the samples of all datasets that aren't controls, by compound id; None leaves it out.
+    """
+    control = is_control(F.col("is_control"))
+    distinct = lambda c: F.array_sort(F.collect_set(F.when(finite(F.col(c)), F.col(c).cast("double"))))
+    counts = [F.countDistinct(_known(F.col("cell_type"))).alias("n_contexts"), F.count(F.lit(1)).alias("n_samples"), distinct("time_h").alias("timepoints_h"), distinct("dose_um").alias("doses_uM")]
+    assay = _known(F.col("assay"))
+    lookup = lambda names, key: F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key) if names else F.lit(None).cast("string")
+    said = lambda df: df.withColumn("timepoints_h", joined_numbers("timepoints_h")).withColumn("doses_uM", joined_numbers("doses_uM"))
+    one = samples.groupBy(F.col("dataset").alias("dataset_name")).agg(
+        system_label(F.col("cell_type"), F.col("tissue") if "tissue" in samples.columns else None).alias("system"),
+        F.when(F.countDistinct(assay) == 1, F.min(assay)).otherwise(F.raise_error(F.lit("one assay a dataset is needed"))).cast("string").alias("_assay"),
+        F.countDistinct(F.when(~control, _known(F.col("perturbagen")))).alias("n_compounds"),
+        *counts,
+    )
+    names = ["dataset_name", "system", "technology", "n_compounds", "n_contexts", "n_samples", "timepoints_h", "doses_uM", "source_url"]
+    out = one.withColumn("technology", F.coalesce(lookup(technologies, F.col("_assay")), "_assay")).withColumn("source_url", F.coalesce(lookup(urls, F.col("dataset_name")), F.lit("NA"))).select(*names)
+    if union is None:
+        return said(out)
+    cid = _known(F.col("cid"))
+    all_of = samples.filter(~control).agg(F.countDistinct(F.when(~F.lower(cid).isin("nan", "none", "<na>"), cid)).alias("n_compounds"), *counts)
+    systems = out.agg(F.array_join(F.array_sort(F.collect_set("system")), "; ").alias("system"))
+    last = all_of.crossJoin(F.broadcast(systems))  # one row on either side
+    return said(out.unionByName(last.select(F.lit(union).alias("dataset_name"), "system", F.lit("union across selected datasets").alias("technology"), *names[3:8], F.lit("NA").alias("source_url"))))
+
+
 def with_missing(summary: DataFrame, index: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
     """One row for each row of the index: counts of missing ones are 0, other values null."""
     out = index.join(summary, keys, "left")

@@ -318,10 +318,26 @@ def _(s, d):
     return text.select("dataset", "n_compounds", "n_contexts", "n_samples", F.array_join(F.array_sort(F.split("times", ",")), ",").alias("times"), F.size(F.split("doses", ",")).cast("long").alias("n_doses"))
 
 
-@query("agg14_system_labels", "SELECT event_type, CASE WHEN bool_and(value > 0) THEN 'positive' WHEN bool_or(value > 100) THEN 'wide' ELSE 'other' END AS system FROM events GROUP BY ALL")
+#: Events as samples of four kinds of system; every seventh is a control.
+LABELLED = f"{WITH_EVENTS}, x AS (SELECT * REPLACE (CASE WHEN dataset = 'click' AND row_pos % 50 = 0 THEN 'CVCL_1' WHEN dataset = 'view' THEN cell_type ELSE 'CL_' || cell_type END AS cell_type), CASE WHEN dataset = 'error' THEN 'blood' WHEN row_pos % 3 = 0 THEN 'blood' ELSE 'liver' END AS tissue, row_pos % 7 = 0 AS control FROM ev)"
+SYSTEM = "CASE WHEN bool_or(cell_type LIKE 'CVCL\\_%' ESCAPE '\\') THEN 'cell lines' WHEN bool_and(tissue = 'blood') THEN 'primary PBMC' WHEN bool_and(cell_type LIKE 'CL\\_%' ESCAPE '\\') THEN 'primary cells' ELSE 'cell lines' END"
+
+
+def _labelled(s, d):
+    e, at = event_samples(s, d), F.col("row_pos")
+    context = F.when((F.col("dataset") == "click") & (at % 50 == 0), "CVCL_1").when(F.col("dataset") == "view", F.col("cell_type")).otherwise(F.concat(F.lit("CL_"), "cell_type"))
+    tissue = F.when((F.col("dataset") == "error") | (at % 3 == 0), "blood").otherwise("liver")
+    return e.withColumn("cell_type", context).withColumn("tissue", tissue).withColumn("is_control", (at % 7 == 0).cast("string")).withColumn("perturbagen", F.col("cid")).withColumn("assay", F.concat(F.lit("of "), "dataset"))
+
+
+@query("agg14_system_labels", f"{LABELLED} SELECT dataset, {SYSTEM} AS system FROM x GROUP BY ALL")
+def _(s, d):
+    return _labelled(s, d).groupBy("dataset").agg(summaries.system_label(F.col("cell_type"), F.col("tissue")).alias("system"))
+
+
+@query("agg14_inventory_summary", f"{LABELLED}, o AS (SELECT dataset AS dataset_name, {SYSTEM} AS system, 'of ' || dataset AS technology, count(DISTINCT cid) FILTER (NOT control) AS n_compounds, count(DISTINCT cell_type) AS n_contexts, count(*) AS n_samples, array_to_string(list_transform(list_sort(list(DISTINCT time_h)), lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), '; ') AS timepoints_h, CASE dataset WHEN 'click' THEN 'https://example.org/click' ELSE 'NA' END AS source_url FROM x GROUP BY dataset) SELECT * FROM o UNION ALL SELECT 'all', (SELECT string_agg(DISTINCT system, '; ' ORDER BY system) FROM o), 'union across selected datasets', count(DISTINCT cid), count(DISTINCT cell_type), count(*), array_to_string(list_transform(list_sort(list(DISTINCT time_h)), lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), '; '), 'NA' FROM x WHERE NOT control")
 def _(s, d):
-    label = F.when(F.bool_and(F.col("value") > 0), "positive").when(F.bool_or(F.col("value") > 100), "wide").otherwise("other")
-    return read(s, d, "events").groupBy("event_type").agg(label.alias("system"))
+    return summaries.inventory_summary(_labelled(s, d), urls={"click": "https://example.org/click"}).drop("doses_uM")
 
 
 @query("agg16_pairwise_matrix", f"{EDGES} SELECT name, CAST(sum(n) FILTER (other = 'click') AS BIGINT) AS click, CAST(sum(n) FILTER (other = 'view') AS BIGINT) AS view FROM (SELECT a_dataset AS name, b_dataset AS other, count(DISTINCT cid) AS n FROM edges GROUP BY ALL UNION ALL SELECT b_dataset, a_dataset, count(DISTINCT cid) FROM edges GROUP BY ALL) GROUP BY ALL")
@@ -377,7 +393,19 @@ def _(s, d):
     return bootstrap.bca_table(event_samples(s, d), ["dataset"], "cid", ["time_h"], ["dose_um"], ["cell_type"])
 
 
+@query("agg24_interval_record", f"{WITH_EVENTS}, m AS (SELECT dataset, cell_type, time_h, sum(dose_um) / count(*) AS x FROM ev GROUP BY ALL), o AS (SELECT dataset, cell_type, avg(x) AS x FROM m GROUP BY ALL), e AS (SELECT dataset, avg(x) AS x FROM o GROUP BY ALL) SELECT dataset, 'dataset' AS summary_level, 'dose' AS metric, 'dose_um' AS value_col, {r('any_value(e.x)', 'mean')}, 0.95::DOUBLE AS ci_level, 200::BIGINT AS n_bootstrap_iterations, count(*) AS n_rows, count(dose_um) AS n_finite_rows, count(DISTINCT cid) AS n_compounds, 'cid' AS cluster_col, 'time_h' AS inner_strata, 'cell_type' AS outer_strata FROM ev JOIN e USING (dataset) GROUP BY dataset")
+def _(s, d):
+    t = bootstrap.interval_table(event_samples(s, d), ["dataset"], "cid", ["time_h"], {"dose": "dose_um"}, ["cell_type"], "dataset", resamples=200)
+    return rounded(t.drop("ci_low", "ci_high", "ci_half_width", "ci_method", "ci_status", "n_bootstrap_valid", "uncertainty_scope"), "mean")
+
+
 @query("agg25_half_width_ranges")
 def _(s, d):
-    t = bootstrap.bca_table(event_samples(s, d), ["dataset", "cell_type"], "cid", ["time_h"], ["dose_um"])
-    return bootstrap.half_width_ranges(t, ["metric"])
+    t = bootstrap.interval_table(event_samples(s, d), ["dataset", "cell_type"], "cid", ["time_h"], {"dose": "dose_um"}, summary_level="context")
+    return bootstrap.half_width_ranges(t)
+
+
+@query("agg25_given_widths", f"{WITH_EVENTS}, w AS (SELECT dataset, time_h, (max(dose_um) - min(dose_um)) / 2 AS h, count(DISTINCT cid) AS n, CASE WHEN count(*) % 2 = 0 THEN 'bca' ELSE 'degenerate' END AS m FROM ev GROUP BY ALL) SELECT dataset, count(*) AS n_intervals, {r('min(h)', 'min_ci_half_width')}, {r('median(h)', 'median_ci_half_width')}, {r('max(h)', 'max_ci_half_width')}, min(n) AS min_n_compounds, max(n) AS max_n_compounds, string_agg(DISTINCT m, ',' ORDER BY m) AS ci_methods, 'ok' AS ci_statuses FROM w WHERE h IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    w = event_samples(s, d).groupBy("dataset", "time_h").agg(((F.max("dose_um") - F.min("dose_um")) / 2).alias("ci_half_width"), F.countDistinct("cid").alias("n_compounds"), F.when(F.count(F.lit(1)) % 2 == 0, "bca").otherwise("degenerate").alias("ci_method"), F.lit("ok").alias("ci_status"))
+    return rounded(bootstrap.half_width_ranges(w, ["dataset"]), "min_ci_half_width", "median_ci_half_width", "max_ci_half_width")

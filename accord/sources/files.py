@@ -40,8 +40,8 @@ def read_optional(spark: SparkSession, path: str, schema: str | StructType) -> D
         return spark.createDataFrame([], schema)
 
 
-def read_texts(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".md", ".txt", ".py"), most_bytes: int = 1_000_000) -> DataFrame:
-    """path, text of the small text files below a folder."""
+def read_texts(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".md", ".txt", ".py"), most_bytes: int = 5_000_000) -> DataFrame:
+    """path, text of the text files below a folder; larger ones than most_bytes are no notes on datasets and are passed over."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= most_bytes)
     wanted = F.lit(False)
     for s in suffixes:

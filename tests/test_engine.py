@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from accord import cli
 from accord.functions import blocks, keys
 from accord.functions import vectors as V
-from accord.operators import baseline, bootstrap, graph, matching, pairs, replicate, retrieval, tables, universe
+from accord.operators import baseline, bootstrap, graph, matching, pairs, replicate, retrieval, summaries, tables, universe
 from accord.plans import workflows
 from accord.sources import files
 from accord.streaming import incremental
@@ -189,11 +189,37 @@ def test_bootstrap(spark):
     got = {x.g: x for x in bootstrap.bca_table(df, ["g"], "c", ["s"], ["v"]).collect()}
     means = [np.mean([x[3] for x in rows if x[0] == "g" and x[1].strip() and x[2] == f"s{k}" and math.isfinite(x[3])]) for k in range(3)]
     assert math.isclose(got["g"].estimate, np.mean(means)) and got["g"].status == "ok" and got["g"].low < got["g"].estimate < got["g"].high
-    assert got["one"].status == "not_estimable" and got["same"].status == "degenerate" and got["same"].low == 2 and got["two"].status == "percentile_few_jackknife"
+    assert got["one"].status == "too_few_clusters_or_values" and got["same"].status == "zero_bootstrap_variance" and got["same"].low == 2 and got["two"].status == "too_few_jackknife_values_for_bca"
     again = {x.g: x for x in bootstrap.bca_table(df.repartition(7), ["g"], "c", ["s"], ["v"]).collect()}
     assert again["g"].low == got["g"].low and again["g"].high == got["g"].high
 
 
+def test_interval_record(spark):
+    rows = [("a", f"c{i}", "s", float(i)) for i in range(8)] + [(None, "c", "s", 1.0), ("blank", " ", "s", 1.0), ("nan", "c", "s", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, c string, s string, v double")
+    table = bootstrap.interval_table(df, ["g"], "c", ["s"], {"value": "v", "again": "v"}, summary_level="g")
+    got = {(x.g, x.metric): x for x in table.collect()}
+    assert len(got) == 8 and len(table.columns) == 20 and got["a", "value"].mean == 3.5 and got["a", "value"].ci_method == "bca" and got["a", "value"].value_col == "v"
+    assert got["a", "value"].ci_low < 3.5 < got["a", "value"].ci_high and got["a", "value"].n_compounds == 8 == got["a", "again"].n_rows
+    for g, finite_rows, compounds in ((None, 1, 1), ("blank", 0, 0), ("nan", 0, 0)):
+        x = got[g, "value"]
+        assert (x.ci_method, x.ci_status, x.mean, x.ci_low, x.n_rows, x.n_finite_rows, x.n_compounds) == ("not_estimable", "too_few_clusters_or_values", None, None, 1, finite_rows, compounds)
+    ranges = {x.metric: x for x in bootstrap.half_width_ranges(table).collect()}
+    assert ranges["value"].n_intervals == 1 and ranges["value"].ci_methods == "bca" and ranges["value"].max_n_compounds == 8
+    assert bootstrap.interval_table(df.filter("false"), ["g"], "c", ["s"], {"value": "v"}).count() == 0
+
+
+def test_inventory_summary(spark):
+    rows = [("x", "CVCL_1", "p", "1", 24.0, 0.1, "False", "A", "blood"), ("x", "CL_1", " ", "nan", 24.0, 1e-7, "False", "A", "blood"), ("x", "CL_2", "q", "2", 6.0, 10.0, "True", "A", None), ("y", "CL_1", "p", "1", 24.0, None, "False", "B", "blood"), ("z", "CL_1", "r", "3", 24.0, 2.0, "no", "B", "liver")]
+    schema = "dataset string, cell_type string, perturbagen string, cid string, time_h double, dose_um double, is_control string, assay string, tissue string"
+    got = {x.dataset_name: x for x in summaries.inventory_summary(spark.createDataFrame(rows, schema), {"A": "long A"}, {"x": "https://example.org"}).collect()}
+    assert [got[k].system for k in "xyz"] == ["cell lines", "primary PBMC", "primary cells"] and [got[k].technology for k in "xyz"] == ["long A", "B", "B"]
+    assert (got["x"].n_compounds, got["x"].n_contexts, got["x"].n_samples, got["x"].timepoints_h, got["x"].doses_uM, got["x"].source_url) == (1, 3, 3, "6; 24", "1e-07; 0.1; 10", "https://example.org")
+    assert (got["all"].system, got["all"].n_compounds, got["all"].n_samples, got["all"].source_url, got["y"].doses_uM) == ("cell lines; primary PBMC; primary cells", 2, 4, "NA", "")
+    with pytest.raises(Exception, match="one assay"):
+        summaries.inventory_summary(spark.createDataFrame([*rows, ("y", "CL_1", "p", "1", 24.0, 1.0, "False", "A", "blood")], schema)).collect()
+
+
 def test_baseline_mean_of_sides_equals_row_mean_of_deltas(spark):
     df = spark.createDataFrame([(1.0, 0.2, 0.4), (1.0, None, 0.4), (1.0, 0.2, None), (1.0, None, None)], "o double, l double, r double")
     o, l, r = F.col("o"), F.col("l"), F.col("r")
