@@ -5,10 +5,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from accord.operators import summaries
 from accord.plans import workflows as W
-from accord.sources.files import write_table
+from accord.sources.files import read_table, write_table
 
 ALIASES = {"signed": W.SIGNED, "signed_-log10(p)*sign(logfc)": W.SIGNED, "z": W.Z, "z=sign(logfc)*phi^-1(1-p/2)": W.Z}
 
@@ -59,6 +60,11 @@ def build_parser() -> argparse.ArgumentParser:
         if name == "replicate":
             s.add_argument("--top-k", type=int, default=50)
             s.add_argument("--min-replicates-per-condition", type=int, default=2)
+            s.add_argument("--existing-results", help="output prefix of an earlier run, whose conditions stay unless this run has them")
+        if name == "summary":
+            s.add_argument("--datasets", default="all")
+            s.add_argument("--inventory", action="store_true", help="with system and technology; needs perturbagen, is_control and assay")
+            s.add_argument("--no-union-row", action="store_true")
     return p
 
 
@@ -84,10 +90,24 @@ def main(argv: list[str] | None = None) -> None:
         for name, df in found.items():
             write_table(df, f"{a.output}_{name}.tsv")
     elif a.command == "replicate":
-        for name, df in W.replicate_agreement(samples, spark.read.parquet(a.signatures), a.top_k, a.min_replicates_per_condition).items():
+        if a.existing_results == a.output:
+            raise ValueError("results can't replace those that they are merged with")
+        signatures = spark.read.parquet(a.signatures)
+        found = W.replicate_agreement(samples, signatures, a.top_k, a.min_replicates_per_condition)
+        if a.existing_results:
+            earlier = read_table(spark, f"{a.existing_results}_conditions.tsv", found["conditions"].schema)
+            found = W.replicate_agreement(samples, signatures, a.top_k, a.min_replicates_per_condition, earlier)
+        for name, df in found.items():
             write_table(df, f"{a.output}_{name}.tsv")
     else:
-        write_table(summaries.dataset_summary(samples), f"{a.output}_summary.tsv")
+        chosen = list(names(a.datasets))
+        if chosen:
+            samples = samples.filter(F.col("dataset").isin(chosen))
+        if a.inventory:
+            found = summaries.inventory_summary(samples, union=None if a.no_union_row else "all")
+        else:
+            found = summaries.dataset_summary(samples, not a.no_union_row)
+        write_table(found, f"{a.output}_summary.tsv")
 
 
 if __name__ == "__main__":

@@ -49,14 +49,15 @@ def grouped_spearman(rows: DataFrame, by: list[str], x: str, y: str) -> DataFram
     return agg.select(*by, F.col("n").alias("n_rows"), F.when(ok, cov / F.sqrt(F.when(ok, vx * vy))).alias("spearman"))
 
 
-def dataset_summary(samples: DataFrame) -> DataFrame:
-    """Compounds, contexts, samples, and the sorted distinct times and doses of each dataset, and of all together."""
+def dataset_summary(samples: DataFrame, union: bool = True) -> DataFrame:
+    """Compounds, contexts, samples, and the sorted distinct times and doses of each dataset, and (union) of all together."""
 
     def one(df: DataFrame, name) -> DataFrame:
         texts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda v: F.format_string("%.2f", v)), ",")
         return df.groupBy(name.alias("dataset")).agg(F.countDistinct("cid").alias("n_compounds"), F.countDistinct("cell_type").alias("n_contexts"), F.count(F.lit(1)).alias("n_samples"), texts("time_h").alias("times"), texts("dose_um").alias("doses"))
 
-    return one(samples, F.col("dataset")).unionByName(one(samples, F.lit("all")))
+    out = one(samples, F.col("dataset"))
+    return out.unionByName(one(samples, F.lit("all"))) if union else out
 
 
 def _known(c: Column) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from accord.functions import blocks, keys
 from accord.functions import vectors as V
 from accord.operators import graph, matching, replicate, retrieval, summaries, universe
+from accord.operators.tables import keep_last
+from accord.sources.files import required
 
 METRICS = ("cosine", "pearson", "spearman", "mrrmse")
 #: Names of derived representations, and layers that are never scored.
@@ -141,8 +143,11 @@ def build_overlap(samples: DataFrame, within: float = 1.0, compounds: int = 10,
     return {"edges": all_edges, "components": table.drop("component"), "annotations": notes.drop("component", "node"), "pair_summary": matching.pair_counts(all_edges)}
 
 
-def replicate_agreement(samples: DataFrame, signatures: DataFrame, top_k: int = 50, least: int = 2) -> dict[str, DataFrame]:
-    """pairs, conditions and datasets: agreement of sampled replicate pairs of each condition in logFC and t."""
+def replicate_agreement(samples: DataFrame, signatures: DataFrame, top_k: int = 50, least: int = 2, earlier: DataFrame | None = None) -> dict[str, DataFrame]:
+    """pairs, conditions and datasets: agreement of sampled replicate pairs of each condition in logFC and t.
+
+    earlier: conditions of an earlier run, which stay where this run has none of the same key; datasets counts both, pairs are of this run alone.
+    """
     kept = replicate.enough_replicates(samples, least)
     ring = replicate.ring_pairs(kept)
     vec = {x: signatures.filter(F.col("layer") == x).select("dataset", "row_pos", V.doubles(F.col("vec")).alias(x)) for x in ("logFC", "t")}
@@ -158,6 +163,8 @@ def replicate_agreement(samples: DataFrame, signatures: DataFrame, top_k: int =
     pairs = rows.select(*replicate.CONDITION, "left_row", "right_row", "n_replicates", V.spearman(x, y).alias("spearman_logfc"), V.spearman(xt, yt).alias("spearman_t"), V.signed_overlap(xt, yt, top_k, False).alias("overlap_t"))
     metrics = ["spearman_logfc", "spearman_t", "overlap_t"]
     conditions = replicate.condition_record(pairs, metrics)
+    if earlier is not None:
+        conditions = keep_last([required(earlier, conditions.columns).select(*conditions.columns), conditions], list(replicate.CONDITION), "n_pairs")
     means = [f"mean_{m}" for m in metrics]
     datasets = conditions.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_conditions"), F.countDistinct("cid").alias("n_compounds"), F.sum("n_pairs").alias("n_pairs"), *[F.avg(m).alias(m) for m in means])
     return {"pairs": pairs, "conditions": conditions, "datasets": datasets}

@@ -287,6 +287,19 @@ def test_workflows_and_command_line(spark, tmp_path):
     assert spark.read.option("header", True).csv(out + "_summary_overall.csv").count() == 1
     cli.main(["summary", "--samples", str(tmp_path / "samples"), "--output", out])
     assert spark.read.option("header", True).option("sep", "\t").csv(out + "_summary.tsv").count() == 3
+    cli.main(["summary", "--samples", str(tmp_path / "samples"), "--output", out, "--datasets", "q", "--no-union-row"])
+    assert spark.read.option("header", True).option("sep", "\t").csv(out + "_summary.tsv").count() == 1
+    again = ["replicate", "--signatures", str(tmp_path / "signatures"), "--top-k", "3"]
+    s.filter("dataset = 'p'").write.parquet(str(tmp_path / "one"))
+    s.filter("dataset = 'q' or cid in ('1', '2')").write.parquet(str(tmp_path / "more"))
+    cli.main([*again, "--samples", str(tmp_path / "one"), "--output", str(tmp_path / "first")])
+    cli.main([*again, "--samples", str(tmp_path / "more"), "--output", str(tmp_path / "both"), "--existing-results", str(tmp_path / "first")])
+    schema = agreement["conditions"].schema
+    read = lambda name: sorted(map(tuple, files.read_table(spark, str(tmp_path / f"{name}_conditions.tsv"), schema).collect()))
+    assert len(read("first")) == 12 and len(read("both")) == 24 and set(read("first")) <= set(read("both"))
+    assert {x.dataset: x.n_conditions for x in files.read_table(spark, str(tmp_path / "both_datasets.tsv"), agreement["datasets"].schema).collect()} == {"p": 12, "q": 12}
+    with pytest.raises(ValueError):
+        cli.main([*again, "--samples", str(tmp_path / "more"), "--output", "x", "--existing-results", "x"])
     with pytest.raises(KeyError):
         cli.main(["retrieval", "--samples", str(tmp_path / "samples"), "--signatures", str(tmp_path / "signatures"), "--output", out, "--db-datasets", "nope"])
 
