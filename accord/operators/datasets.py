@@ -108,29 +108,55 @@ def merged_outputs(expected: DataFrame, outputs: list[DataFrame], keys: list[str
     return whole, missing_tasks(expected, whole, keys, strict)
 
 
-def match_samples(edges: DataFrame) -> DataFrame:
-    """dataset, other, obs_id, match_ids of both sides of every edge; match_ids are sorted and comma-joined."""
-    both = edges.select(F.col("a_dataset").alias("dataset"), F.col("b_dataset").alias("other"), F.col("a_obs_id").alias("obs_id"), F.col("b_obs_id").alias("m")).union(edges.select("b_dataset", "a_dataset", "b_obs_id", "a_obs_id"))
-    return both.groupBy("dataset", "other", "obs_id").agg(F.array_join(F.array_sort(F.collect_list("m")), ",").alias("match_ids"))
-
-
-def write_match_samples(edges: DataFrame, samples: DataFrame, folder: str) -> str:
+def match_samples(doses: DataFrame, samples: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
+    """samples that pairs of doses (see matching.dose_edges) match, with other and match_ids: the sorted, comma-joined obs_ids of the other dataset's samples.
+
+    Samples of one dose have the same ids, so those are joined to a text once a dose. Only samples whose obs_id repeats within
+    a dataset gather the ids of several doses.
+    """
+    by, order = list(keys), F.array_sort
+    at = [*by, "dataset", "dose_um"]
+    ids = samples.groupBy(*at).agg(F.collect_list("obs_id").alias("ids"))
+
+    def side(x: str, y: str) -> DataFrame:
+        pairs = doses.select(*by, F.col(f"{x}_dataset").alias("own"), F.col(f"{x}_dose_um").alias("own_dose"), F.col(f"{y}_dataset").alias("dataset"), F.col(f"{y}_dose_um").alias("dose_um"))
+        lists = pairs.join(ids, at).groupBy(*by, F.col("own").alias("dataset"), F.col("dataset").alias("other"), F.col("own_dose").alias("dose_um")).agg(F.flatten(F.collect_list("ids")).alias("ids"))
+        return lists.select("dataset", "other", *by, "dose_um", "ids")
+
+    lists = side("a", "b").union(side("b", "a"))
+    others = doses.select(*by, F.col("a_dataset").alias("dataset"), F.col("b_dataset").alias("other"), F.col("a_dose_um").alias("dose_um"))
+    others = others.union(doses.select(*by, "b_dataset", "a_dataset", "b_dose_um")).distinct()
+    repeated = samples.groupBy("dataset", "obs_id").count().filter("count > 1").select("dataset", "obs_id")
+    once, many = samples, None
+    if not repeated.isEmpty():
+        once, many = samples.join(repeated, ["dataset", "obs_id"], "left_anti"), samples.join(repeated, ["dataset", "obs_id"], "left_semi")
+    keyed = ["dataset", "other", *by, "dose_um"]
+    columns = [*samples.columns, "other", "match_ids"]
+    # Sorted by dataset and other as they come out of the last join: a writer by those needs no sort of the long texts.
+    out = once.join(others, at).join(lists.withColumn("match_ids", F.array_join(order("ids"), ",")).drop("ids").hint("merge"), keyed).select(columns)
+    if many is None:
+        return out
+    texts = many.join(others, at).join(lists, keyed).groupBy("dataset", "other", "obs_id").agg(F.array_join(order(F.flatten(F.collect_list("ids"))), ",").alias("match_ids"))
+    return out.union(texts.join(many, ["dataset", "obs_id"]).select(columns))
+
+
+def write_match_samples(doses: DataFrame, samples: DataFrame, folder: str) -> str:
     """Matched samples with their match ids, a folder for each (dataset, other)."""
-    match_samples(edges).join(samples, ["dataset", "obs_id"]).write.mode("overwrite").partitionBy("dataset", "other").parquet(folder)
+    match_samples(doses, samples).write.mode("overwrite").partitionBy("dataset", "other").parquet(folder)
     return folder
 
 
-def filtered_export(samples: DataFrame, edges: DataFrame, control: Column) -> DataFrame:
-    """samples that an edge matches, and controls of a dataset, cell type and time that holds a matched one, with the reason why they stay."""
-    m = edges.select(F.col("a_row_pos").alias("row_pos")).union(edges.select("b_row_pos")).distinct()
+def filtered_export(samples: DataFrame, found: DataFrame, control: Column) -> DataFrame:
+    """samples whose row_pos is among the `found` ones, and controls of a dataset, cell type and time that holds such a one, with the reason why they stay."""
+    m = found.select("row_pos").distinct()
     matched = samples.join(m, "row_pos", "left_semi")
     contexts = matched.select("dataset", "cell_type", "time_h").distinct()
     controls = samples.filter(control).join(m, "row_pos", "left_anti").join(contexts, ["dataset", "cell_type", "time_h"], "left_semi")
     return matched.withColumn("reason", F.lit("matched")).unionByName(controls.withColumn("reason", F.lit("control")))
 
 
-def write_filtered(samples: DataFrame, edges: DataFrame, control: Column, folder: str) -> DataFrame:
+def write_filtered(samples: DataFrame, found: DataFrame, control: Column, folder: str) -> DataFrame:
     """filtered_export() written, a folder for each dataset; returns the numbers kept: dataset, reason, n."""
-    filtered_export(samples, edges, control).write.mode("overwrite").partitionBy("dataset").parquet(folder)
+    filtered_export(samples, found, control).write.mode("overwrite").partitionBy("dataset").parquet(folder)
     back = samples.sparkSession.read.parquet(folder)
     return back.groupBy("dataset", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 TOLERANCE = 1e-12
 
@@ -66,29 +70,122 @@ def axis_minima(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid
     return l.select(*by, "a_dataset", "a_dose_um", "a_row_pos").join(least, [*by, "a_dataset", "a_dose_um"]).select("a_dataset", "b_dataset", "a_row_pos", "least")
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h"), within: float = 1.0, ordered: str | None = None) -> DataFrame:
-    """Pairs of equal keys whose log10-dose difference is at most `within` and the least for both of them; all ties stay.
+def nearest_doses(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h"), within: float = 1.0, ordered: str | None = None) -> DataFrame:
+    """Pairs of doses of equal keys whose log10 difference is at most `within` and the least for both of them, all ties included: keys, a_dataset, b_dataset, a_dose_um, b_dose_um, dose_diff, n_pairs (of rows).
 
-    ordered: a column whose value must be smaller on the left, so that one self-join serves all dataset pairs.
+    ordered: a column whose value must be smaller on the left. A dose finds its nearest ones in the sorted doses of the other
+    dataset, so the work is that of a sort and not of all pairs of doses; a key's distinct doses are in one task.
     """
     by = list(keys)
+    given = [*by, "dataset", *([ordered] if ordered else [])]
+
+    def doses(rows: DataFrame, side: int) -> DataFrame:
+        kept = rows.filter((F.col("dose_um") > 0) & (F.col("dose_um") < float("inf"))).filter(" and ".join(f"`{c}` is not null" for c in given))
+        place = F.col(ordered) if ordered else F.lit(0)
+        return kept.groupBy(*by, "dataset", F.col("dose_um").cast("double").alias("dose"), place.alias("place"), F.lit(side).alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+    alone = left is right
+    both = doses(left, 0) if alone else doses(left, 0).union(doses(right, 1))
+    fields = [both.schema[c] for c in by] + [StructField(f"{x}_dataset", both.schema["dataset"].dataType) for x in "ab"]
+    fields += [StructField(c, DoubleType()) for c in ("a_dose_um", "b_dose_um", "dose_diff")] + [StructField("n_pairs", LongType())]
+    names = [f.name for f in fields]
+
+    def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(y, x)
+        return np.minimum(np.abs(x - y[np.maximum(i - 1, 0)]), np.abs(x - y[np.minimum(i, len(y) - 1)]))
+
+    def run(t: pa.Table) -> pa.Table:
+        # By side and dataset: the distinct doses, their logarithms, and the numbers of rows at each place.
+        sets: dict[tuple, list] = {}
+        for k, v in enumerate(zip(t["side"].to_pylist(), t["dataset"].to_pylist())):
+            sets.setdefault(v, []).append(k)
+        dose, log, n, place = (t[c].to_numpy() for c in ("dose", "log", "n", "place"))
+        sides: tuple[list, list] = ([], [])
+        for (side, name), rows in sets.items():
+            u, first, inverse = np.unique(dose[rows], return_index=True, return_inverse=True)
+            at: dict = {}
+            for k, p in enumerate(place[rows]):
+                at.setdefault(p, []).append(k)
+            places = {}
+            for p, ks in at.items():
+                i = inverse[ks]
+                order = np.argsort(i)
+                places[p] = (i[order], n[rows][ks][order])
+            sides[side].append((name, u, log[rows][first], places))
+        out: list[tuple] = []
+        for a, ua, xa, pa_ in sides[0]:
+            for b, ub, xb, pb_ in sides[0 if alone else 1]:
+                met = [(i, j) for p, i in pa_.items() for q, j in pb_.items() if not ordered or p < q]
+                la, lb = np.full(len(ua), np.inf), np.full(len(ub), np.inf)
+                for (i, _), (j, _) in met:
+                    la[i] = np.minimum(la[i], least(xa[i], xb[j]))
+                    lb[j] = np.minimum(lb[j], least(xb[j], xa[i]))
+                found = []
+                for (i, ni), (j, nj) in met:
+                    # What is as near as the nearest one lies at one end of this range: nothing else is in it.
+                    reach = np.where(la[i] <= within + TOLERANCE, la[i] + 2 * TOLERANCE, -1.0)
+                    low = np.searchsorted(xb[j], xa[i] - reach)
+                    size = np.maximum(np.searchsorted(xb[j], xa[i] + reach, "right") - low, 0)
+                    l = np.repeat(np.arange(len(i)), size)
+                    r = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+                    diff = np.abs(xa[i][l] - xb[j][r])
+                    ok = (diff <= within + TOLERANCE) & (np.abs(diff - la[i][l]) <= TOLERANCE) & (np.abs(diff - lb[j][r]) <= TOLERANCE)
+                    l, r = l[ok], r[ok]
+                    found.append((i[l] * len(ub) + j[r], diff[ok], ni[l] * nj[r]))
+                if not sum(len(f[0]) for f in found):
+                    continue
+                code, diff, total = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
+                if len(found) > 1:
+                    each, code, diff = total, *(x[np.unique(code, return_index=True)[1]] for x in (code, diff))
+                    total = np.zeros(len(code), np.int64)
+                    np.add.at(total, np.searchsorted(code, np.concatenate([f[0] for f in found])), each)
+                out.append((a, b, ua[code // len(ub)], ub[code % len(ub)], diff, total))
+        if not out:
+            return pa.table({f.name: pa.array([], x) for f, x in zip(fields, kinds)})
+        sizes = [len(x[2]) for x in out]
+        names_a, names_b = ([v for x, size in zip(out, sizes) for v in [x[k]] * size] for k in (0, 1))
+        own = t.select(by).slice(0, 1).take(np.zeros(sum(sizes), np.int64))
+        return pa.table([*own.columns, pa.array(names_a), pa.array(names_b), *(np.concatenate([x[k] for x in out]) for k in (2, 3, 4, 5))], names=names)
+
+    kinds = [x.type for x in to_arrow_schema(StructType(fields))]
+    return both.withColumn("log", F.log10("dose")).groupBy(*by).applyInArrow(run, StructType(fields))
+
+
+def matched_rows(doses: DataFrame, left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
+    """The pairs of rows of pairs of doses (see nearest_doses): keys, a_ and b_ columns, dose_diff. They are made in the last join and not shuffled."""
+    by = list(keys)
     l, r = renamed(left, "a_", keys), renamed(right, "b_", keys)
-    # Distinct doses meet first: repeated samples of a compound (controls) don't multiply before a pair of doses is known to match.
-    doses = lambda rows, side: rows.filter(f"{side}_dose_um > 0").select(*by, f"{side}_dataset", f"{side}_dose_um", *([f"{side}_{ordered}"] if ordered and ordered != "dataset" else [])).distinct()
-    met = doses(l, "a").join(doses(r, "b"), by)
-    if ordered:
-        met = met.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}"))
-    met = met.withColumn("dose_diff", F.abs(F.log10("a_dose_um") - F.log10("b_dose_um")))
-    own = lambda side: F.min("dose_diff").over(Window.partitionBy(*by, "a_dataset", "b_dataset", f"{side}_dose_um"))
-    near = lambda m: F.abs(F.col("dose_diff") - F.col(m)) <= TOLERANCE
-    kept = met.withColumn("least_a", own("a")).withColumn("least_b", own("b")).filter((F.col("dose_diff") <= within + TOLERANCE) & near("least_a") & near("least_b"))
-    kept = kept.select(*by, "a_dataset", "b_dataset", "a_dose_um", "b_dose_um", "dose_diff").distinct()
-    out = kept.join(l, [*by, "a_dataset", "a_dose_um"]).join(r, [*by, "b_dataset", "b_dose_um"])
-    if ordered and ordered != "dataset":
-        out = out.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}"))
+    out = doses.drop("n_pairs").join(l, [*by, "a_dataset", "a_dose_um"]).join(r, [*by, "b_dataset", "b_dose_um"])
     return out.select(*by, *[c for c in l.columns if c not in by], *[c for c in r.columns if c not in by], "dose_diff")
 
 
+def mutual_nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h"), within: float = 1.0, ordered: str | None = None) -> DataFrame:
+    """Pairs of equal keys whose log10-dose difference is at most `within` and the least for both of them; all ties stay.
+
+    ordered: a column whose value must be smaller on the left, so that one self-join serves all dataset pairs.
+    """
+    out = matched_rows(nearest_doses(left, right, keys, within, ordered), left, right, keys)
+    return out.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}")) if ordered and ordered != "dataset" else out
+
+
+def dose_edges(samples: DataFrame, within: float = 1.0, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
+    """pair_edges() as pairs of doses with the number of edges (n_pairs) of each."""
+    return nearest_doses(samples, samples, keys, within, "dataset")
+
+
+def matched_samples(doses: DataFrame, samples: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
+    """The samples that a pair of doses matches, each once."""
+    side = lambda x: doses.select(*keys, F.col(f"{x}_dataset").alias("dataset"), F.col(f"{x}_dose_um").alias("dose_um"))
+    return samples.join(side("a").union(side("b")).distinct(), [*keys, "dataset", "dose_um"], "left_semi")
+
+
+def side_counts(doses: DataFrame, samples: DataFrame, side: str, name: str, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
+    """a_dataset, b_dataset and the number of distinct row_pos on one side (a or b) of their edges."""
+    own = doses.select(*keys, "a_dataset", "b_dataset", f"{side}_dose_um").distinct()
+    rows = samples.select(*keys, F.col("dataset").alias(f"{side}_dataset"), F.col("dose_um").alias(f"{side}_dose_um"), "row_pos")
+    return own.join(rows, [*keys, f"{side}_dataset", f"{side}_dose_um"]).groupBy("a_dataset", "b_dataset").agg(F.countDistinct("row_pos").alias(name))
+
+
 def pair_edges(samples: DataFrame, within: float = 1.0, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
     """Mutual-nearest pairs between every two datasets, the smaller dataset name first, in one job."""
     return mutual_nearest(samples, samples, keys, within, "dataset")
@@ -114,6 +211,19 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
+def dose_pair_counts(doses: DataFrame, samples: DataFrame) -> DataFrame:
+    """pair_counts() from pairs of doses (see dose_edges) and the samples: edges are counted without being made."""
+    condition = F.concat_ws("|", "cell_type", "cid", F.col("time_h").cast("string"))
+    counts = doses.groupBy("a_dataset", "b_dataset").agg(
+        F.sum("n_pairs").alias("n_pairs"),
+        F.countDistinct("cid").alias("n_compounds"),
+        F.countDistinct("cell_type").alias("n_contexts"),
+        F.countDistinct(condition).alias("n_conditions"),
+    )
+    both = ["a_dataset", "b_dataset"]
+    return counts.join(side_counts(doses, samples, "a", "n_left"), both).join(side_counts(doses, samples, "b", "n_right"), both)
+
+
 def lookup(requests: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """row_pos of each request by the first key column that finds one, the smallest row_pos of a repeated key; `missing` is true where none does."""
     out = requests

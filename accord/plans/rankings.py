@@ -8,7 +8,7 @@ from accord.functions import vectors as V
 from accord.operators import baseline, bootstrap, datasets, matching, pools, replicate, retrieval, summaries
 from accord.plans import fragments as S
 from accord.plans.fragments import WITH_EVENTS, WITH_SIGNATURES, truth_sql
-from accord.plans.joins import EDGES, edges
+from accord.plans.joins import EDGES, doses
 from accord.plans.metrics import KEYS, LOO, _pair_record, rank_correlation
 from accord.plans.registry import query, r, rounded
 from accord.sources.views import event_samples, read, signatures
@@ -292,7 +292,7 @@ def _(s, d):
 
 @query("agg6_matched_counts", f"{EDGES} SELECT a_dataset, b_dataset, cell_type, count(*) AS n_pairs, count(DISTINCT cid) AS n_compounds, count(DISTINCT (cid, time_h)) AS n_conditions FROM edges GROUP BY ALL")
 def _(s, d):
-    return edges(s, d).groupBy("a_dataset", "b_dataset", "cell_type").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("cid").alias("n_compounds"), F.countDistinct("cid", "time_h").alias("n_conditions"))
+    return doses(s, d).groupBy("a_dataset", "b_dataset", "cell_type").agg(F.sum("n_pairs").alias("n_pairs"), F.countDistinct("cid").alias("n_compounds"), F.countDistinct("cid", "time_h").alias("n_conditions"))
 
 
 @query("agg7_grouped_spearman", f"WITH k AS (SELECT l_returnflag AS g, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2.0 AS y FROM lineitem) SELECT g AS l_returnflag, count(*) AS n_rows, {r('corr(x, y)', 'spearman')} FROM k GROUP BY ALL")
@@ -342,7 +342,7 @@ def _(s, d):
 
 @query("agg16_pairwise_matrix", f"{EDGES} SELECT name, CAST(sum(n) FILTER (other = 'click') AS BIGINT) AS click, CAST(sum(n) FILTER (other = 'view') AS BIGINT) AS view FROM (SELECT a_dataset AS name, b_dataset AS other, count(DISTINCT cid) AS n FROM edges GROUP BY ALL UNION ALL SELECT b_dataset, a_dataset, count(DISTINCT cid) FROM edges GROUP BY ALL) GROUP BY ALL")
 def _(s, d):
-    n = edges(s, d).groupBy("a_dataset", "b_dataset").agg(F.countDistinct("cid").alias("n"))
+    n = doses(s, d).groupBy("a_dataset", "b_dataset").agg(F.countDistinct("cid").alias("n"))
     return summaries.pair_matrix(n, "a_dataset", "b_dataset", "n", ["click", "view"])
 
 

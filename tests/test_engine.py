@@ -325,3 +325,34 @@ def test_missing_layers_and_tasks_are_reported(spark):
         datasets.merged_outputs(rows, [rows.filter("row_pos = 1")], ["row_pos"], strict=True)
     names = spark.createDataFrame([("a/HEPG2_2_de.h5ad",), ("a/HEPG2_1.h5ad",), ("a/MCF7.h5ad",)], "path string")
     assert {r.stem: r.file for r in datasets.first_files(names).collect()} == {"HEPG2": "a/HEPG2_1.h5ad", "MCF7": "a/MCF7.h5ad"}
+
+
+def test_dose_edges_equal_all_pairs_and_count_edges(spark):
+    """Against all pairs of rows: repeated doses, ties on both sides, doses closer than the tolerance, a null and a zero dose."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    doses = [0.0, None, 0.1, 1.0, 1.0 + 2e-13, 10.0, 10.0, 3.0, 0.3, 1e4, float("nan")]
+    rows = [(k, f"o{k}", rng.choice("xyz"), rng.choice(["c0", "c1"]), rng.choice(["7", None]), 6.0, rng.choice(doses)) for k in range(90)]
+    df = spark.createDataFrame(rows, "row_pos long, obs_id string, dataset string, cell_type string, cid string, time_h double, dose_um double")
+    pairs = [(a, b, abs(math.log10(a[6]) - math.log10(b[6]))) for a in rows for b in rows if a[2] < b[2] and a[3] == b[3] and a[4] == b[4] == "7" and (a[6] or 0) > 0 and (b[6] or 0) > 0]
+    least = {}
+    for a, b, d in pairs:
+        for k in ((a[0], b[2]), (b[0], a[2])):
+            least[k] = min(d, least.get(k, math.inf))
+    want = sorted((a[0], b[0]) for a, b, d in pairs if d <= 1 + 1e-12 and all(abs(d - least[k]) <= 1e-12 for k in ((a[0], b[2]), (b[0], a[2]))))
+    assert want and sorted((r.a_row_pos, r.b_row_pos) for r in matching.pair_edges(df).collect()) == want
+    got = {(r.a_dataset, r.b_dataset): (r.n_pairs, r.n_left, r.n_right) for r in matching.dose_pair_counts(matching.dose_edges(df), df).collect()}
+    name = {r[0]: r[2] for r in rows}
+    assert got == {p: (len(e), len({a for a, _ in e}), len({b for _, b in e})) for p in {(name[a], name[b]) for a, b in want} for e in [[(a, b) for a, b in want if (name[a], name[b]) == p]]}
+
+
+def test_match_samples_join_repeated_ids(spark):
+    """Samples of one dose share a text; an obs_id that repeats in a dataset has the matches of all its rows."""
+    from accord.operators import datasets
+
+    rows = [(0, "a", "x", 1.0), (1, "a", "x", 10.0), (2, "b", "x", 1.0), (3, "p", "y", 1.0), (4, "q", "y", 10.0)]
+    df = spark.createDataFrame([(k, o, d, "c", "7", 6.0, v) for k, o, d, v in rows], "row_pos long, obs_id string, dataset string, cell_type string, cid string, time_h double, dose_um double")
+    got = {(r.dataset, r.other, r.obs_id, r.match_ids) for r in datasets.match_samples(matching.dose_edges(df), df).collect()}
+    assert got == {("x", "y", "a", "p,q"), ("x", "y", "b", "p"), ("y", "x", "p", "a,b"), ("y", "x", "q", "a")}
