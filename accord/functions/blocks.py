@@ -53,6 +53,23 @@ def scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(square / q.shape[1]) if metric == "mrrmse" else -np.sqrt(square)
 
 
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of all pairs of rows, added up component by component as in SQL: equal vectors have equal scores in whatever blocks they come, which a matrix product doesn't promise. -inf where undefined."""
+    with np.errstate(all="ignore"):
+        out, part = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
+        a, b = np.zeros(len(x)), np.zeros(len(y))
+        for u, v in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
+            np.multiply(u[:, None], v[None, :], out=part)
+            out += part
+            a += u * u
+            b += v * v
+        a, b = np.sqrt(a), np.sqrt(b)
+        np.multiply(a[:, None], b[None, :], out=part)
+        out /= part
+        out[(part <= GUARD) | (a <= GUARD)[:, None]] = -np.inf
+    return out
+
+
 def pair_scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     """Scores of the rows of q with the same rows of d."""
     if metric in ("cosine", "pearson", "spearman"):

@@ -67,10 +67,9 @@ def _(s, d):
 
 @query("joi7_all_pairs", f"{WITH_SIGNATURES}, x AS (SELECT q.cell_type, {S.cosine('q.lfc', 'd.lfc')} AS s FROM signatures q JOIN signatures d ON q.dataset = 'ds_a' AND d.dataset = 'ds_b' AND q.cell_type = d.cell_type) SELECT cell_type, count(s) AS n, {r('avg(s)', 'mean_score')}, {r('max(s)', 'best')} FROM x GROUP BY ALL")
 def _(s, d):
-    g = signatures(s, d).select("dataset", "cell_type", "lfc")
-    q, c = g.filter("dataset = 'ds_a'").select("cell_type", F.col("lfc").alias("x")), g.filter("dataset = 'ds_b'").select("cell_type", F.col("lfc").alias("y"))
-    rows = q.join(c, "cell_type").select("cell_type", V.cosine(F.col("x"), F.col("y")).alias("s"))
-    return rounded(rows.groupBy("cell_type").agg(F.count("s").alias("n"), F.avg("s").alias("mean_score"), F.max("s").alias("best")), "mean_score", "best")
+    g = signatures(s, d).select("dataset", "cell_type", F.col("row_pos").alias("id"), F.col("lfc").alias("vec"))
+    q, c = g.filter("dataset = 'ds_a'").drop("dataset"), g.filter("dataset = 'ds_b'").drop("dataset")
+    return rounded(retrieval.score_summary(q, c, ("cell_type",)), "mean_score", "best")
 
 
 @query("rnk2_rank_normalisation", f"{rank_sql('mrrmse')} SELECT q_row, db_dataset, rank, {r('rank_over_n', 'rank_over_n')}, {r('rank_normalized', 'rank_normalized')} FROM detail")

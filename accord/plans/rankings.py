@@ -90,19 +90,29 @@ def pool(s, d):
     return q.join(c, ["cell_type", "time_h"]).select(F.col("q_row_pos").alias("query_id"), F.col("d_row_pos").alias("candidate_id"), "cell_type", "time_h", F.col("q_cid").alias("cid"), V.cosine(F.col("q_lfc"), F.col("d_lfc")).alias("score"), (F.col("q_cid") == F.col("d_cid")).alias("is_positive"), F.col("q_dose_um").alias("qd"), F.col("d_dose_um").alias("dd"))
 
 
+def pool_sides(s, d):
+    """Queries and candidates of pool()."""
+    sig = signatures(s, d).select("row_pos", "dataset", "cell_type", "time_h", "cid", F.col("lfc").alias("vec"))
+    return sig.filter("dataset = 'ds_a'").withColumnRenamed("row_pos", "query_id").drop("dataset"), sig.filter("dataset = 'ds_b'").withColumnRenamed("row_pos", "candidate_id").drop("dataset")
+
+
+def records(s, d):
+    return retrieval.pool_records(*pool_sides(s, d), ("cell_type", "time_h"))
+
+
 @query("rnk3_best_positive_rank", f"{POOL}, {BEST} SELECT query_id, n_pool, n_positive, best_rank, {r('CASE WHEN n_pool >= 2 THEN 1 - (best_rank - 1) / CAST(n_pool - 1 AS DOUBLE) END', 'normalized_rank')} FROM best")
 def _(s, d):
-    return rounded(retrieval.best_positive_rank(pool(s, d), ["query_id"]).drop("recall_at_1"), "normalized_rank")
+    return rounded(records(s, d).select("query_id", "n_pool", "n_positive", "best_rank", "normalized_rank"), "normalized_rank")
 
 
 @query("rnk4_recall_at_1", f"{POOL}, {BEST} SELECT query_id, CASE WHEN best_rank IS NOT NULL THEN CAST(best_rank = 1 AS DOUBLE) END AS recall_at_1 FROM best")
 def _(s, d):
-    return retrieval.best_positive_rank(pool(s, d), ["query_id"]).select("query_id", "recall_at_1")
+    return records(s, d).select("query_id", "recall_at_1")
 
 
 @query("rnk5_auroc", f"{POOL}, {AUC} SELECT query_id, {r('auroc', 'auroc')} FROM auc")
 def _(s, d):
-    return rounded(retrieval.auroc(pool(s, d), ["query_id"]), "auroc")
+    return rounded(records(s, d).filter("auroc is not null").select("query_id", "auroc"), "auroc")
 
 
 RNK6 = f"{POOL}, {BEST}, {AUC}, rec AS (SELECT query_id, n_pool, n_positive, CASE WHEN ok THEN 1 - (best_rank - 1) / CAST(n_pool - 1 AS DOUBLE) END AS normalized_rank, CASE WHEN ok THEN CAST(best_rank = 1 AS DOUBLE) END AS recall_at_1, CASE WHEN ok THEN auroc END AS auroc FROM (SELECT *, n_positive > 0 AND n_positive < n_pool AS ok FROM best) LEFT JOIN auc USING (query_id))"
@@ -110,7 +120,8 @@ RNK6 = f"{POOL}, {BEST}, {AUC}, rec AS (SELECT query_id, n_pool, n_positive, CAS
 
 @query("rnk6_retrieval_record", f"{RNK6} SELECT query_id, n_pool, n_positive, {r('normalized_rank', 'normalized_rank')}, recall_at_1, {r('auroc', 'auroc')} FROM rec")
 def _(s, d):
-    return rounded(retrieval.summarized(pool(s, d), ["query_id"]), "normalized_rank", "auroc")
+    rec = retrieval.pool_summaries(records(s, d)).select("query_id", "n_pool", "n_positive", "normalized_rank", "recall_at_1", "auroc")
+    return rounded(rec, "normalized_rank", "auroc")
 
 
 @query("rnk7_dose_aware_positives", f"{POOL}, x AS (SELECT query_id, candidate_id, abs(log10(dd) - log10(qd)) AS diff, min(abs(log10(dd) - log10(qd))) OVER (PARTITION BY query_id) AS least FROM pool WHERE is_positive) SELECT query_id, candidate_id FROM x WHERE diff <= 1 + 1e-12 OR (least > 1 + 1e-12 AND abs(diff - least) <= 1e-12)")
@@ -124,14 +135,23 @@ BASE = f"{LOO}, pool AS (SELECT q.row_pos AS query_id, q.cell_type, q.time_h, {S
 
 @query("rnk8_injected_baseline", f"{BASE} SELECT query_id, count(*) FILTER (score > base) + 1 AS rank, count(*) + 1 AS n_pool, {r('1 - count(*) FILTER (score > base) / CAST(count(*) AS DOUBLE)', 'normalized_rank')} FROM pool GROUP BY ALL")
 def _(s, d):
-    return rounded(retrieval.injected_rank(_with_base(s, d), ["query_id"], F.col("base")), "normalized_rank")
+    q, c = pool_sides(s, d)
+    # A candidate is never above an undefined baseline; NaN is above all.
+    mark = F.when(F.col("base").isNull() | F.isnan("base"), float("inf")).otherwise(F.col("base"))
+    marks = q.select("cell_type", "time_h", "query_id").join(_own_base(s, d), "query_id").withColumn("marks", F.array(mark)).drop("base")
+    counts = retrieval.pool_counts(q.join(marks.select("query_id"), "query_id", "left_semi"), c, ("cell_type", "time_h"), marks)
+    rank, n = F.col("n_better") + 1, F.col("n_pool") + 1
+    return rounded(counts.select("query_id", rank.alias("rank"), n.alias("n_pool"), (1 - (rank - 1) / (n - 1)).alias("normalized_rank")), "normalized_rank")
 
 
-def _with_base(s, d):
+def _own_base(s, d):
     sig = signatures(s, d)
     base = baseline.baselines(sig, "lfc", KEYS).select(*KEYS, "cid", "baseline")
-    own = sig.filter("dataset = 'ds_a'").join(base, [*KEYS, "cid"]).select(F.col("row_pos").alias("query_id"), V.cosine(F.col("lfc"), F.col("baseline")).alias("base"))
-    return pool(s, d).join(own, "query_id")
+    return sig.filter("dataset = 'ds_a'").join(base, [*KEYS, "cid"]).select(F.col("row_pos").alias("query_id"), V.cosine(F.col("lfc"), F.col("baseline")).alias("base"))
+
+
+def _with_base(s, d):
+    return pool(s, d).join(_own_base(s, d), "query_id")
 
 
 @query("bas3_in_pool_baseline", f"{BASE} SELECT query_id, {r('max(base)', 'base')} FROM pool GROUP BY ALL")
@@ -141,7 +161,7 @@ def _(s, d):
 
 @query("rnk9_random_reference", f"{POOL}, {BEST} SELECT query_id, {r('n_positive / CAST(n_pool AS DOUBLE)', 'recall_random')}, CAST(0.5 AS DOUBLE) AS rank_random, CAST(0.5 AS DOUBLE) AS auroc_random FROM best")
 def _(s, d):
-    b = retrieval.best_positive_rank(pool(s, d), ["query_id"])
+    b = records(s, d)
     return rounded(pools.random_reference(b).select("query_id", "recall_random", "rank_random", "auroc_random"), "recall_random")
 
 
@@ -178,8 +198,7 @@ def _(s, d):
 
 @query("agg2_nested_means", f"{RNK6}, j AS (SELECT rec.*, cell_type, time_h FROM rec JOIN (SELECT DISTINCT query_id, cell_type, time_h FROM pool) USING (query_id)), st AS (SELECT cell_type, time_h, avg(normalized_rank) AS x, count(*) AS n FROM j GROUP BY ALL), ln AS (SELECT cell_type, avg(x) AS x, sum(n) AS n FROM st GROUP BY ALL) SELECT 'all' AS level, CAST(sum(n) AS BIGINT) AS n, {r('avg(x)', 'normalized_rank')} FROM ln UNION ALL SELECT cell_type, CAST(n AS BIGINT), round(x, 6) + 0.0 FROM ln")
 def _(s, d):
-    p = pool(s, d)
-    rec = retrieval.summarized(p, ["query_id", "cell_type", "time_h"])
+    rec = retrieval.pool_summaries(records(s, d))
     _, line, top = summaries.nested_means(rec, [["cell_type", "time_h"], ["cell_type"], []], ["normalized_rank"])
     out = line.select(F.col("cell_type").alias("level"), "n", "normalized_rank").unionByName(top.select(F.lit("all").alias("level"), "n", "normalized_rank"))
     return rounded(out, "normalized_rank")
@@ -215,13 +234,11 @@ SELECT dataset, cell_type, cid, time_h, count(*) AS n_queries, {r('avg(x)', 'nor
 def _(s, d):
     sig = signatures(s, d)
     ring = replicate.ring_pairs(sig, CONDITION)
-    q = ring.select("dataset", "cell_type", "time_h", F.col("left_row").alias("query_id"), F.col("cid"))
-    c = ring.select("dataset", "cell_type", "time_h", F.col("right_row").alias("candidate_id"), F.col("cid").alias("cc"))
-    both = q.join(c, ["dataset", "cell_type", "time_h"]).filter("query_id <> candidate_id").distinct()
-    vec = sig.select("row_pos", "lfc")
-    rows = both.join(vec.select(F.col("row_pos").alias("query_id"), F.col("lfc").alias("x")), "query_id").join(vec.select(F.col("row_pos").alias("candidate_id"), F.col("lfc").alias("y")), "candidate_id")
-    scored = rows.select("dataset", "cell_type", "time_h", "cid", "query_id", V.cosine(F.col("x"), F.col("y")).alias("score"), (F.col("cid") == F.col("cc")).alias("is_positive"))
-    best = retrieval.best_positive_rank(scored, ["dataset", "cell_type", "time_h", "cid", "query_id"]).filter("normalized_rank is not null")
+    place = ("dataset", "cell_type", "time_h")
+    vec = sig.select("row_pos", F.col("lfc").alias("vec"))
+    q = ring.select(*place, F.col("left_row").alias("row_pos"), "cid").distinct().join(vec, "row_pos").withColumnRenamed("row_pos", "query_id")
+    c = ring.select(*place, F.col("right_row").alias("row_pos"), "cid").distinct().join(vec, "row_pos").withColumnRenamed("row_pos", "candidate_id")
+    best = retrieval.pool_records(q, c, place, apart=True).filter("normalized_rank is not null")
     return rounded(best.groupBy("dataset", "cell_type", "cid", "time_h").agg(F.count(F.lit(1)).alias("n_queries"), F.avg("normalized_rank").alias("normalized_rank")), "normalized_rank")
 
 
@@ -255,14 +272,14 @@ def _(s, d):
 
 @query("agg11_retrieval_summary", f"{RNK6}, j AS (SELECT rec.*, cell_type, time_h FROM rec JOIN (SELECT DISTINCT query_id, cell_type, time_h FROM pool) USING (query_id)), st AS (SELECT cell_type, time_h, avg(auroc) AS x FROM j GROUP BY ALL) SELECT cell_type, {r('avg(x)', 'auroc')} FROM st GROUP BY ALL")
 def _(s, d):
-    rec = retrieval.summarized(pool(s, d), ["query_id", "cell_type", "time_h"])
+    rec = retrieval.pool_summaries(records(s, d))
     line = summaries.nested_means(rec, [["cell_type", "time_h"], ["cell_type"]], ["auroc"])[1]
     return rounded(line.select("cell_type", "auroc"), "auroc")
 
 
 @query("agg12_condition_retrieval_means", f"{RNK6}, j AS (SELECT rec.*, cell_type, cid FROM rec JOIN (SELECT DISTINCT query_id, cell_type, cid FROM pool) USING (query_id)) SELECT cell_type, cid, count(*) AS n, count(normalized_rank) AS n_defined, max(n_pool) AS largest_pool, {r('avg(normalized_rank)', 'normalized_rank')} FROM j GROUP BY ALL")
 def _(s, d):
-    rec = retrieval.summarized(pool(s, d), ["query_id", "cell_type", "cid"])
+    rec = retrieval.pool_summaries(records(s, d))
     return rounded(rec.groupBy("cell_type", "cid").agg(F.count(F.lit(1)).alias("n"), F.count("normalized_rank").alias("n_defined"), F.max("n_pool").alias("largest_pool"), F.avg("normalized_rank").alias("normalized_rank")), "normalized_rank")
 
 

@@ -356,3 +356,27 @@ def test_match_samples_join_repeated_ids(spark):
     df = spark.createDataFrame([(k, o, d, "c", "7", 6.0, v) for k, o, d, v in rows], "row_pos long, obs_id string, dataset string, cell_type string, cid string, time_h double, dose_um double")
     got = {(r.dataset, r.other, r.obs_id, r.match_ids) for r in datasets.match_samples(matching.dose_edges(df), df).collect()}
     assert got == {("x", "y", "a", "p,q"), ("x", "y", "b", "p"), ("y", "x", "p", "a,b"), ("y", "x", "q", "a")}
+
+
+def test_pool_records_equal_those_of_scored_rows(spark, monkeypatch):
+    """Blocks smaller than the pools; copies of vectors, ties, an undefined vector and one query without a positive."""
+    import random
+
+    from accord.functions import vectors as V
+
+    rng = random.Random(5)
+    vectors = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(12)] + [[0.0] * 5]
+    rows = lambda n, cids: [(k, rng.choice("ab"), rng.choice(cids), vectors[rng.randrange(13 if k % 9 == 0 else 12)]) for k in range(n)]
+    q = spark.createDataFrame(rows(31, "123"), "query_id long, place string, cid string, vec array<double>")
+    c = spark.createDataFrame(rows(47, "12"), "candidate_id long, place string, cid string, vec array<double>")
+    monkeypatch.setattr(retrieval._met, "__defaults__", (4, 7, None))
+    for apart in (False, True):
+        pool = q.alias("q").join(c.alias("c"), "place").select("query_id", "candidate_id", V.cosine(F.col("q.vec"), F.col("c.vec")).alias("score"), (F.col("q.cid") == F.col("c.cid")).alias("is_positive"))
+        pool = pool.filter("query_id <> candidate_id") if apart else pool
+        near = lambda rows, names: {r.query_id: tuple(round(v, 9) if isinstance(v, float) else v for v in (r[n] for n in names)) for r in rows}
+        records = retrieval.pool_records(q, c, ("place",), apart).cache()
+        names = ["n_pool", "n_positive", "best_rank", "normalized_rank", "recall_at_1"]
+        assert near(records.collect(), names) == near(retrieval.best_positive_rank(pool, ["query_id"]).collect(), names)
+        assert near(records.filter("auroc is not null").collect(), ["auroc"]) == near(retrieval.auroc(pool, ["query_id"]).collect(), ["auroc"])
+        names = ["n_pool", "n_positive", "normalized_rank", "recall_at_1", "auroc"]
+        assert near(retrieval.pool_summaries(records).collect(), names) == near(retrieval.summarized(pool, ["query_id"]).collect(), names)
