@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +14,19 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 TOLERANCE = 1e-12
 
 
-def dose_distance(query: Column, other: Column) -> Column:
+def _logarithms(x: pa.Array) -> pa.Array:
+    return pa.array([math.log(v) if v is not None and v > 0 else v if v is not None and v != v else None for v in x.to_pylist()], pa.float64())
+
+
+def logarithm(x: Column) -> Column:
+    """Natural logarithm by the C library, null where it isn't positive. Java's differs in the last bit of some values, which settles otherwise which of two doses at equal distance is the nearer."""
+    return F.arrow_udf(_logarithms, DoubleType())(x.cast("double"))
+
+
+def dose_distance(query: Column, other: Column, log_query: Column, log_other: Column) -> Column:
     """Absolute difference of logarithms where both doses are positive, else of the doses."""
     both = (query > 0) & (other > 0)
-    logs = F.abs(F.ln(F.when(other > 0, other)) - F.ln(F.when(query > 0, query)))
-    return F.when(both, logs).otherwise(F.abs(other - query))
+    return F.when(both, F.abs(log_other - log_query)).otherwise(F.abs(other - query))
 
 
 def renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -31,15 +41,15 @@ def nearest_match(queries: DataFrame, database: DataFrame, keys: tuple[str, ...]
     of rows is never kept beyond the task that makes it.
     """
     by = list(keys)
-    q, d = renamed(queries, "q_", keys), renamed(database, "db_", keys)
+    q, d = renamed(queries, "q_", keys).withColumn("q_log", logarithm(F.col("q_dose_um"))), renamed(database, "db_", keys).withColumn("db_log", logarithm(F.col("db_dose_um")))
     met = q.join(d.select(*by, "db_dataset", "db_time_h").distinct(), by)
     if not same_dataset:
         met = met.filter("q_dataset <> db_dataset")
     dt = F.abs(F.col("q_time_h") - F.col("db_time_h"))
     least = F.min("dt").over(Window.partitionBy("q_dataset", "q_row_pos", "db_dataset"))
-    nearest = met.withColumn("dt", dt).withColumn("least", least).filter("dt = least").select(*by, "q_dataset", "q_row_pos", "q_dose_um", "db_dataset", "db_time_h", "dt")
-    pairs = nearest.join(d.select(*by, "db_dataset", "db_time_h", "db_row_pos", "db_dose_um"), [*by, "db_dataset", "db_time_h"])
-    best = F.min(F.struct(dose_distance(F.col("q_dose_um"), F.col("db_dose_um")).alias("dd"), F.col("db_row_pos").alias("db_row_pos")))
+    nearest = met.withColumn("dt", dt).withColumn("least", least).filter("dt = least").select(*by, "q_dataset", "q_row_pos", "q_dose_um", "q_log", "db_dataset", "db_time_h", "dt")
+    pairs = nearest.join(d.select(*by, "db_dataset", "db_time_h", "db_row_pos", "db_dose_um", "db_log"), [*by, "db_dataset", "db_time_h"])
+    best = F.min(F.struct(dose_distance(F.col("q_dose_um"), F.col("db_dose_um"), F.col("q_log"), F.col("db_log")).alias("dd"), F.col("db_row_pos").alias("db_row_pos")))
     out = pairs.groupBy(*by, "q_dataset", "q_row_pos", "db_dataset", "dt").agg(best.alias("b"))
     return out.select(*by, "q_dataset", "q_row_pos", "db_dataset", F.col("b.db_row_pos").alias("db_row_pos"), F.col("dt").alias("time_diff"), F.col("b.dd").alias("dose_diff"))
 
@@ -50,14 +60,14 @@ def candidates_per_compound(queries: DataFrame, database: DataFrame, context: tu
     Queries meet distinct (compound, time) pairs, then the distinct doses at the nearest time; rows of one dose are one, the first.
     """
     by = list(context)
-    q = queries.select(*by, *[F.col(c).alias(f"q_{c}") for c in ("dataset", "row_pos", "time_h", "dose_um")])
-    d = database.groupBy(*by, *[F.col(c).alias(f"db_{c}") for c in ("dataset", "cid", "time_h", "dose_um")]).agg(F.min("row_pos").alias("db_row_pos"))
+    q = queries.select(*by, *[F.col(c).alias(f"q_{c}") for c in ("dataset", "row_pos", "time_h", "dose_um")]).withColumn("q_log", logarithm(F.col("q_dose_um")))
+    d = database.groupBy(*by, *[F.col(c).alias(f"db_{c}") for c in ("dataset", "cid", "time_h", "dose_um")]).agg(F.min("row_pos").alias("db_row_pos")).withColumn("db_log", logarithm(F.col("db_dose_um")))
     times = d.groupBy(*by, "db_dataset", "db_cid").agg(F.collect_set("db_time_h").alias("times"))
     met = q.join(times, by).filter("q_dataset <> db_dataset")
     least = F.array_min(F.transform("times", lambda t: F.abs(t - F.col("q_time_h"))))
     near = met.withColumn("least", least).withColumn("db_time_h", F.explode(F.filter("times", lambda t: F.abs(t - F.col("q_time_h")) == F.col("least")))).drop("times")
     pairs = near.join(d, [*by, "db_dataset", "db_cid", "db_time_h"])
-    best = F.min(F.struct(dose_distance(F.col("q_dose_um"), F.col("db_dose_um")).alias("dd"), F.col("db_row_pos").alias("r")))
+    best = F.min(F.struct(dose_distance(F.col("q_dose_um"), F.col("db_dose_um"), F.col("q_log"), F.col("db_log")).alias("dd"), F.col("db_row_pos").alias("r")))
     return pairs.groupBy("q_row_pos", "db_dataset", "db_cid").agg(best.alias("b")).select("q_row_pos", "db_dataset", "db_cid", F.col("b.r").alias("db_row_pos"))
 
 

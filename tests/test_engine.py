@@ -380,3 +380,19 @@ def test_pool_records_equal_those_of_scored_rows(spark, monkeypatch):
         assert near(records.filter("auroc is not null").collect(), ["auroc"]) == near(retrieval.auroc(pool, ["query_id"]).collect(), ["auroc"])
         names = ["n_pool", "n_positive", "normalized_rank", "recall_at_1", "auroc"]
         assert near(retrieval.pool_summaries(records).collect(), names) == near(retrieval.summarized(pool, ["query_id"]).collect(), names)
+
+
+def test_nearest_match_settles_equal_distances_as_sql(spark):
+    """A dose between two others at the same distance on the logarithmic scale, where the last bit decides."""
+    import duckdb
+
+    ties = [(a, q, q * q // a) for q in range(2, 1500) for a in range(max(1, q - 60), q) if q * q % a == 0]
+    cases = [(n, str(n), ds, 6.0, v / 100, k) for n, (a, q, b) in enumerate(ties) for k, (ds, v) in enumerate((("x", q), ("y", a), ("y", b)))]
+    rows = [(3 * n + k, ds, "c", cid, t, dose) for n, cid, ds, t, dose, k in cases]
+    df = spark.createDataFrame(rows, "row_pos long, dataset string, cell_type string, cid string, time_h double, dose_um double")
+    got = {r.q_row_pos: r.db_row_pos for r in matching.nearest_match(df.filter("dataset = 'x'"), df).collect()}
+    con = duckdb.connect()
+    log = lambda v: con.execute("SELECT ln(?::DOUBLE)", [v / 100]).fetchone()[0]
+    for n, (a, q, b) in enumerate(ties):
+        x, y, z = log(a), log(q), log(b)
+        assert got[3 * n] == 3 * n + (1 if abs(x - y) <= abs(z - y) else 2), (a, q, b)
