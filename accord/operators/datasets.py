@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accord.functions import keys as K
+from accord.operators.checkpoints import checkpointed
 from accord.operators.tables import first_by, global_row_number
 
 CONDITION = ("dataset", "cell_type", "cid", "time_h")
@@ -148,7 +149,7 @@ def write_match_samples(doses: DataFrame, samples: DataFrame, folder: str) -> st
 
 def filtered_export(samples: DataFrame, found: DataFrame, control: Column) -> DataFrame:
     """samples whose row_pos is among the `found` ones, and controls of a dataset, cell type and time that holds such a one, with the reason why they stay."""
-    m = found.select("row_pos").distinct()
+    m = checkpointed(found.select("row_pos").distinct())  # it is met three times
     matched = samples.join(m, "row_pos", "left_semi")
     contexts = matched.select("dataset", "cell_type", "time_h").distinct()
     controls = samples.filter(control).join(m, "row_pos", "left_anti").join(contexts, ["dataset", "cell_type", "time_h"], "left_semi")
