@@ -1,6 +1,7 @@
 """A training-data pipeline over `documents`: toxic documents go, near copies go, personal data are rewritten, sources are mixed to target weights, and the mix is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
+Before a stage, executors give back the memory that the one before has left them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without words (null, empty, blank) are linked with none and stay; rows without a doc_id stay; of rows that repeat
     a doc_id one stays. An empty table stays empty; other columns are carried along.
     """
+    common.rested(spark)
     return near_duplicates.deduplicated(docs, percent=80)
 
 
@@ -35,6 +37,7 @@ def rewrite_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null texts stay null and empty ones empty; repeated rows are rewritten alike. n_chars follows the new text; other columns
     are carried along. An empty table stays empty.
     """
+    common.rested(spark)
     return sanitise.sanitised(docs)
 
 
@@ -44,11 +47,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words (null, empty, blank) are not in it. Repeated rows are taken each on their own; a null source is a
     source, the last. n_chars follows the text; other columns are carried along. Without rows the mix is empty.
     """
+    common.rested(spark)
     return mixing.mixture(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text of the mix, a row for each time that a document stands in it. Null and empty texts have no ids; an empty table gives an empty one."""
+    common.rested(spark)
     return pieces_bpe.encoded_digests(docs, pieces_bpe.default_model())
 
 

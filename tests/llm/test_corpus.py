@@ -571,3 +571,23 @@ def test_pipeline_stages(spark, tmp_path, documents):
             out.write.parquet(path)
             docs = spark.read.parquet(path)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == docs.count() > 0
+
+
+def test_executors_give_memory_back_before_a_stage(spark, monkeypatch):
+    import corpus_pipeline
+    from accord.llm import common
+
+    run = spark._jvm.java.lang.Runtime.getRuntime()
+    garbage = spark._jvm.java.io.ByteArrayOutputStream(200_000_000)
+    before = run.totalMemory() - run.freeMemory()
+    del garbage
+    common.rested(spark)
+    assert run.totalMemory() - run.freeMemory() < before - 100_000_000
+    rests = []
+    monkeypatch.setattr(common, "rested", rests.append)
+    for module, name in ((near_duplicates, "deduplicated"), (sanitise, "sanitised"), (mixing, "mixture"), (pieces_bpe, "encoded_digests")):
+        monkeypatch.setattr(module, name, lambda docs, *_, **__: docs)
+    monkeypatch.setattr(pieces_bpe, "default_model", lambda: None)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        stage(spark, None, "")
+    assert rests == [spark] * 4
