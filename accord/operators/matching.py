@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 TOLERANCE = 1e-12
 
@@ -80,6 +81,25 @@ def axis_minima(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid
     return l.select(*by, "a_dataset", "a_dose_um", "a_row_pos").join(least, [*by, "a_dataset", "a_dose_um"]).select("a_dataset", "b_dataset", "a_row_pos", "least")
 
 
+def _least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest difference of each x to the sorted y."""
+    i = np.searchsorted(y, x)
+    return np.minimum(np.abs(x - y[np.maximum(i - 1, 0)]), np.abs(x - y[np.minimum(i, len(y) - 1)]))
+
+
+def _mutual(x: np.ndarray, y: np.ndarray, least_x: np.ndarray, least_y: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in x and in the sorted y, and differences, of pairs that are at most `within` apart and the nearest for both."""
+    # What is as near as the nearest one lies at one end of this range: nothing else is in it.
+    reach = np.where(least_x <= within + TOLERANCE, least_x + 2 * TOLERANCE, -1.0)
+    low = np.searchsorted(y, x - reach)
+    size = np.maximum(np.searchsorted(y, x + reach, "right") - low, 0)
+    l = np.repeat(np.arange(len(x)), size)
+    r = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+    diff = np.abs(x[l] - y[r])
+    ok = (diff <= within + TOLERANCE) & (np.abs(diff - least_x[l]) <= TOLERANCE) & (np.abs(diff - least_y[r]) <= TOLERANCE)
+    return l[ok], r[ok], diff[ok]
+
+
 def nearest_doses(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h"), within: float = 1.0, ordered: str | None = None) -> DataFrame:
     """Pairs of doses of equal keys whose log10 difference is at most `within` and the least for both of them, all ties included: keys, a_dataset, b_dataset, a_dose_um, b_dose_um, dose_diff, n_pairs (of rows).
 
@@ -100,10 +120,6 @@ def nearest_doses(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("c
     fields += [StructField(c, DoubleType()) for c in ("a_dose_um", "b_dose_um", "dose_diff")] + [StructField("n_pairs", LongType())]
     names = [f.name for f in fields]
 
-    def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        i = np.searchsorted(y, x)
-        return np.minimum(np.abs(x - y[np.maximum(i - 1, 0)]), np.abs(x - y[np.minimum(i, len(y) - 1)]))
-
     def run(t: pa.Table) -> pa.Table:
         # By side and dataset: the distinct doses, their logarithms, and the numbers of rows at each place.
         sets: dict[tuple, list] = {}
@@ -128,20 +144,12 @@ def nearest_doses(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("c
                 met = [(i, j) for p, i in pa_.items() for q, j in pb_.items() if not ordered or p < q]
                 la, lb = np.full(len(ua), np.inf), np.full(len(ub), np.inf)
                 for (i, _), (j, _) in met:
-                    la[i] = np.minimum(la[i], least(xa[i], xb[j]))
-                    lb[j] = np.minimum(lb[j], least(xb[j], xa[i]))
+                    la[i] = np.minimum(la[i], _least(xa[i], xb[j]))
+                    lb[j] = np.minimum(lb[j], _least(xb[j], xa[i]))
                 found = []
                 for (i, ni), (j, nj) in met:
-                    # What is as near as the nearest one lies at one end of this range: nothing else is in it.
-                    reach = np.where(la[i] <= within + TOLERANCE, la[i] + 2 * TOLERANCE, -1.0)
-                    low = np.searchsorted(xb[j], xa[i] - reach)
-                    size = np.maximum(np.searchsorted(xb[j], xa[i] + reach, "right") - low, 0)
-                    l = np.repeat(np.arange(len(i)), size)
-                    r = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
-                    diff = np.abs(xa[i][l] - xb[j][r])
-                    ok = (diff <= within + TOLERANCE) & (np.abs(diff - la[i][l]) <= TOLERANCE) & (np.abs(diff - lb[j][r]) <= TOLERANCE)
-                    l, r = l[ok], r[ok]
-                    found.append((i[l] * len(ub) + j[r], diff[ok], ni[l] * nj[r]))
+                    l, r, diff = _mutual(xa[i], xb[j], la[i], lb[j], within)
+                    found.append((i[l] * len(ub) + j[r], diff, ni[l] * nj[r]))
                 if not sum(len(f[0]) for f in found):
                     continue
                 code, diff, total = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
@@ -178,6 +186,95 @@ def mutual_nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("
     return out.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}")) if ordered and ordered != "dataset" else out
 
 
+def _keyed(samples: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
+    """Rows that can be on an edge: keys, dataset, dose and more, those of equal keys in one partition. Rows are shuffled here and not again."""
+    given = [*keys, "dataset"]
+    kept = samples.filter((F.col("dose_um") > 0) & (F.col("dose_um") < float("inf"))).filter(" and ".join(f"`{c}` is not null" for c in given))
+    return kept.select(*given, F.col("dose_um").cast("double").alias("dose"), *more).repartition(*keys)
+
+
+def _edges_of(t: pa.Table, within: float) -> Iterable[tuple]:
+    """a, b, rows of a and of b in t in order of dose, where each distinct dose begins in them, and the pairs of distinct doses on edges: positions l and r, and their differences. For every two datasets with edges, the smaller name first."""
+    names, dose, log = t["dataset"].combine_chunks().dictionary_encode(), t["dose"].to_numpy(), t["log"].to_numpy()
+    code, found = names.indices.to_numpy(), names.dictionary.to_pylist()
+    sets = {}
+    for name in sorted(found):
+        rows = np.flatnonzero(code == found.index(name))
+        rows = rows[np.argsort(dose[rows], kind="stable")]
+        first = np.flatnonzero(np.append(True, dose[rows][1:] != dose[rows][:-1]))
+        sets[name] = (rows, np.append(first, len(rows)), log[rows[first]])
+    for a, (rows_a, at_a, x) in sets.items():
+        for b, (rows_b, at_b, y) in sets.items():
+            if a < b:
+                l, r, diff = _mutual(x, y, _least(x, y), _least(y, x), within)
+                if len(l):
+                    yield a, b, rows_a, at_a, rows_b, at_b, l, r, diff
+
+
+def edge_sums(samples: DataFrame, within: float = 1.0, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
+    """keys, a_dataset, b_dataset, n_pairs, n_left, n_right, and dataset, n_rows: the edges of each key between two datasets and the rows on either side of them; in rows of their own (a_dataset null), the rows of each dataset on any edge.
+
+    Edges and pairs of doses are counted in the task that finds them.
+    """
+    # Equal doses are one before they go to Python.
+    doses = _keyed(samples, keys).groupBy(*keys, "dataset", "dose").agg(F.count(F.lit(1)).alias("n")).withColumn("log", F.log10("dose"))
+    kind = doses.schema["dataset"].dataType
+    fields = [doses.schema[c] for c in keys] + [StructField("a_dataset", kind), StructField("b_dataset", kind), *[StructField(c, LongType()) for c in ("n_pairs", "n_left", "n_right")], StructField("dataset", kind), StructField("n_rows", LongType())]
+    schema = to_arrow_schema(StructType(fields))
+
+    def run(t: pa.Table) -> pa.Table:
+        n, out, met = t["n"].to_numpy(), [], {}
+        for a, b, rows_a, _, rows_b, _, l, r, _ in _edges_of(t, within):
+            left, right = rows_a[np.unique(l)], rows_b[np.unique(r)]
+            out.append((a, b, int((n[rows_a[l]] * n[rows_b[r]]).sum()), int(n[left].sum()), int(n[right].sum()), None, None))
+            met.setdefault(a, []).append(left)
+            met.setdefault(b, []).append(right)
+        out += [(None, None, None, None, None, name, int(n[np.unique(np.concatenate(rows))].sum())) for name, rows in met.items()]
+        own = [t[c].combine_chunks().take(pa.array(np.zeros(len(out), np.int64))) for c in keys]
+        return pa.table([*own, *(pa.array([x[k] for x in out], schema.types[len(keys) + k]) for k in range(7))], names=schema.names)
+
+    return doses.groupBy(*keys).applyInArrow(run, StructType(fields))
+
+
+def edges_by_dose(samples: DataFrame, carried: tuple[str, ...] = ("row_pos",), within: float = 1.0, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
+    """pair_edges() as pairs of doses with the rows on both sides: keys, a_dataset, b_dataset, a_dose_um, b_dose_um, dose_diff, a and b, arrays of structs of the carried columns. See exploded()."""
+    rows = _keyed(samples, keys, *carried).withColumn("log", F.log10("dose"))
+    kind, item = rows.schema["dataset"].dataType, ArrayType(StructType([rows.schema[c] for c in carried]))
+    fields = [rows.schema[c] for c in keys] + [StructField(f"{x}_dataset", kind) for x in "ab"] + [StructField(c, DoubleType()) for c in ("a_dose_um", "b_dose_um", "dose_diff")] + [StructField(x, item) for x in "ab"]
+    schema = to_arrow_schema(StructType(fields))
+
+    def run(t: pa.Table) -> pa.Table:
+        dose, made = t["dose"].to_numpy(), []
+        values = pa.StructArray.from_arrays([t[c].combine_chunks() for c in carried], fields=list(schema.field("a").type.value_type))
+
+        def lists(rows: np.ndarray, at: np.ndarray, i: np.ndarray) -> pa.Array:
+            size = at[i + 1] - at[i]
+            ends = np.cumsum(size)
+            flat = rows[np.arange(size.sum()) + np.repeat(at[i] - (ends - size), size)]
+            return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values.take(pa.array(flat))).cast(schema.field("a").type)
+
+        for a, b, rows_a, at_a, rows_b, at_b, l, r, diff in _edges_of(t, within):
+            own = [t[c].combine_chunks().take(pa.array(np.zeros(len(l), np.int64))) for c in keys]
+            names = [pa.array([x] * len(l), schema.field("a_dataset").type) for x in (a, b)]
+            made.append(pa.table([*own, *names, dose[rows_a[at_a[l]]], dose[rows_b[at_b[r]]], diff, lists(rows_a, at_a, l), lists(rows_b, at_b, r)], schema=schema))
+        return pa.concat_tables(made) if made else schema.empty_table()
+
+    return rows.groupBy(*keys).applyInArrow(run, StructType(fields))
+
+
+def exploded(doses: DataFrame) -> DataFrame:
+    """The edges of edges_by_dose(): its columns with a_ and b_ carried ones for its arrays. Edges are made here and not shuffled."""
+    rest = [c for c in doses.columns if c not in ("a", "b")]
+    carried = doses.schema["a"].dataType.elementType.names
+    out = doses.withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
+    return out.select(*rest, *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in carried])
+
+
+def repeats(samples: DataFrame, column: str) -> bool:
+    """Whether a value of a column (or null) stands on several rows, so that numbers of rows aren't numbers of values."""
+    return not samples.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(column).isNull()).isEmpty()
+
+
 def dose_edges(samples: DataFrame, within: float = 1.0, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
     """pair_edges() as pairs of doses with the number of edges (n_pairs) of each."""
     return nearest_doses(samples, samples, keys, within, "dataset")
@@ -221,6 +318,19 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
+def sum_pair_counts(sums: DataFrame) -> DataFrame:
+    """pair_counts() from edge_sums() of samples whose row_pos don't repeat."""
+    condition = F.concat_ws("|", "cell_type", "cid", F.col("time_h").cast("string"))
+    return sums.groupBy("a_dataset", "b_dataset").agg(
+        F.sum("n_pairs").alias("n_pairs"),
+        F.countDistinct("cid").alias("n_compounds"),
+        F.countDistinct("cell_type").alias("n_contexts"),
+        F.countDistinct(condition).alias("n_conditions"),
+        F.sum("n_left").alias("n_left"),
+        F.sum("n_right").alias("n_right"),
+    )
+
+
 def dose_pair_counts(doses: DataFrame, samples: DataFrame) -> DataFrame:
     """pair_counts() from pairs of doses (see dose_edges) and the samples: edges are counted without being made."""
     condition = F.concat_ws("|", "cell_type", "cid", F.col("time_h").cast("string"))

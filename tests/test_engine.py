@@ -396,3 +396,25 @@ def test_nearest_match_settles_equal_distances_as_sql(spark):
     for n, (a, q, b) in enumerate(ties):
         x, y, z = log(a), log(q), log(b)
         assert got[3 * n] == 3 * n + (1 if abs(x - y) <= abs(z - y) else 2), (a, q, b)
+
+
+def test_edges_shuffle_samples_once(spark):
+    """Edges and their sums against pair_edges(): repeated doses, nulls, and a key without edges; no row is shuffled twice."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, f"o{k}", rng.choice("xyz"), rng.choice(["c0", "c1", "c2"]), rng.choice(["7", "8", None]), 6.0, rng.choice([None, 0.0, float("nan"), float("inf"), 0.1, 1.0, 3.0, 10.0, rng.random()])) for k in range(150)]
+    rows.append((150, "o150", "x", "alone", "7", 6.0, 1.0))
+    df = spark.createDataFrame(rows, "row_pos long, obs_id string, dataset string, cell_type string, cid string, time_h double, dose_um double")
+    want = {(r.a_dataset, r.b_dataset, r.cid, r.cell_type, r.a_row_pos, r.b_row_pos, r.a_obs_id, r.b_obs_id, r.dose_diff) for r in matching.pair_edges(df).collect()}
+    made = matching.exploded(matching.edges_by_dose(df, ("row_pos", "obs_id")))
+    got = [(r.a_dataset, r.b_dataset, r.cid, r.cell_type, r.a_row_pos, r.b_row_pos, r.a_obs_id, r.b_obs_id, r.dose_diff) for r in made.collect()]
+    assert want and len(got) == len(want) and set(got) == want
+    sums = matching.edge_sums(df)
+    counts = {(r.a_dataset, r.b_dataset): (r.n_pairs, r.n_compounds, r.n_contexts, r.n_conditions, r.n_left, r.n_right) for r in matching.sum_pair_counts(sums.filter("a_dataset is not null")).collect()}
+    assert counts == {(r.a_dataset, r.b_dataset): (r.n_pairs, r.n_compounds, r.n_contexts, r.n_conditions, r.n_left, r.n_right) for r in matching.pair_counts(matching.pair_edges(df)).collect()}
+    n = {r.dataset: r.n for r in sums.filter("dataset is not null").groupBy("dataset").agg(F.sum("n_rows").alias("n")).collect()}
+    assert n == {x: len({e[4 + k] for e in want for k in (0, 1) if e[k] == x}) for x in "xyz"}
+    for frame in (made, sums):
+        assert frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert not matching.repeats(df, "row_pos") and matching.repeats(df.union(df.limit(1)), "row_pos") and matching.repeats(df, "cid")
