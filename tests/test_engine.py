@@ -416,5 +416,30 @@ def test_edges_shuffle_samples_once(spark):
     n = {r.dataset: r.n for r in sums.filter("dataset is not null").groupBy("dataset").agg(F.sum("n_rows").alias("n")).collect()}
     assert n == {x: len({e[4 + k] for e in want for k in (0, 1) if e[k] == x}) for x in "xyz"}
     for frame in (made, sums):
-        assert frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert frame.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert not matching.repeats(df, "row_pos") and matching.repeats(df.union(df.limit(1)), "row_pos") and matching.repeats(df, "cid")
+
+
+def test_deg_records_of_blocks_equal_those_of_rows(spark, monkeypatch):
+    """Ties, nulls, NaN, infinite, short, constant and missing vectors, in blocks of few rows."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(24):
+        x, q = np.round(rng.normal(size=12), 1).tolist(), np.round(rng.random(12), 1).tolist()
+        if k % 6 == 1:
+            x[3], x[4], q[5] = None, math.nan, None
+        if k % 6 == 2:
+            x, q = x[:7], q[: 7 + k % 4]
+        if k % 6 == 3:
+            x[2] = math.inf
+        x, q = {10: None, 11: [0.5] * 12}.get(k, x), {16: None, 11: [0.0] * 12}.get(k, q)
+        rows.append((k, "xy"[k % 2], "c", "7", 6.0, 1.0 + k // 8, x, q))
+    df = spark.createDataFrame(rows, "row_pos long, dataset string, cell_type string, cid string, time_h double, dose_um double, lfc array<double>, p array<double>")
+    for least in (0.2, None):
+        scores = pairs.deg_scores((1, 3))
+        old = pairs.with_masks(pairs.pair_vectors(matching.pair_edges(df.drop("lfc", "p")), df, ["lfc", "p"]), 0.6, least).select("a_row_pos", "b_row_pos", *[c.alias(n) for n, c in scores.items()])
+        monkeypatch.setattr(pairs, "PAIRS", 8)
+        new = pairs.deg_records(matching.edges_by_dose(df, ("row_pos", "lfc", "p")), (1, 3), 0.6, least)
+        assert new.columns == old.columns
+        for a, b in zip(sorted(old.collect(), key=lambda r: r[:2]), sorted(new.collect(), key=lambda r: r[:2]), strict=True):
+            assert all((u is None and v is None) or (u is not None and v is not None and math.isclose(u, v, abs_tol=1e-12)) for u, v in zip(a, b)), (a, b)
