@@ -135,9 +135,8 @@ def _(s, d):
 @query("vec20_deg_pair_record", f"""{PAIRS_SQL}, {MASKS}, {RANKED}, q AS (SELECT *, {LEFT_SPEARMAN} AS l, {RIGHT_SPEARMAN} AS rr, {S.overlap('ra', 'fb', 'na')} AS ol, {S.overlap('rb', 'fa', 'nb')} AS orr, {DIRECTION} AS da FROM rk)
 SELECT a_row_pos, b_row_pos, CAST(na AS BIGINT) AS n_deg_a, CAST(nb AS BIGINT) AS n_deg_b, {r('l', 'spearman_left')}, {r('rr', 'spearman_right')}, {r('(l + rr) / 2', 'spearman_symmetric')}, {r('ol', 'overlap_left')}, {r('orr', 'overlap_right')}, {r('(ol + orr) / 2', 'overlap_symmetric')}, {r('da', 'direction_agreement')}, {r(S.overlap('ra', 'rb', '20'), 'overlap_at_20')} FROM q""")
 def _(s, d):
-    m = pairs.with_masks(matched(s, d, ("lfc", "p")), DEG_P, DEG_LFC)
-    scores = pairs.deg_scores((20,))
-    return rounded(m.select("a_row_pos", "b_row_pos", *[c.alias(n) for n, c in scores.items()]), *[n for n in scores if not n.startswith("n_")])
+    out = pairs.deg_records(matching.edges_by_dose(signatures(s, d), ("row_pos", "lfc", "p")), (20,), DEG_P, DEG_LFC)
+    return rounded(out, *[n for n in out.columns if "spearman" in n or "overlap" in n or "direction" in n])
 
 
 @query("vec22_pair_cells", f"{PAIRS_SQL} SELECT a_dataset, b_dataset, count(*) AS n, {r('avg(' + S.dot('x', 'y') + ')', 'mean_dot')} FROM v GROUP BY ALL")
