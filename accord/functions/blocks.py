@@ -70,6 +70,33 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Lengths of the rows, added up as in cosines()."""
+    out = np.zeros(len(x))
+    with np.errstate(all="ignore"):
+        for u in np.ascontiguousarray(x.T):
+            out += u * u
+        return np.sqrt(out)
+
+
+def rough_cosines(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """cosines() by a matrix product, given the rows' lengths: it differs in the last bits. Undefined ones are -inf as there."""
+    with np.errstate(all="ignore"):
+        product = a[:, None] * b[None, :]
+        out = (x @ y.T) / product
+        out[(product <= GUARD) | (a <= GUARD)[:, None]] = -np.inf
+    return out
+
+
+def paired_cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The defined cosines() of the rows i of x with the rows j of y, bit by bit."""
+    out = np.zeros(len(i))
+    with np.errstate(all="ignore"):
+        for u, v in zip(x.T, y.T):
+            out += u[i] * v[j]
+        return out / (a[i] * b[j])
+
+
 def pair_scores(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     """Scores of the rows of q with the same rows of d."""
     if metric in ("cosine", "pearson", "spearman"):

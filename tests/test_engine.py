@@ -443,3 +443,30 @@ def test_deg_records_of_blocks_equal_those_of_rows(spark, monkeypatch):
         assert new.columns == old.columns
         for a, b in zip(sorted(old.collect(), key=lambda r: r[:2]), sorted(new.collect(), key=lambda r: r[:2]), strict=True):
             assert all((u is None and v is None) or (u is not None and v is not None and math.isclose(u, v, abs_tol=1e-12)) for u, v in zip(a, b)), (a, b)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_pools_are_scored_in_cells_without_shuffling_scores(spark, monkeypatch, apart):
+    """Pools over several cells, a compound over more than one; copies, scores within 1e-12 of each other, nulls and undefined vectors. The only arrays that are shuffled are vectors."""
+    import random
+
+    from accord.functions import vectors as V
+
+    rng = random.Random(8)
+    vectors = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(9)]
+    vectors += [[v * (1 + 1e-13 * rng.random()) for v in vectors[k]] for k in range(4)] + [[0.0] * 5, None]
+    rows = lambda n: [(k, rng.choice("ab"), rng.choice(["1", "1", "1", "2", "3", None]), rng.choice(vectors)) for k in range(n)]
+    q = spark.createDataFrame([*rows(60), (60, "none", "1", vectors[0]), (61, None, "1", vectors[0])], "query_id long, place string, cid string, vec array<double>")
+    c = spark.createDataFrame([*rows(70), (70, "other", "1", vectors[0])], "candidate_id long, place string, cid string, vec array<double>")
+    pool = q.alias("q").join(c.alias("c"), "place").select("query_id", "candidate_id", V.cosine(F.col("q.vec"), F.col("c.vec")).alias("score"), F.coalesce(F.col("q.cid") == F.col("c.cid"), F.lit(False)).alias("is_positive"), (F.col("q.cid") != F.col("c.cid")).alias("is_negative"))
+    pool = (pool.filter("query_id <> candidate_id") if apart else pool).cache()
+    want = {r.query_id: tuple(r)[1:] for r in retrieval.best_positive_rank(pool, ["query_id"]).select("query_id", "n_pool", "n_positive", "best_rank").collect()}
+    credit = {r.query_id: r.auroc for r in retrieval.auroc(pool.filter("is_positive or is_negative"), ["query_id"]).collect()}
+    for name, value in {"CELL": 4, "MARKS": 40, "CANDIDATE_BLOCK": 6}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    records = retrieval.pool_records(q, c, ("place",), apart)
+    got = records.collect()
+    assert len(got) == len(want) and {r.query_id: (r.n_pool, r.n_positive, r.best_rank) for r in got} == want
+    assert {r.query_id: r.auroc for r in got if r.auroc is not None} == pytest.approx(credit, abs=1e-12)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "marks" not in plan
