@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 TOLERANCE = 1e-12
+#: Rows that a task combines at a time before they are shuffled.
+COMBINED = 1 << 20
 
 
 def _logarithms(x: pa.Array) -> pa.Array:
@@ -186,11 +190,39 @@ def mutual_nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("
     return out.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}")) if ordered and ordered != "dataset" else out
 
 
+def _combined(rows: DataFrame, by: list[str], carried: tuple[str, ...]) -> DataFrame:
+    """rows with those of equal `by` columns as one, as far as they meet in a task: arrays of the carried columns, or their number n without any. Where few are equal, rows are left as they are."""
+    fields = [rows.schema[c] for c in by] + ([StructField(c, ArrayType(rows.schema[c].dataType)) for c in carried] or [StructField("n", LongType())])
+    schema = to_arrow_schema(StructType(fields))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held, size, useful = [], 0, True
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                size += batch.num_rows
+            if not size or batch is not None and useful and size < COMBINED:
+                continue
+            t = pa.Table.from_batches(held)
+            held, size = [], 0
+            if useful:
+                g = t.group_by(by, use_threads=False).aggregate([(c, "list") for c in carried] or [([], "count_all")])
+                useful = 2 * len(g) < len(t)
+                more = [g[f"{c}_list"] for c in carried] or [g["count_all"]]
+            else:
+                g, own = t, pa.array(np.arange(len(t) + 1), pa.int32())
+                more = [pa.ListArray.from_arrays(own, t[c].combine_chunks()) for c in carried] or [pa.array(np.ones(len(t), np.int64))]
+            columns = [*(g[c] for c in by), *more]
+            yield from pa.table([x.cast(f.type) for x, f in zip(columns, schema)], schema=schema).to_batches(65_536)
+
+    return rows.mapInArrow(run, StructType(fields))
+
+
 def _keyed(samples: DataFrame, keys: tuple[str, ...], *more: str) -> DataFrame:
-    """Rows that can be on an edge: keys, dataset, dose and more, those of equal keys in one partition. Rows are shuffled here and not again."""
+    """Rows that can be on an edge: keys, dataset, dose and more (see _combined), those of equal keys in one partition. Rows are shuffled here and not again."""
     given = [*keys, "dataset"]
     kept = samples.filter((F.col("dose_um") > 0) & (F.col("dose_um") < float("inf"))).filter(" and ".join(f"`{c}` is not null" for c in given))
-    return kept.select(*given, F.col("dose_um").cast("double").alias("dose"), *more).repartition(*keys)
+    return _combined(kept.select(*given, F.col("dose_um").cast("double").alias("dose"), *more), [*given, "dose"], more).repartition(*keys)
 
 
 def _edges_of(t: pa.Table, within: float) -> Iterable[tuple]:
@@ -217,7 +249,7 @@ def edge_sums(samples: DataFrame, within: float = 1.0, keys: tuple[str, ...] = (
     Edges and pairs of doses are counted in the task that finds them.
     """
     # Equal doses are one before they go to Python.
-    doses = _keyed(samples, keys).groupBy(*keys, "dataset", "dose").agg(F.count(F.lit(1)).alias("n")).withColumn("log", F.log10("dose"))
+    doses = _keyed(samples, keys).groupBy(*keys, "dataset", "dose").agg(F.sum("n").alias("n")).withColumn("log", F.log10("dose"))
     kind = doses.schema["dataset"].dataType
     fields = [doses.schema[c] for c in keys] + [StructField("a_dataset", kind), StructField("b_dataset", kind), *[StructField(c, LongType()) for c in ("n_pairs", "n_left", "n_right")], StructField("dataset", kind), StructField("n_rows", LongType())]
     schema = to_arrow_schema(StructType(fields))
@@ -239,13 +271,15 @@ def edge_sums(samples: DataFrame, within: float = 1.0, keys: tuple[str, ...] = (
 def edges_by_dose(samples: DataFrame, carried: tuple[str, ...] = ("row_pos",), within: float = 1.0, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
     """pair_edges() as pairs of doses with the rows on both sides: keys, a_dataset, b_dataset, a_dose_um, b_dose_um, dose_diff, a and b, arrays of structs of the carried columns. See exploded()."""
     rows = _keyed(samples, keys, *carried).withColumn("log", F.log10("dose"))
-    kind, item = rows.schema["dataset"].dataType, ArrayType(StructType([rows.schema[c] for c in carried]))
+    kind, item = rows.schema["dataset"].dataType, ArrayType(StructType([samples.schema[c] for c in carried]))
     fields = [rows.schema[c] for c in keys] + [StructField(f"{x}_dataset", kind) for x in "ab"] + [StructField(c, DoubleType()) for c in ("a_dose_um", "b_dose_um", "dose_diff")] + [StructField(x, item) for x in "ab"]
     schema = to_arrow_schema(StructType(fields))
 
     def run(t: pa.Table) -> pa.Table:
+        values = pa.StructArray.from_arrays([t[c].combine_chunks().flatten() for c in carried], fields=list(schema.field("a").type.value_type))
+        own = np.repeat(np.arange(len(t)), pc.list_value_length(t[carried[0]]).to_numpy())
+        t = t.drop_columns(list(carried)).take(pa.array(own))
         dose, made = t["dose"].to_numpy(), []
-        values = pa.StructArray.from_arrays([t[c].combine_chunks() for c in carried], fields=list(schema.field("a").type.value_type))
 
         def lists(rows: np.ndarray, at: np.ndarray, i: np.ndarray) -> pa.Array:
             size = at[i + 1] - at[i]

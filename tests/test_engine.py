@@ -470,3 +470,27 @@ def test_pools_are_scored_in_cells_without_shuffling_scores(spark, monkeypatch,
     assert {r.query_id: r.auroc for r in got if r.auroc is not None} == pytest.approx(credit, abs=1e-12)
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "marks" not in plan
+
+
+def test_equal_doses_are_one_row_before_they_are_shuffled(spark, monkeypatch):
+    """A table thirty times over: what reaches the shuffle doesn't grow with the copies, and no edge or row gets lost; rows without equals stay as they are."""
+    import random
+
+    rng = random.Random(6)
+    doses = [0.1, 1.0, 3.0, 10.0]
+    base = [(rng.choice("xy"), "c0", rng.choice("78"), 6.0, rng.choice(doses)) for _ in range(40)]
+    rows = [(k, f"o{k}", *row) for k, row in enumerate(base * 30)]
+    df = spark.createDataFrame(rows, "row_pos long, obs_id string, dataset string, cell_type string, cid string, time_h double, dose_um double").coalesce(1)
+    keys = ("cid", "cell_type", "time_h")
+    assert matching._keyed(df, keys).count() == len(set(base)) and matching._keyed(df, keys, "row_pos").count() == len(set(base))
+    want = matching.pair_edges(df).select("a_row_pos", "b_row_pos", "a_obs_id", "b_obs_id", "dose_diff")
+    for size in (1 << 20, 100, 7):
+        monkeypatch.setattr(matching, "COMBINED", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            made = matching.exploded(matching.edges_by_dose(df, ("row_pos", "obs_id"))).select(want.columns)
+            assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+            sums = matching.sum_pair_counts(matching.edge_sums(df).filter("a_dataset is not null"))
+            assert sums.collect() == matching.pair_counts(matching.pair_edges(df)).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
