@@ -12,11 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegralType, LongType, StructField, StructType
 
 TOLERANCE = 1e-12
 #: Rows that a task combines at a time before they are shuffled.
 COMBINED = 1 << 20
+#: Ids of one part, in which runs of them are compared.
+SPAN = 1 << 15
 
 
 def _logarithms(x: pa.Array) -> pa.Array:
@@ -304,9 +306,25 @@ def exploded(doses: DataFrame) -> DataFrame:
     return out.select(*rest, *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in carried])
 
 
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Runs of consecutive ids of each batch, cut at multiples of SPAN: part, low, high. A batch with a null or an id twice also gives a row of nulls."""
+    for batch in batches:
+        u = np.unique(batch.column(0).drop_null().cast(pa.int64()).to_numpy())
+        cut = np.flatnonzero((u[1:] - u[:-1] != 1) | (u[1:] // SPAN != u[:-1] // SPAN)) + 1
+        if len(u):
+            low, high = u[np.append(0, cut)], u[np.append(cut - 1, -1)]
+            yield pa.record_batch([pa.array(x) for x in (low // SPAN, low, high)], names=["part", "low", "high"])
+        if len(u) < batch.num_rows:
+            yield pa.record_batch([pa.nulls(1, pa.int64())] * 3, names=["part", "low", "high"])
+
+
 def repeats(samples: DataFrame, column: str) -> bool:
-    """Whether a value of a column (or null) stands on several rows, so that numbers of rows aren't numbers of values."""
-    return not samples.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(column).isNull()).isEmpty()
+    """Whether a value of a column (or null) stands on several rows, so that numbers of rows aren't numbers of values. Whole numbers are shuffled as runs, of which a table in order of its ids has few."""
+    if not isinstance(samples.schema[column].dataType, IntegralType):
+        return not samples.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(column).isNull()).isEmpty()
+    runs = samples.select(column).mapInArrow(_runs, "part long, low long, high long")
+    before = F.lag("high").over(Window.partitionBy("part").orderBy("low"))
+    return not runs.withColumn("before", before).filter("part is null or before >= low").isEmpty()
 
 
 def dose_edges(samples: DataFrame, within: float = 1.0, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:

@@ -494,3 +494,29 @@ def test_equal_doses_are_one_row_before_they_are_shuffled(spark, monkeypatch):
             assert sums.collect() == matching.pair_counts(matching.pair_edges(df)).collect()
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def shuffled_rows(spark, job):
+    """What job() returns, and the rows that it shuffled."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = total()
+    return job(), total() - before
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_repeated_ids_are_found_in_runs(spark, kind):
+    ids = [*range(70_000, 0, -1), -5, -6, -40_000, 2**31 - 1, -(2**31)]
+    df = lambda x, n=3: spark.createDataFrame([(v,) for v in x], "row_pos long").repartition(n).select(F.col("row_pos").cast(kind))
+    assert not matching.repeats(df(ids), "row_pos") and not matching.repeats(df([]), "row_pos")
+    for odd in ([32_768], [-5], [-40_000], [2**31 - 1], [None]):
+        assert matching.repeats(df([*ids, *odd]), "row_pos") and matching.repeats(df([*ids, *odd], 1), "row_pos")
+    if kind != "string":
+        ordered = spark.range(0, 100_000, 1, 4).select((F.col("id") + 1).cast(kind).alias("row_pos"))
+        found, rows = shuffled_rows(spark, lambda: matching.repeats(ordered, "row_pos"))
+        assert not found and rows < 100
