@@ -338,6 +338,12 @@ def matched_samples(doses: DataFrame, samples: DataFrame, keys: tuple[str, ...]
     return samples.join(side("a").union(side("b")).distinct(), [*keys, "dataset", "dose_um"], "left_semi")
 
 
+def rows_of_pairs(samples: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("cid", "cell_type", "time_h"), small: bool = False) -> DataFrame:
+    """The samples that can be on an edge of pairs (keys, a_dataset, b_dataset): all of those keys and of either dataset. small: pairs may be broadcast."""
+    sides = pairs.select(*keys, F.explode(F.array("a_dataset", "b_dataset")).alias("dataset")).distinct()
+    return samples.join(F.broadcast(sides) if small else sides, [*keys, "dataset"], "left_semi")
+
+
 def side_counts(doses: DataFrame, samples: DataFrame, side: str, name: str, keys: tuple[str, ...] = ("cid", "cell_type", "time_h")) -> DataFrame:
     """a_dataset, b_dataset and the number of distinct row_pos on one side (a or b) of their edges."""
     own = doses.select(*keys, "a_dataset", "b_dataset", f"{side}_dose_um").distinct()

@@ -520,3 +520,15 @@ def test_repeated_ids_are_found_in_runs(spark, kind):
         ordered = spark.range(0, 100_000, 1, 4).select((F.col("id") + 1).cast(kind).alias("row_pos"))
         found, rows = shuffled_rows(spark, lambda: matching.repeats(ordered, "row_pos"))
         assert not found and rows < 100
+
+
+def test_rows_of_other_edges_are_not_shuffled(spark, monkeypatch):
+    from accord.plans import joins
+
+    d = "/root/testdata/sf0.001"
+    kept = "a_dataset = 'click' and b_dataset = 'view' and cid < '5' or b_dataset = 'signup' and cell_type = 'ct_1' and cid < '2'"
+    want = sorted(map(tuple, joins.edges(spark, d).filter(kept).collect()))
+    made, rows = shuffled_rows(spark, lambda: joins.edges(spark, d, lambda e: e.filter(kept)).collect())
+    assert want and sorted(map(tuple, made)) == want and rows < 1.5 * joins.event_samples(spark, d).count()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, joins.edges(spark, d, lambda e: e.filter(kept)).collect())) == want
