@@ -91,8 +91,8 @@ def pool(s, d):
 
 
 def pool_sides(s, d):
-    """Queries and candidates of pool()."""
-    sig = signatures(s, d).select("row_pos", "dataset", "cell_type", "time_h", "cid", F.col("lfc").alias("vec"))
+    """Queries and candidates of pool(); vectors are made double where they are scored."""
+    sig = signatures(s, d, wide=False).select("row_pos", "dataset", "cell_type", "time_h", "cid", F.col("lfc").alias("vec"))
     return sig.filter("dataset = 'ds_a'").withColumnRenamed("row_pos", "query_id").drop("dataset"), sig.filter("dataset = 'ds_b'").withColumnRenamed("row_pos", "candidate_id").drop("dataset")
 
 

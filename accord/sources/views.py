@@ -12,8 +12,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a sample of `embeddings`: keys, and the layers lfc, t and p as arrays of doubles."""
+def signatures(spark: SparkSession, sf_dir: str, wide: bool = True) -> DataFrame:
+    """One row a sample of `embeddings`: keys, and the layers lfc, t and p as arrays of doubles. Unless wide, lfc is as the table has it: for what widens it after a shuffle."""
     i = F.col("vec_id")
     third = lambda n: F.floor(i / n)
     lfc = F.col("embedding").cast("array<double>")
@@ -25,7 +25,7 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").cast("string").alias("cid"),
         F.when(third(6) % 2 == 0, 6.0).otherwise(24.0).alias("time_h"),
         F.element_at(F.array(*map(F.lit, DOSES)), (i % 5 + 1).cast("int")).alias("dose_um"),
-        lfc.alias("lfc"),
+        (lfc if wide else F.col("embedding")).alias("lfc"),
         F.transform(lfc, lambda v, k: v * (k % 4 + 1)).alias("t"),
         F.transform(lfc, lambda v: F.exp(-8.0 * F.abs(v))).alias("p"),
     )

@@ -532,3 +532,14 @@ def test_rows_of_other_edges_are_not_shuffled(spark, monkeypatch):
     assert want and sorted(map(tuple, made)) == want and rows < 1.5 * joins.event_samples(spark, d).count()
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, joins.edges(spark, d, lambda e: e.filter(kept)).collect())) == want
+
+
+def test_vectors_of_pools_are_shuffled_as_the_table_has_them(spark):
+    from accord.plans import rankings
+
+    d = "/root/testdata/sf0.001"
+    sides = rankings.pool_sides(spark, d)
+    assert all(x.schema["vec"].dataType.simpleString() == "array<float>" for x in sides)
+    wide = retrieval.pool_records(*(x.withColumn("vec", F.col("vec").cast("array<double>")) for x in sides), ("cell_type", "time_h"))
+    made = rankings.records(spark, d).collect()
+    assert made and sorted(map(str, made)) == sorted(map(str, wide.collect()))
