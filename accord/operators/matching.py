@@ -15,8 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegralType, LongType, StructField, StructType
 
 TOLERANCE = 1e-12
-#: Rows that a task combines at a time before they are shuffled.
+#: Rows that a task combines at a time before they are shuffled, and their bytes: vectors fill a batch sooner.
 COMBINED = 1 << 20
+COMBINED_BYTES = 1 << 26
 #: Ids of one part, in which runs of them are compared.
 SPAN = 1 << 15
 
@@ -192,25 +193,37 @@ def mutual_nearest(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("
     return out.filter(F.col(f"a_{ordered}") < F.col(f"b_{ordered}")) if ordered and ordered != "dataset" else out
 
 
+def _gathered(t: pa.Table, by: list[str], carried: tuple[str, ...]) -> tuple[pa.Table, list[pa.Array]]:
+    """The distinct `by` columns of t, and arrays of the carried columns for each: of any type, as Arrow gathers positions and not the columns (lists have no such kernel)."""
+    g = t.select(by).append_column("_at", pa.array(np.arange(len(t)))).group_by(by, use_threads=False).aggregate([("_at", "list")])
+    lists = g["_at_list"].combine_chunks()
+    ends, at = pa.array(np.append(0, np.cumsum(lists.value_lengths().to_numpy())), pa.int32()), lists.flatten()
+    return g, [pa.ListArray.from_arrays(ends, t[c].combine_chunks().take(at)) for c in carried]
+
+
 def _combined(rows: DataFrame, by: list[str], carried: tuple[str, ...]) -> DataFrame:
     """rows with those of equal `by` columns as one, as far as they meet in a task: arrays of the carried columns, or their number n without any. Where few are equal, rows are left as they are."""
     fields = [rows.schema[c] for c in by] + ([StructField(c, ArrayType(rows.schema[c].dataType)) for c in carried] or [StructField("n", LongType())])
     schema = to_arrow_schema(StructType(fields))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        held, size, useful = [], 0, True
+        held, size, filled, useful = [], 0, 0, True
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held.append(batch)
                 size += batch.num_rows
-            if not size or batch is not None and useful and size < COMBINED:
+                filled += batch.nbytes
+            if not size or batch is not None and useful and size < COMBINED and filled < COMBINED_BYTES:
                 continue
             t = pa.Table.from_batches(held)
-            held, size = [], 0
+            held, size, filled = [], 0, 0
             if useful:
-                g = t.group_by(by, use_threads=False).aggregate([(c, "list") for c in carried] or [([], "count_all")])
+                if carried:
+                    g, more = _gathered(t, by, carried)
+                else:
+                    g = t.group_by(by, use_threads=False).aggregate([([], "count_all")])
+                    more = [g["count_all"]]
                 useful = 2 * len(g) < len(t)
-                more = [g[f"{c}_list"] for c in carried] or [g["count_all"]]
             else:
                 g, own = t, pa.array(np.arange(len(t) + 1), pa.int32())
                 more = [pa.ListArray.from_arrays(own, t[c].combine_chunks()) for c in carried] or [pa.array(np.ones(len(t), np.int64))]

@@ -496,6 +496,25 @@ def test_equal_doses_are_one_row_before_they_are_shuffled(spark, monkeypatch):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("filled", [1 << 26, 1])
+def test_rows_with_vectors_are_combined(spark, monkeypatch, filled):
+    """Arrays of arrays, nulls and empty vectors among them: equal doses are one row, and where few are equal, or a batch is full, nothing is lost."""
+    monkeypatch.setattr(matching, "COMBINED_BYTES", filled)
+    vectors = [[1.0, None], [], None, [math.inf, 2.0, 3.0]]
+    rows = [(k, "xy"[k % 2], "c", "7", 6.0, float(k % 4 + 1) if k < 40 else k / 7, vectors[k % 3 + k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, "row_pos long, dataset string, cell_type string, cid string, time_h double, dose_um double, lfc array<double>").coalesce(1)
+    for size in (1000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            for kept in (df, df.filter("row_pos < 40"), df.filter("row_pos < 0")):
+                made = matching._keyed(kept, ("cid", "cell_type", "time_h"), "row_pos", "lfc").collect()
+                assert sorted((k, r.dataset, r.dose, v) for r in made for k, v in zip(r.row_pos, r.lfc, strict=True)) == sorted((r.row_pos, r.dataset, r.dose_um, r.lfc) for r in kept.collect())
+                if size == 1000 and kept.count() == 40:
+                    assert len(made) == 4
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def shuffled_rows(spark, job):
     """What job() returns, and the rows that it shuffled."""
     context = spark.sparkContext._jsc.sc()
