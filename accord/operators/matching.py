@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegralType, LongType, StructField, StructType
 
+from accord.operators import nearest
+
 TOLERANCE = 1e-12
 #: Rows that a task combines at a time before they are shuffled, and their bytes: vectors fill a batch sooner.
 COMBINED = 1 << 20
@@ -42,24 +44,62 @@ def renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame
 
 
 def nearest_match(queries: DataFrame, database: DataFrame, keys: tuple[str, ...] = ("cell_type", "cid"), same_dataset: bool = False) -> DataFrame:
-    """For each query and database dataset: the database row of equal keys with the least time difference, then dose distance, then row_pos.
+    """For each query and database dataset: the database row of equal keys with the least time difference, then dose distance, then row_pos. Differences that are NaN come after all numbers, and null ones last.
 
-    Both frames have row_pos, dataset, time_h, dose_um and the keys. Queries first meet the distinct times of their keys, of
-    which there are few, and only rows at the nearest ones are compared by dose; the argmin is a partial aggregate, so a pair
-    of rows is never kept beyond the task that makes it.
+    Both frames have row_pos, dataset, time_h, dose_um and the keys; row_pos names a row of its dataset. Rows are shuffled once, gathered
+    by key, and a query finds its nearest doses in the sorted ones of a dataset and time, in the one task that holds its key: pairs of rows
+    are never made, and results not shuffled.
     """
-    by = list(keys)
-    q, d = renamed(queries, "q_", keys).withColumn("q_log", logarithm(F.col("q_dose_um"))), renamed(database, "db_", keys).withColumn("db_log", logarithm(F.col("db_dose_um")))
-    met = q.join(d.select(*by, "db_dataset", "db_time_h").distinct(), by)
-    if not same_dataset:
-        met = met.filter("q_dataset <> db_dataset")
-    dt = F.abs(F.col("q_time_h") - F.col("db_time_h"))
-    least = F.min("dt").over(Window.partitionBy("q_dataset", "q_row_pos", "db_dataset"))
-    nearest = met.withColumn("dt", dt).withColumn("least", least).filter("dt = least").select(*by, "q_dataset", "q_row_pos", "q_dose_um", "q_log", "db_dataset", "db_time_h", "dt")
-    pairs = nearest.join(d.select(*by, "db_dataset", "db_time_h", "db_row_pos", "db_dose_um", "db_log"), [*by, "db_dataset", "db_time_h"])
-    best = F.min(F.struct(dose_distance(F.col("q_dose_um"), F.col("db_dose_um"), F.col("q_log"), F.col("db_log")).alias("dd"), F.col("db_row_pos").alias("db_row_pos")))
-    out = pairs.groupBy(*by, "q_dataset", "q_row_pos", "db_dataset", "dt").agg(best.alias("b"))
-    return out.select(*by, "q_dataset", "q_row_pos", "db_dataset", F.col("b.db_row_pos").alias("db_row_pos"), F.col("dt").alias("time_diff"), F.col("b.dd").alias("dose_diff"))
+    by, alone = list(keys), queries is database
+    given = [*by, *([] if same_dataset else ["dataset"])]
+    place = {"time_h": "double", "dose_um": "double"}
+
+    def side(rows: DataFrame, n: int) -> DataFrame:
+        kept = rows.filter(" and ".join(f"`{c}` is not null" for c in given)) if given else rows
+        return kept.select(*by, "dataset", F.lit(n).alias("side"), *[F.col(c).cast(t).alias(c) for c, t in place.items()], "row_pos")
+
+    both = side(queries, 0) if alone else side(queries, 0).union(side(database, 1))
+    kind = lambda df, c, name: StructField(name, df.schema[c].dataType)
+    fields = [*[kind(queries, c, c) for c in by], kind(queries, "dataset", "q_dataset"), kind(queries, "row_pos", "q_row_pos"), kind(database, "dataset", "db_dataset"), kind(database, "row_pos", "db_row_pos")]
+    schema = to_arrow_schema(StructType([*fields, StructField("time_diff", DoubleType()), StructField("dose_diff", DoubleType())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        size = pc.list_value_length(t["row_pos"]).to_numpy()
+        time, dose, rows = (t[c].combine_chunks().flatten() for c in ("time_h", "dose_um", "row_pos"))
+        names = t["dataset"].combine_chunks().dictionary_encode(null_encoding="encode")
+        code, on = (np.repeat(v, size) for v in (names.indices.to_numpy(), t["side"].to_numpy()))
+        order = pc.array_sort_indices(rows).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        values = [(x.to_numpy(zero_copy_only=False), x.is_null().to_numpy(zero_copy_only=False)) for x in (time, dose)]
+        at = [np.flatnonzero(on == n) for n in ((0,) if alone else (0, 1))]
+        if not all(len(x) for x in at):
+            return
+        sides = [nearest.Side(code[x], *(v[x] for v, _ in values), rank[x], *(null[x] for _, null in values)) for x in at]
+        # Rows of sides[0] in its order: their positions, and ids by which repeated ones are known.
+        own = at[0][sides[0].order]
+        ids = rows.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)[own] * (len(names.dictionary) + 1) + code[own]
+        repeated = len(np.unique(ids)) < len(ids)
+        for unit, dataset, row, dt, dt_class, dd, dd_class in nearest.matched(sides[0], sides[-1], same_dataset, repeated):
+            size = np.diff(sides[0].at)[unit]
+            ends = np.cumsum(size)
+            step = int(ends[-1]) if repeated else nearest.ROWS
+            for low in range(0, int(ends[-1]), step):
+                k = np.arange(low, min(low + step, int(ends[-1])))
+                w = np.searchsorted(ends, k, "right")
+                at_row = sides[0].at[unit[w]] + k - (ends[w] - size[w])
+                if repeated:
+                    kept = nearest.least_of(ids[at_row] * (len(names.dictionary) + 1) + dataset[w], dt_class[w], dt[w], dd_class[w], dd[w], row[w])
+                    w, at_row = w[kept], at_row[kept]
+                q = own[at_row]
+                first = pa.array(np.zeros(len(w), np.int64))
+                differences = [pa.array(np.where(c[w] == 1, np.nan, x[w]), mask=c[w] == 2) for x, c in ((dt, dt_class), (dd, dd_class))]
+                made = [*(t[c].combine_chunks().take(first) for c in by), names.dictionary.take(pa.array(code[q])), rows.take(pa.array(q)), names.dictionary.take(pa.array(dataset[w])), rows.take(pa.array(order[row[w]])), *differences]
+                yield from pa.table([x.cast(f.type) for x, f in zip(made, schema)], schema=schema).to_batches()
+
+    gathered = _combined(both, [*by, "dataset", "side"], (*place, "row_pos"), tuple(place)).repartition(*by)
+    return gathered.groupBy(*by).applyInArrow(run, StructType([*fields, StructField("time_diff", DoubleType()), StructField("dose_diff", DoubleType())]))
 
 
 def candidates_per_compound(queries: DataFrame, database: DataFrame, context: tuple[str, ...] = ("cell_type",)) -> DataFrame:
@@ -201,8 +241,8 @@ def _gathered(t: pa.Table, by: list[str], carried: tuple[str, ...]) -> tuple[pa.
     return g, [pa.ListArray.from_arrays(ends, t[c].combine_chunks().take(at)) for c in carried]
 
 
-def _combined(rows: DataFrame, by: list[str], carried: tuple[str, ...]) -> DataFrame:
-    """rows with those of equal `by` columns as one, as far as they meet in a task: arrays of the carried columns, or their number n without any. Where few are equal, rows are left as they are."""
+def _combined(rows: DataFrame, by: list[str], carried: tuple[str, ...], ordered: tuple[str, ...] = ()) -> DataFrame:
+    """rows with those of equal `by` columns as one, as far as they meet in a task: arrays of the carried columns, or their number n without any. Where few are equal, rows are left as they are. ordered: numbers by which the arrays are sorted, so that equal ones are compressed."""
     fields = [rows.schema[c] for c in by] + ([StructField(c, ArrayType(rows.schema[c].dataType)) for c in carried] or [StructField("n", LongType())])
     schema = to_arrow_schema(StructType(fields))
 
@@ -219,7 +259,7 @@ def _combined(rows: DataFrame, by: list[str], carried: tuple[str, ...]) -> DataF
             held, size, filled = [], 0, 0
             if useful:
                 if carried:
-                    g, more = _gathered(t, by, carried)
+                    g, more = _gathered(t.take(np.lexsort([t[c].to_numpy() for c in ordered[::-1]])) if ordered else t, by, carried)
                 else:
                     g = t.group_by(by, use_threads=False).aggregate([([], "count_all")])
                     more = [g["count_all"]]

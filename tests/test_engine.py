@@ -528,6 +528,69 @@ def shuffled_rows(spark, job):
     return job(), total() - before
 
 
+def truth(rows, other):
+    """truth_sql() of rows in DuckDB: q_dataset, q_row_pos, db_dataset, db_row_pos, time_diff, dose_diff."""
+    import duckdb
+    import pyarrow as pa
+
+    from accord.plans.fragments import truth_sql
+
+    con, names = duckdb.connect(), "row_pos dataset cell_type cid time_h dose_um".split()
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    con.register("t", pa.table({n: pa.array([r[k] for r in rows], x) for k, (n, x) in enumerate(zip(names, types))}))
+    return con.execute(f"WITH {truth_sql('t', other)} SELECT q_dataset, q_row_pos, db_dataset, db_row_pos, time_diff, dose_diff FROM truth").fetchall()
+
+
+ODD = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, -1.0, -3.5, 5e-324, 1e-300, 0.1, 1.0, 1.0 + 2**-52, 1.0 - 2**-53, 3.0, 10.0, 1e15, 1e15 + 1, 1.7e308, -1.7e308]
+
+
+@pytest.mark.parametrize("same", [False, True])
+@pytest.mark.parametrize("size", [1 << 20, 5])
+def test_nearest_match_of_odd_values_equals_sql(spark, monkeypatch, same, size):
+    """Nulls, NaN, infinite, negative and hardly different values of time and dose, datasets and keys that are null, and ties once differences are rounded."""
+    import random
+
+    from accord.operators import nearest
+
+    rng = random.Random(11)
+    dose = lambda: rng.choice([rng.choice(ODD), rng.choice([rng.random(), 1.0 + rng.randrange(9) * 2**-52, rng.choice([0.5, 2.0, 4.0])])])
+    rows = [(k, rng.choice(["x", "y", "z", None]), "c", rng.choice(["7", "8", None]), rng.choice([None, math.nan, math.inf, -math.inf, 0.0, 6.0, 6.0, 12.0, 24.0]), dose()) for k in range(500)]
+    rows += [(k, rng.choice("xy"), "only numbers", "7", rng.choice([0.0, 6.0, 12.0, 18.0]), rng.choice([1e20, -1e20, *range(40)])) for k in range(500, 700)]
+    rows = [(*r[:5], None if r[5] is None else float(r[5])) for r in rows]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "row_pos long, dataset string, cell_type string, cid string, time_h double, dose_um double")
+    monkeypatch.setattr(matching, "COMBINED", size)
+    for name in ("MATCHED", "ROWS", "CELLS"):
+        monkeypatch.setattr(nearest, name, size)
+    want = truth(rows, "true" if same else "q.dataset <> d.dataset")
+    for database in (df, df.select("*")):
+        got = matching.nearest_match(df, database, same_dataset=same).select("q_dataset", "q_row_pos", "db_dataset", "db_row_pos", "time_diff", "dose_diff").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_nearest_match_shuffles_samples_once(spark):
+    """A table twenty times over: what is shuffled grows neither with rows of equal key nor with what they can be paired with; copies of a row are one query."""
+    import random
+
+    rng = random.Random(3)
+    base = [(rng.choice("xyz"), rng.choice(["c0", "c1"]), rng.choice("78"), rng.choice([0.0, 6.0, 12.0]), rng.choice([0.5, 1.0, 2.0, rng.random()])) for _ in range(100)]
+    rows = [(k, *row) for k, row in enumerate(base * 20)]
+    df = spark.createDataFrame(rows, "row_pos long, dataset string, cell_type string, cid string, time_h double, dose_um double").coalesce(1).cache()
+    made, n = shuffled_rows(spark, lambda: matching.nearest_match(df, df).select("q_dataset", "q_row_pos", "db_dataset", "db_row_pos", "time_diff", "dose_diff").collect())
+    assert sorted(map(tuple, made)) == sorted(truth(rows, "q.dataset <> d.dataset")) and n == len({r[:3] for r in base})
+    assert matching.nearest_match(df, df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    again = matching.nearest_match(df.union(df.limit(700)), df).select("q_dataset", "q_row_pos", "db_dataset", "db_row_pos", "time_diff", "dose_diff")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, made))
+
+
+def test_rows_repeated_at_other_doses_are_one_query(spark):
+    """A row_pos that a key of a dataset has twice is matched once, where it is the nearest."""
+    rows = [(0, "x", "c", "7", 6.0, 1.0), (0, "x", "c", "7", 12.0, 2.0), (0, "x", "c", "7", 12.0, 9.0), (1, "y", "c", "7", 12.0, 8.0), (2, "y", "c", "7", 13.0, 2.0)]
+    df = spark.createDataFrame(rows, "row_pos long, dataset string, cell_type string, cid string, time_h double, dose_um double")
+    got = [(r.db_row_pos, r.time_diff) for r in matching.nearest_match(df, df).filter("q_dataset = 'x'").collect()]
+    assert got == [(1, 0.0)]
+
+
 @pytest.mark.parametrize("kind", ["long", "int", "string"])
 def test_repeated_ids_are_found_in_runs(spark, kind):
     ids = [*range(70_000, 0, -1), -5, -6, -40_000, 2**31 - 1, -(2**31)]
