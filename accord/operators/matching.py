@@ -65,7 +65,7 @@ def nearest_match(queries: DataFrame, database: DataFrame, keys: tuple[str, ...]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches)).combine_chunks()
-        size = pc.list_value_length(t["row_pos"]).to_numpy()
+        key, size = [t[c].combine_chunks().take(pa.array([0])) for c in by], pc.list_value_length(t["row_pos"]).to_numpy()
         time, dose, rows = (t[c].combine_chunks().flatten() for c in ("time_h", "dose_um", "row_pos"))
         names = t["dataset"].combine_chunks().dictionary_encode(null_encoding="encode")
         code, on = (np.repeat(v, size) for v in (names.indices.to_numpy(), t["side"].to_numpy()))
@@ -73,14 +73,18 @@ def nearest_match(queries: DataFrame, database: DataFrame, keys: tuple[str, ...]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         values = [(x.to_numpy(zero_copy_only=False), x.is_null().to_numpy(zero_copy_only=False)) for x in (time, dose)]
+        # Equal row_pos have one number; null ones are the last.
+        by_row = rows.take(pa.array(order))
+        number = np.cumsum(np.append(0, pc.fill_null(pc.not_equal(by_row[1:], by_row[:-1]), False).to_numpy(zero_copy_only=False) | (by_row[1:].is_null().to_numpy(zero_copy_only=False) & by_row[:-1].is_valid().to_numpy(zero_copy_only=False))))
         at = [np.flatnonzero(on == n) for n in ((0,) if alone else (0, 1))]
         if not all(len(x) for x in at):
             return
         sides = [nearest.Side(code[x], *(v[x] for v, _ in values), rank[x], *(null[x] for _, null in values)) for x in at]
         # Rows of sides[0] in its order: their positions, and ids by which repeated ones are known.
         own = at[0][sides[0].order]
-        ids = rows.dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64)[own] * (len(names.dictionary) + 1) + code[own]
+        ids = number[rank[own]] * (len(names.dictionary) + 1) + code[own]
         repeated = len(np.unique(ids)) < len(ids)
+        del t, time, dose, values, on, rank, number, by_row, at
         for unit, dataset, row, dt, dt_class, dd, dd_class in nearest.matched(sides[0], sides[-1], same_dataset, repeated):
             size = np.diff(sides[0].at)[unit]
             ends = np.cumsum(size)
@@ -95,7 +99,7 @@ def nearest_match(queries: DataFrame, database: DataFrame, keys: tuple[str, ...]
                 q = own[at_row]
                 first = pa.array(np.zeros(len(w), np.int64))
                 differences = [pa.array(np.where(c[w] == 1, np.nan, x[w]), mask=c[w] == 2) for x, c in ((dt, dt_class), (dd, dd_class))]
-                made = [*(t[c].combine_chunks().take(first) for c in by), names.dictionary.take(pa.array(code[q])), rows.take(pa.array(q)), names.dictionary.take(pa.array(dataset[w])), rows.take(pa.array(order[row[w]])), *differences]
+                made = [*(x.take(first) for x in key), names.dictionary.take(pa.array(code[q])), rows.take(pa.array(q)), names.dictionary.take(pa.array(dataset[w])), rows.take(pa.array(order[row[w]])), *differences]
                 yield from pa.table([x.cast(f.type) for x, f in zip(made, schema)], schema=schema).to_batches()
 
     gathered = _combined(both, [*by, "dataset", "side"], (*place, "row_pos"), tuple(place)).repartition(*by)

@@ -19,7 +19,10 @@ CLASS = np.array([[0, 0, 0, 1, 2], [0, 1, 0, 1, 2], [0, 0, 1, 1, 2], [1, 1, 1, 1
 
 
 def kinds(x: np.ndarray, null: np.ndarray) -> np.ndarray:
-    return np.select([null, np.isnan(x), x == np.inf, x == -np.inf], [NULL, NAN, INF, MINUS_INF], FINITE)
+    out = np.zeros(len(x), np.int8)
+    for at, kind in ((x == np.inf, INF), (x == -np.inf, MINUS_INF), (np.isnan(x), NAN), (null, NULL)):
+        out[at] = kind
+    return out
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -48,15 +51,13 @@ def _range_least(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     """The least v from low to high (excluded; no range is empty)."""
     out = np.minimum(v[low], v[high - 1])
     size = high - low
-    level, table = 2, np.minimum(v[:-1], v[1:])
-    # table[i] is the least of the `level` values from i: two of them cover any range of up to twice the level.
-    on = np.flatnonzero(size > 2)
+    on, level, table = np.flatnonzero(size > 2), 1, v
     while len(on):
+        # table[i] is the least of the `level` values from i: two of them cover any range of up to twice the level.
+        table, level = np.minimum(table[:-level], table[level:]), 2 * level
         now = on[size[on] <= 2 * level]
         out[now] = np.minimum(table[low[now]], table[high[now] - level])
         on = on[size[on] > 2 * level]
-        if len(on):
-            table, level = np.minimum(table[:-level], table[level:]), 2 * level
     return out
 
 
@@ -87,8 +88,12 @@ class Side:
         # Zeros of either sign are one; what is no number is told by its kind.
         time_kind, dose_kind = kinds(time, no_time), kinds(dose, no_dose)
         time, dose = (np.where(k == FINITE, v, 0.0) + 0.0 for k, v in ((time_kind, time), (dose_kind, dose)))
-        self.order = np.lexsort((rank, dose, dose_kind, time, time_kind, dataset))
-        dataset, time, time_kind, dose, dose_kind, rank = (v[self.order] for v in (dataset, time, time_kind, dose, dose_kind, rank))
+        columns = [rank, dose, dose_kind, time, time_kind, dataset]
+        del rank, dose, dose_kind, time, time_kind, dataset
+        self.order = np.lexsort(columns)
+        for k, v in enumerate(columns):
+            columns[k] = v[self.order]
+        rank, dose, dose_kind, time, time_kind, dataset = columns
         starts = _changes(dataset, time_kind, time, dose_kind, dose)
         self.at, self.dose, self.kind, self.first = np.append(starts, len(rank)), dose[starts], dose_kind[starts], rank[starts]
         begin = _changes(dataset[starts], time_kind[starts], time[starts])
@@ -99,10 +104,11 @@ class Side:
         self.no_time = kind == NULL
         self.time = np.select([kind == INF, kind == MINUS_INF, kind >= NAN], [np.inf, -np.inf, np.nan], time[starts][begin])
         positive = np.flatnonzero((self.kind == FINITE) & (self.dose > 0))
-        values, inverse = np.unique(self.dose[positive], return_inverse=True)
         self.log = np.zeros(len(starts))
         # By the C library, as SQL has it: others differ in the last bit of some values.
-        self.log[positive] = np.array([math.log(v) for v in values.tolist()])[inverse] if len(values) else 0.0
+        for k in range(0, len(positive), ROWS):
+            at = positive[k : k + ROWS]
+            self.log[at] = [math.log(v) for v in self.dose[at].tolist()]
         self.positive = positive
 
     def indexed(self) -> Side:
